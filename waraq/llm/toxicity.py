@@ -4,8 +4,9 @@ The kernel of two strings counts their common gapped subsequences of three chara
 power of the span it covers (spans of up to five characters), so inserted and missing characters cost weight and not the match. Strings
 are the words of a sentence, folded: lower case, look-alike digits as letters, other signs dropped, runs of spaced-out
 letters joined. Landmarks are the words that tell toxic from clean training documents best; the Nyström map makes the
-kernel linear, and a squared-hinge machine is trained on sentences: those of clean documents, and of each toxic
-document the sentence that the machine itself finds worst, in turns. A sentence scores as its worst word.
+kernel linear, and a squared-hinge machine is trained on the words of labelled sentences: none of a clean document
+insults, and of a toxic document those do that the machine itself finds insulting, in turns. A logistic rule over the
+words' decision values (all insults, the worst one, the length) then scores the document.
 
 The trained machine is linear in the subsequences, so it is kept as one weight per subsequence and scores any text.
 """
@@ -28,6 +29,8 @@ from waraq.runtime import free_name
 DECAY, SPAN, TABLE_BITS = 0.6, 5, 20
 LANDMARKS = 96
 MEMO_WORDS = 500_000
+#: Occurrences of one word in a document that count as evidence.
+REPEATS = 3
 #: Digits and signs that stand for letters inside a word.
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 _FOLD = {ord(c): None for c in map(chr, range(33, 127)) if not c.isalpha()} | {ord(a): b for a, b in LOOK_ALIKES.items()}
@@ -40,9 +43,9 @@ def fold(word: str) -> str:
     return low.translate(_FOLD) if any(c.isalpha() for c in low) else ""
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct words of a text, with spaced-out ones ("i d i o t") joined as further words."""
-    found = set(text.split())
+def words_of(text: str) -> Counter:
+    """The words of a text and how often each occurs, with spaced-out ones ("i d i o t") joined as further words."""
+    found = Counter(text.split())
     if sum(len(w) == 1 for w in found) >= 2:
         found.update("".join(m.group().split()) for m in _SPACED.finditer(text))
     return found
@@ -70,10 +73,11 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class KernelMachine:
-    """A weight per subsequence code, a bias, and the slope and offset that turn a decision value into a probability."""
+    """A weight per subsequence code and a bias score a word; a logistic rule over a document's word scores decides."""
 
-    def __init__(self, table: np.ndarray, bias: float, slope: float, offset: float):
-        self.table, self.bias, self.slope, self.offset = table, bias, slope, offset
+    def __init__(self, table: np.ndarray, bias: float, rule: np.ndarray | None = None):
+        self.table, self.bias = table, bias
+        self.rule = np.zeros(4) if rule is None else rule
 
     def decide(self, words: list[str]) -> np.ndarray:
         """Decision values of folded words; words too short for a subsequence get the bias alone."""
@@ -84,68 +88,143 @@ class KernelMachine:
         norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(words)))
         return value / np.maximum(norm, 1e-9) + self.bias
 
-    def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -40, 40)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.rule, -40, 40)))
 
 
-def kernel_rows(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """(words, landmarks) normalised kernel values; ``landmarks``: (codes, landmarks) normalised weights."""
-    owner, key, weight = subsequences(words)
-    norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(words)))
-    used = np.flatnonzero(landmarks.any(axis=1)[key])
-    out = np.zeros((len(words), landmarks.shape[1]))
-    for at in range(0, len(used), 1 << 18):
-        pick = used[at : at + (1 << 18)]
-        cuts = np.flatnonzero(np.r_[True, owner[pick][1:] != owner[pick][:-1]])
-        np.add.at(out, owner[pick][cuts], np.add.reduceat(weight[pick][:, None] * landmarks[key[pick]], cuts))
-    return out / np.maximum(norm, 1e-9)[:, None]
+def evidence_of(hits: np.ndarray, best: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(documents, 4): the weight of insulting words in all, of the worst one, the length, and 1."""
+    return np.column_stack([np.log1p(hits), best, np.log1p(words), np.ones(len(hits))])
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Words that stand in toxic documents far more often than in clean ones, the most telling first."""
-    bad, good = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
+def fit_rule(evidence: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression by Newton's method."""
+    w = np.zeros(evidence.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(evidence @ w, -40, 40)))
+        h = (evidence * (p * (1 - p))[:, None]).T @ evidence + ridge * np.eye(len(w))
+        w -= np.linalg.solve(h, evidence.T @ (p - y) + ridge * w)
+    return w
+
+
+class Landmarks:
+    """Normalised subsequence weights of the landmark words, as a dense row for each code that occurs in one."""
+
+    def __init__(self, words: list[str]):
+        owner, key, weight = subsequences(words)
+        self.codes, row = np.unique(key, return_inverse=True)
+        self.rows = np.zeros((len(self.codes), len(words)), np.float32)
+        np.add.at(self.rows, (row, owner), weight)
+        self.rows /= np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(words))).astype(np.float32)
+
+    def kernel(self, words: list[str], block: int = 2048) -> np.ndarray:
+        """(words, landmarks) normalised kernel values, made in blocks of words."""
+        out = np.zeros((len(words), self.rows.shape[1]), np.float32)
+        for first in range(0, len(words), block):
+            part = words[first : first + block]
+            owner, key, weight = subsequences(part)
+            norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(part)))
+            at = np.minimum(np.searchsorted(self.codes, key), len(self.codes) - 1)
+            used = np.flatnonzero(self.codes[at] == key)
+            used = used[np.argsort(owner[used], kind="stable")]
+            if not len(used):
+                continue
+            cuts = np.flatnonzero(np.r_[True, owner[used][1:] != owner[used][:-1]])
+            sums = np.add.reduceat(weight[used].astype(np.float32)[:, None] * self.rows[at[used]], cuts)
+            held = owner[used][cuts]
+            out[first + held] = sums / np.maximum(norm[held], 1e-9)[:, None]
+        return out
+
+
+class Documents:
+    """Documents as sentences, a sentence as the numbers of its folded words and how often each occurs; words are kept once."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+
+    def read(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for sentence in _SENTENCE.split(text):
+            found: dict[int, int] = {}
+            for w, n in words_of(sentence).items():
+                name = fold(w)
+                if name:
+                    i = self.number.setdefault(name, len(self.number))
+                    found[i] = found.get(i, 0) + n
+            if found:
+                out.append((np.fromiter(found, np.int32), np.fromiter(found.values(), np.int32)))
+        return out
+
+    @property
+    def words(self) -> list[str]:
+        return list(self.number)
+
+
+def choose_landmarks(toxic: list, clean: list, words: list[str]) -> np.ndarray:
+    """Numbers of the words that stand in toxic documents far more often than in clean ones, the most telling first."""
+
+    def documents_with(docs: list) -> np.ndarray:
+        n = np.zeros(len(words))
+        for d in docs:
+            if d:
+                n[np.unique(np.concatenate([s for s, _ in d]))] += 1
+        return n
+
+    bad, good = documents_with(toxic), documents_with(clean)
+    p, q = (bad + 0.1) / (len(toxic) + 1), (good + 0.1) / (len(clean) + 1)
     least = max(2, math.ceil(0.01 * len(toxic)))
-    gain = {}
-    for w, n in bad.items():
-        p, q = (n + 0.1) / (len(toxic) + 1), (good[w] + 0.1) / (len(clean) + 1)
-        if n >= least and len(w) >= 3 and p > 3 * q:
-            gain[w] = n * math.log(p / q)
-    return sorted(gain, key=lambda w: (-gain[w], w))[:LANDMARKS]
-
-
-def train(toxic: list[list[set[str]]], clean: list[list[set[str]]], rounds: int = 4, hard: int = 6000) -> KernelMachine | None:
-    """``toxic`` and ``clean``: documents as lists of sentences as sets of folded words."""
-    whole = lambda docs: [set().union(*d) for d in docs]
-    landmarks = choose_landmarks(whole(toxic), whole(clean))
-    if not landmarks:
+    gain = np.where((bad >= least) & (p > 3 * q), bad * np.log(p / q), 0)
+    telling = [i for i in np.flatnonzero(gain) if len(words[i]) >= 3]
+    return np.array(sorted(telling, key=lambda i: (-gain[i], words[i]))[:LANDMARKS], np.int64)
+
+
+def count_words(docs: list, size: int) -> np.ndarray:
+    n = np.zeros(size)
+    for d in docs:
+        for s, c in d:
+            n[s] += np.minimum(c, REPEATS)
+    return n
+
+
+def document_evidence(scored: list[tuple[float, int]]) -> tuple[float, float, int]:
+    """From (share of an insult, occurrences) of each word: weight in all (repeats count up to ``REPEATS``), worst, words."""
+    hits = best = 0.0
+    words = 0
+    for share, n in scored:
+        words += n
+        if share > 0:
+            hits += share * min(n, REPEATS)
+            best = max(best, share)
+    return hits, best, words
+
+
+def train(toxic: list, clean: list, words: list[str], rounds: int = 4, hard: int = 6000) -> KernelMachine | None:
+    """``toxic`` and ``clean``: documents as made by :class:`Documents`, whose words are ``words``."""
+    picked = choose_landmarks(toxic, clean, words)
+    if not len(picked):
         return None
-    owner, key, weight = subsequences(landmarks)
-    table = np.zeros((1 << TABLE_BITS, len(landmarks)), np.float32)
-    np.add.at(table, (key, owner), weight)
-    norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(landmarks)))
-    table /= norm.astype(np.float32)
-    gram = kernel_rows(landmarks, table)
+    names = [words[i] for i in picked]
+    landmarks = Landmarks(names)
+    gram = landmarks.kernel(names).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     good = values > 1e-3
     half = vectors[:, good] / np.sqrt(values[good])  # Nyström: features = k(words, landmarks) @ half
-
-    words = sorted(set().union(*whole(toxic), *whole(clean)))
-    features = kernel_rows(words, table) @ half
-    at = {w: i for i, w in enumerate(words)}
-    index = lambda docs: [[np.array(sorted(at[w] for w in s), np.int64) for s in d if s] for d in docs]
-    toxic_i, clean_i = index(toxic), index(clean)
-    worth = np.isin(words, landmarks).astype(float)  # first turn: a landmark is a witness
+    features = landmarks.kernel(words) @ half.astype(np.float32)
+    # First turn: the landmarks of a toxic document insult, and no word of a clean one does. Later turns: the words of
+    # toxic documents that the machine itself finds insulting do.
+    worth = np.where(np.isin(np.arange(len(words)), picked), 1.0, -1.0)
     w, bias = np.zeros(features.shape[1]), 0.0
+    bad, good = count_words(toxic, len(words)), count_words(clean, len(words))
     for turn in range(rounds):
-        witness = [max((s[worth[s].argmax()] for s in d), key=lambda i: worth[i]) for d in toxic_i if d]
-        if turn == 0:
-            witness = [i for i in witness if worth[i] > 0]
-        negative = np.unique([s[worth[s].argmax()] for d in clean_i for s in d])
-        negative = negative[np.argsort(-worth[negative], kind="stable")]
-        negative = np.unique(np.r_[negative[:hard], negative[:: max(1, len(negative) // hard)]])
-        x = np.r_[features[witness], features[negative]]
-        y = np.r_[np.ones(len(witness)), -np.ones(len(negative))]
-        cost = np.where(y > 0, len(y) / (2 * max(1, len(witness))), len(y) / (2 * max(1, len(negative)))) / len(y)
+        insults = np.flatnonzero((bad > 0) & (worth > 0) & (bad * len(clean) > 3 * good * len(toxic)))
+        other = np.flatnonzero(good > 0)
+        other = other[np.argsort(-worth[other], kind="stable")]
+        other = np.unique(np.r_[other[:hard], other[:: max(1, len(other) // hard)]])
+        other = np.setdiff1d(other, insults)
+        x = np.r_[features[insults], features[other]].astype(np.float64)
+        y = np.r_[np.ones(len(insults)), -np.ones(len(other))]
+        weight = np.r_[np.sqrt(bad[insults]), np.sqrt(good[other])]
+        cost = np.r_[weight[: len(insults)] / max(1e-9, weight[: len(insults)].sum()), 3 * weight[len(insults) :] / max(1e-9, weight[len(insults) :].sum())] / 2
         for step in range(400):
             margin = np.maximum(0, 1 - y * (x @ w + bias))
             pull = 2 * cost * margin * y
@@ -153,19 +232,23 @@ def train(toxic: list[list[set[str]]], clean: list[list[set[str]]], rounds: int
             w += rate * (x.T @ pull - 1e-3 * w)
             bias += rate * pull.sum()
         worth = features @ w + bias
-    worst = lambda docs: np.array([max((worth[s].max() for s in d), default=bias) for d in docs])
-    value, y = np.r_[worst(toxic_i), worst(clean_i)], np.r_[np.ones(len(toxic_i)), np.zeros(len(clean_i))]
-    slope, offset = 4.0, 0.0
-    for _ in range(300):  # a probability for the document's worst sentence
-        p = 1 / (1 + np.exp(-np.clip(slope * value + offset, -40, 40)))
-        g = (p - y) / len(y)
-        slope = min(40.0, max(1.0, slope - 20 * (g * value).sum()))
-        offset -= 20 * g.sum()
-    return KernelMachine((table @ (half @ w)).astype(np.float64), float(bias), slope, offset)
-
-
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000) -> KernelMachine | None:
-    """Train on about ``train_docs`` / 2 documents of either label with crc32(doc_id) mod 5 <> 0; None without both."""
+    table = np.zeros(1 << TABLE_BITS)
+    table[landmarks.codes] = landmarks.rows @ (half @ w)
+    share = np.clip(worth, 0, 1)
+
+    def evidence(docs: list) -> np.ndarray:
+        rows = [document_evidence([(share[i], n) for s, c in d for i, n in zip(s.tolist(), c.tolist())]) for d in docs]
+        return evidence_of(*np.array(rows).reshape(-1, 3).T)
+
+    rule = fit_rule(np.r_[evidence(toxic), evidence(clean)], np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    return KernelMachine(table, float(bias), rule)
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_bytes: int = 200_000) -> KernelMachine | None:
+    """Train on about ``train_docs`` / 2 documents of either label with crc32(doc_id) mod 5 <> 0; None without both.
+
+    Documents of more than ``train_bytes`` bytes are not learned from, so what the driver holds is bounded.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)").filter(fold_of(F.col("doc_id"), 5) != 0).dropDuplicates(["doc_id"])
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     sample = None
@@ -174,14 +257,12 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000) -> KernelM
         sample = part if sample is None else sample.unionByName(part)
     if sample is None:
         return None
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text").filter("text is not null").distinct().toPandas()
+    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= train_bytes)
+    rows = texts.join(F.broadcast(sample), "doc_id").select("y", "text").distinct().toPandas()
     rows = rows.sort_values(["y", "text"])
-
-    def bags(y: int) -> list[list[set[str]]]:
-        return [[{fold(w) for w in words_of(s)} - {""} for s in _SENTENCE.split(t)] for t in rows["text"][rows["y"] == y]]
-
-    toxic, clean = bags(1), bags(0)
-    return train(toxic, clean) if toxic and clean else None
+    bags = Documents()
+    toxic, clean = ([bags.read(t) for t in rows["text"][rows["y"] == y]] for y in (1, 0))
+    return train(toxic, clean, bags.words) if toxic and clean else None
 
 
 _memo: dict[str, float] = {}
@@ -189,26 +270,25 @@ _memo_of: list[int] = []
 
 
 def document_scores(machine: KernelMachine | None, texts: list[str]) -> np.ndarray:
-    """Probability that a text is toxic: that of its worst word. Words already seen by this worker are remembered."""
+    """Probability that a text is toxic, from all its words. Words already seen by this worker are remembered."""
     if machine is None:
         return np.zeros(len(texts))
-    stamp = hash((float(machine.table.sum()), machine.bias, machine.slope))
+    stamp = hash((float(machine.table.sum()), machine.bias, *machine.rule.tolist()))
     if _memo_of != [stamp] or len(_memo) > MEMO_WORDS:
         _memo.clear()
         _memo_of[:] = [stamp]
     bags = [words_of(t) for t in texts]
-    fresh = list(set().union(*bags).difference(_memo)) if bags else []
     folded: dict[str, list[str]] = {}
-    for w in fresh:
+    for w in set().union(*bags).difference(_memo) if bags else ():
         folded.setdefault(fold(w), []).append(w)
     names = list(folded)
     for at in range(0, len(names), 20_000):
         part = names[at : at + 20_000]
         for name, value in zip(part, machine.decide(part).tolist()):
             for w in folded[name]:
-                _memo[w] = value if name else machine.bias
-    value = np.array([max(map(_memo.__getitem__, bag), default=machine.bias) for bag in bags])
-    return machine.probability(value)
+                _memo[w] = min(1.0, max(0.0, value)) if name else 0.0
+    rows = [document_evidence([(_memo[w], n) for w, n in bag.items()]) for bag in bags]
+    return machine.probability(evidence_of(*np.array(rows, np.float64).reshape(-1, 3).T))
 
 
 def _score_rows(machine):
@@ -223,7 +303,7 @@ def _score_rows(machine):
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``, from whole texts only.
 
-    Null and empty texts: no words, scored by the machine's bias alone. Null ids, ties and repeated rows: scored alike. If either
+    Null and empty texts: no words, scored by the rule's constant alone. Null ids, ties and repeated rows: scored alike. If either
     label is missing nothing can be learned, and the score is 0. Empty table: no rows.
     """
     machine = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **options))  # at most 2**20 weights
