@@ -9,6 +9,7 @@ side. Only the last sequence needs padding.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +22,17 @@ from pyspark.sql import functions as F
 from waraq.llm.textops import by_bytes, texts_of
 from waraq.runtime import materialize
 
-WINDOW, END_ID, MEMO_WORDS = 2048, 1, 400_000
+WINDOW, END_ID, MEMO_WORDS = 2048, 1, 600_000
+ENCODE_BYTES = 2 << 20
+_WHITE = re.compile(r"\s")
 
 
 class PieceEncoder:
-    """Token ids of byte-level BPE, remembered by space-delimited word.
+    """Token ids of byte-level BPE, remembered by word.
 
-    A cut before a single space between two non-space characters is a cut of the pre-tokenizer too, so words with their
-    leading space are encoded on their own. Other texts (double spaces, other white space at a cut) are encoded whole.
+    A cut before a single space, or before and after a single newline, between two other characters is a cut of the
+    pre-tokenizer too, so words with the space or newline before them are encoded on their own, all new ones of a batch
+    in two calls. Texts with any other white space are encoded whole.
     """
 
     def __init__(self, vocabulary: str, pattern: str):
@@ -37,26 +41,44 @@ class PieceEncoder:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.opens = {c: np.zeros(1 << 16, bool) for c in " \n"}  # ids that begin with the character
+        for token, i in ranks.items():
+            if token[:1] in (b" ", b"\n"):
+                self.opens[token[:1].decode()][i] = True
         self.memo: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text).astype("<u2").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text).astype("<u2")
+
+    def _learn(self, words: list[str], before: str) -> None:
+        """Remember words, each encoded with ``before`` in front; a word's ids end where the next id opens with it."""
+        if words:
+            ids = self._ids(before + before.join(words))
+            cuts = np.flatnonzero(self.opens[before][ids]) * 2
+            whole = ids.tobytes()
+            keys = words if before == " " else [before + w for w in words]
+            self.memo.update(zip(keys, (whole[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(whole)])), strict=True))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit numbers."""
+        rows = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        fresh = set().union(*rows).difference(self.memo)
+        for before in " \n":
+            words = [w.removeprefix("\n") for w in fresh if w.startswith("\n") == (before == "\n")]
+            self._learn([w for w in words if w and not _WHITE.search(w)], before)
+        word = self.memo.__getitem__
+        out = []
+        for t, row in zip(texts, rows):
+            try:
+                out.append(b"".join(map(word, row))[2:] if t else b"")  # without the newline put before the text
+            except KeyError:
+                out.append(self._ids(t).tobytes())
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 16-bit numbers."""
-        if not text:
-            return b""
-        words = text.split(" ")
-        memo = self.memo
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in words):
-            return self._ids(text)
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        first = self._ids(words[0])
-        rest = words[1:]
-        for w in set(rest).difference(memo):
-            memo[w] = self._ids(" " + w)
-        return first + b"".join([memo[w] for w in rest])
+        return self.encode_batch([text])[0]
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
@@ -81,8 +103,8 @@ def _tokenise(vocabulary: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, pattern)
         part, before, row = TaskContext.get().partitionId(), 0, 0
-        for batch in by_bytes(batches, 1):
-            ids = [encoder.encode(t) + tail for t in texts_of(batch.column(1))]
+        for batch in by_bytes(batches, 1, ENCODE_BYTES):
+            ids = [x + tail for x in encoder.encode_batch(texts_of(batch.column(1)))]
             counts = np.array([len(x) // 2 for x in ids], np.int64)
             starts = before + counts.cumsum() - counts
             yield pa.RecordBatch.from_arrays(
