@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waraq.functions.correction import Corrections, correct_text
@@ -28,9 +28,12 @@ def file_name(path: Column) -> Column:
 
 
 def latest(rows: DataFrame, *keys: str) -> DataFrame:
-    """The row with the greatest seq of each key: the current file of a name, or the current name of a document."""
-    last = Window.partitionBy(*keys).orderBy(F.desc("seq"))
-    return rows.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank")
+    """The row with the greatest seq of each key: the current file of a name, or the current name of a document.
+
+    An aggregate, so every partition hands on one row a key, however many uploads the key has.
+    """
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "seq").alias("_last"))
+    return last.select(*keys, "_last.*").select(*rows.columns)
 
 
 def classify(pages: DataFrame, corrections: Corrections = SAMPLE_CORRECTIONS) -> DataFrame:
