@@ -187,6 +187,15 @@ def test_empty_normal_form_matches_every_page(spark, idx):
     assert search.matches(queries, idx).count() == idx.count()
 
 
+def test_trigram_search_finds_what_a_scan_finds(spark, idx):
+    phrases = ["القانون", "ب ا", "اب", "ا", "كتابه القانون", "ون\nسط", "zzz", " ", "ً", "القانون "]
+    queries = spark.createDataFrame(list(enumerate(phrases)), "query_id long, effective string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = search.matches(queries, idx)
+    assert rows(search.matches_by_trigrams(queries, idx, search.trigram_postings(idx)).select(want.columns)) == rows(want)
+    assert want.count() > 8
+
+
 def test_theta_join_in_blocks(spark):
     large, small = spark.range(50).toDF("a"), spark.range(40).toDF("b")
     got = search.theta_join(large, small, F.col("a") == F.col("b") * 2, block_rows=7)

@@ -304,6 +304,14 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select("query_id", "doc_id", "page", "line")
 
 
+@query(oracle.BATCH_SEARCH)
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the trigram postings."""
+    asked = surrogate.query_log(spark, sf_dir).select("query_id", strip(F.col("query")).alias("effective"))
+    pages = materialize(_index(spark, sf_dir), "page-index")
+    return search.matches_by_trigrams(asked, pages, search.trigram_postings(pages)).select("query_id", "doc_id", "page", "line")
+
+
 @query(oracle.EXCERPT_WINDOW)
 def excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries over whole documents as single pages that span a line end, so the excerpt is a window around the hit."""
