@@ -150,13 +150,13 @@ def test_simhash_odd_rows(spark):
     assert simhash.fingerprint_components(odd_docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("tile", [8, 2048])
-def test_links_in_blocks_loses_none(spark, tile):
+@pytest.mark.parametrize("tile, rounds", [(8, 0), (8, 1), (8, 4), (2048, 4)])
+def test_links_in_blocks_loses_none(spark, tile, rounds):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 4)
     prints = sorted({int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 63, (40, 2))})
     frame = spark.createDataFrame([(p,) for p in prints], "f0 long")
-    roots = components.connected_components(simhash.links_in_blocks(simhash.exact_blocks(frame, 2), 1, 2, tile=tile))
+    roots = components.connected_components(simhash.links_in_blocks(simhash.exact_blocks(frame, 2), 1, 2, tile=tile, rounds=rounds))
     got = {r.node: r.root for r in roots.collect()}
     assert {p: got.get(p, p) for p in prints} == brute_components([(p, p) for p in prints])
 
@@ -227,6 +227,11 @@ def test_sharding_cuts_a_large_group_of_copies(spark):
     ideal = sum(sizes.values()) / 8
     assert max(abs(s - ideal) for s in sizes.values()) <= 0.01 * ideal
     assert sharding.shard(odd_docs(spark, [])).count() == 0
+    more = sharding.shard(odd_docs(spark, rows), shards=3, rows_per_part=100).collect()  # thirty parts a shard
+    slots = defaultdict(list)
+    for r in more:
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == [0, 1, 2] and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 # packing

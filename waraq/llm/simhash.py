@@ -30,6 +30,8 @@ from waraq.runtime import free_name, materialize
 
 SEED = 42
 TILE = 2048
+#: Most large blocks whose pivots are broadcast (one row each); more of them are joined by an exchange.
+PIVOTS = 20_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -184,25 +186,80 @@ def _compare_sorted(lanes: int, radius: int):
     return run
 
 
-def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE) -> DataFrame:
-    """``rows``: block long, node long, f0.. long, at most one row per block and node. Returns edges u, v.
+def _tiles(left: DataFrame, right: DataFrame, prints: list[str], tile: int, salt: int) -> DataFrame:
+    """All pairs of ``left`` with ``right`` rows of a block as blocks of their own of two parts of about ``tile`` rows.
 
-    Blocks of one row are dropped. A block of more than ``tile`` rows is cut into parts, and each pair of parts becomes
-    a block of its own, so no task holds or compares more than two parts at once: the work of a hot block is spread.
+    Both have block, node, n_left, n_right (the block's rows on either side) and the fingerprint.
     """
-    prints = [f"f{k}" for k in range(lanes)]
-    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = rows.join(sizes, "block")
+    parts = lambda side: F.greatest(F.lit(1), F.ceil(F.col(f"n_{side}") / tile)).cast("int")
+    own = lambda side: F.pmod(F.xxhash64("node"), parts(side)).cast("int")
+    others = lambda side: F.explode(F.sequence(F.lit(0), parts(side) - 1))
+    made = lambda df, p, q, side: df.withColumns({"_p": p, "_q": q}).select(F.xxhash64(F.lit(salt), "block", "_p", "_q").alias("block"), F.lit(side).cast("long").alias("side"), "node", *prints)
+    return made(left, own("left"), others("right"), 1).unionByName(made(right, others("left"), own("right"), 2))
+
+
+def _split_large(large: DataFrame, prints: list[str], radius: int, tile: int, rounds: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Blocks of more than ``tile`` rows: (edges, smaller blocks) that hold all their links.
+
+    Each round takes one row of a block as its pivot. Rows within the radius of it are linked to it, so pairs among them
+    need no comparison. By the triangle inequality only rows within twice the radius can be linked to those; they are
+    compared in tiles. All rows beyond the radius go on to the next round. So a block of near copies costs one distance
+    a row; what is left after all rounds is compared pair of parts by pair of parts.
+    """
+    edges, blocks = [], []
+    rest = materialize(large.select("block", "node", *prints), "large-blocks")
+    for k in range(rounds):
+        pivot = F.min(F.struct("node", *prints)).alias("p")
+        pivots = rest.groupBy("block").agg(pivot)
+        pivots = F.broadcast(pivots) if pivots.count() <= PIVOTS else pivots
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in prints), F.lit(0))
+        near = materialize(rest.join(pivots, "block").select("block", "node", *prints, F.col("p.node").alias("pivot"), apart.alias("apart")), "pivots")
+        edges.append(near.filter((F.col("apart") <= radius) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("node").alias("v")))
+        counts = near.groupBy("block").agg(F.count_if(F.col("apart") <= radius).alias("n_left"), F.count_if((F.col("apart") > radius) & (F.col("apart") <= 2 * radius)).alias("n_right"), F.count_if(F.col("apart") > radius).alias("n"))
+        counts = materialize(counts.filter("n > 0"), "pivot-counts")
+        if counts.isEmpty():
+            return edges, blocks
+        known = near.join(F.broadcast(counts) if counts.count() <= PIVOTS else counts, "block")
+        border = known.filter("n_right > 0")
+        blocks.append(_tiles(border.filter(F.col("apart") <= radius), border.filter((F.col("apart") > radius) & (F.col("apart") <= 2 * radius)), prints, tile, k))
+        beyond = known.filter(F.col("apart") > radius)
+        blocks.append(beyond.filter(F.col("n") <= tile).select(F.xxhash64(F.lit(-1 - k), "block").alias("block"), F.lit(0).cast("long").alias("side"), "node", *prints))
+        rest = materialize(beyond.filter(F.col("n") > tile).select("block", "node", *prints), "large-blocks")
+        if rest.isEmpty():
+            return edges, blocks
+    n = rest.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / tile).cast("int")
-    own = F.when(F.col("n") <= tile, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), parts).cast("int"))
-    part = sized.withColumn("parts", parts).withColumn("own", own)
-    plain = part.filter("parts = 1").select("block", F.lit(0).cast("long").alias("side"), "node", *prints)
-    split = part.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = rest.join(n, "block").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(low == high, F.lit(0)).when(F.col("own") == low, F.lit(1)).otherwise(F.lit(2)).cast("long")
-    tiles = split.select(F.xxhash64("block", low, high).alias("block"), side.alias("side"), "node", *prints)
-    every = plain.unionByName(tiles).repartition("block").sortWithinPartitions("block")
-    return every.mapInArrow(_compare_sorted(lanes, radius), "u long, v long").distinct()
+    blocks.append(split.select(F.xxhash64("block", low, high).alias("block"), side.alias("side"), "node", *prints))
+    return edges, blocks
+
+
+def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE, rounds: int = 4) -> DataFrame:
+    """``rows``: block long, node long, f0.. long, at most one row per block and node. Returns edges u, v, which join
+    the same nodes as all links within the blocks do.
+
+    Blocks of one row are dropped. Blocks of more than ``tile`` rows are split first (see :func:`_split_large`), so no
+    task holds or compares more than two parts at once and a group of near copies of any size costs work in proportion.
+    """
+    prints = [f"f{k}" for k in range(lanes)]
+    sizes = materialize(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
+    sized = rows.join(sizes, "block")
+    edges, blocks = [], [sized.filter(F.col("n") <= tile).select("block", F.lit(0).cast("long").alias("side"), "node", *prints)]
+    large = sizes.filter(F.col("n") > tile)
+    n_large = large.count()
+    if n_large:
+        own = rows.join(F.broadcast(large) if n_large <= PIVOTS else large, "block")
+        more_edges, more_blocks = _split_large(own, prints, radius, tile, rounds)
+        edges, blocks = edges + more_edges, blocks + more_blocks
+    every = blocks[0]
+    for more in blocks[1:]:
+        every = every.unionByName(more)
+    found = every.repartition("block").sortWithinPartitions("block").mapInArrow(_compare_sorted(lanes, radius), "u long, v long")
+    for more in edges:
+        found = found.unionByName(more)
+    return found.distinct()
 
 
 def exact_blocks(prints: DataFrame, radius: int, bits: int = 64) -> DataFrame:
