@@ -8,9 +8,11 @@ tolerance. The driver sees ``probes`` sums per open splitter, never rows. Then o
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,43 +92,43 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = 0.002, probe
         known.update(zip(order, (int(b) for b in below[: len(order)])))
         for i, goal in enumerate(want):
             if chosen[i] is None:
-                inside = [low[i], *(b for b in order if low[i] < b < high[i]), high[i]]
+                inside = [low[i], *order[bisect_right(order, low[i]) : bisect_left(order, high[i])], high[i]]
                 at = max(k for k, b in enumerate(inside) if k == 0 or known[b] <= goal)
                 at = min(at, len(inside) - 2)
                 low[i], high[i] = inside[at], inside[at + 1]
 
 
-def shard(docs: DataFrame, shards: int = 8, parts_per_shard: int = 8, tolerance: float = 0.002) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, parts_per_shard: int = 8, rows_per_part: int = 2_000_000, tolerance: float = 0.002) -> DataFrame:
     """Deal ``docs`` into shards of nearly equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``; grown_shard is null, as it belongs to another law. ``slot`` is gapless from 0 in each shard
-    and ascends with the sort key over the shard's parts. Parts exist so that no task sorts a whole shard.
+    and ascends with the sort key over the shard's parts. Parts exist so that no task sorts a whole shard: there are
+    ``parts_per_shard``, or more where those would hold over about ``rows_per_part`` rows each.
     Null text: size 1, crc of no bytes. Null ids, ties and repeated rows: ordinary rows; rows equal in id and text
     cannot be told apart by the key and stay in one shard. Empty table: no rows. Extra columns are not read.
     """
     keyed = materialize(keyed_rows(docs), "shard-keys")
+    parts_per_shard = max(parts_per_shard, -(-keyed.count() // (shards * rows_per_part)))
     parts = shards * parts_per_shard
     edges = find_splitters(keyed, parts, tolerance, grain=parts_per_shard)
     _, rows_below = _count(keyed, edges)
     first_row = [0, *(int(n) for n in rows_below)][: parts]
-    base = [first_row[p] - first_row[p - p % parts_per_shard] for p in range(parts)]
+    base = np.array([first_row[p] - first_row[p - p % parts_per_shard] for p in range(parts)], np.int64)
     bounds = np.array(edges, np.int64)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("part int, offset long")
     def part_of(key):
-        import pandas as pd
+        at = np.searchsorted(bounds, key.to_numpy(), side="right")
+        return pd.DataFrame({"part": at.astype("int32"), "offset": base[at]})
 
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype("int32"))
-
-    part = keyed.withColumn("part", part_of("key"))
+    part = keyed.withColumn("at", part_of("key")).select("doc_id", "size", "text_crc32", "key", "at.part", "at.offset")
     rank = F.row_number().over(Window.partitionBy("part").orderBy("key", "doc_id", "text_crc32")) - 1
-    offset = F.array(*[F.lit(b).cast("long") for b in base])[F.col("part")]
     return part.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         (F.col("part") / parts_per_shard).cast("int").alias("shard"),
-        (rank + offset).cast("long").alias("slot"),
+        (rank + F.col("offset")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
