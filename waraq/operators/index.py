@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from waraq.functions.text import normalize, strip, tokens
 
 SHORTEST_PAGE, SHORTEST_WORD = 5, 2
+#: Above any page number, shifted by 31 bits, plus position: pages up to 250 million, positions up to 2 thousand million.
+_PLACES = 600_000_000_000_000_000
 
 
 def index_pages(pages: DataFrame) -> DataFrame:
@@ -30,8 +32,16 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def surface_counts(tokens_: DataFrame) -> DataFrame:
-    """norm, surface, cnt, first_seq: how often each written form of a word occurs, and where first."""
-    return tokens_.groupBy("norm", "surface").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("seq", "page", "pos")).alias("first_seq"))
+    """norm, surface, cnt, first_seq: how often each written form of a word occurs, and where first.
+
+    The place is one number while it is aggregated (a struct would make Spark sort all tokens before it adds them up).
+    """
+    inside = F.shiftleft(F.col("page").cast("long"), 31) + F.col("pos")
+    place = F.col("seq").cast("decimal(19,0)") * F.lit(_PLACES).cast("decimal(18,0)") + inside.cast("decimal(19,0)")
+    counted = tokens_.groupBy("norm", "surface").agg(F.count(F.lit(1)).alias("cnt"), F.min(place.cast("decimal(38,0)")).alias("place"))
+    rest = F.expr(f"cast(place % {_PLACES} as bigint)")
+    first = F.struct(F.expr(f"place div {_PLACES}").cast("long").alias("seq"), F.shiftright(rest, 31).cast("int").alias("page"), rest.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"))
+    return counted.select("norm", "surface", "cnt", first.alias("first_seq"))
 
 
 def merge_counts(*forms: DataFrame) -> DataFrame:
