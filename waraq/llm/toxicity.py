@@ -28,7 +28,8 @@ from waraq.runtime import free_name
 
 DECAY, SPAN, TABLE_BITS = 0.6, 5, 20
 LANDMARKS = 96
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
+SCORE_CHARS = 1 << 20
 #: Occurrences of one word in a document that count as evidence.
 REPEATS = 3
 #: Digits and signs that stand for letters inside a word.
@@ -270,16 +271,34 @@ _memo_of: list[int] = []
 
 
 def document_scores(machine: KernelMachine | None, texts: list[str]) -> np.ndarray:
-    """Probability that a text is toxic, from all its words. Words already seen by this worker are remembered."""
+    """Probability that a text is toxic, from all its words. Words already seen by this worker are remembered.
+
+    Texts are worked on about ``SCORE_CHARS`` characters at a time, so the word counts held are bounded whatever the batch.
+    """
     if machine is None:
         return np.zeros(len(texts))
     stamp = hash((float(machine.table.sum()), machine.bias, *machine.rule.tolist()))
-    if _memo_of != [stamp] or len(_memo) > MEMO_WORDS:
+    if _memo_of != [stamp]:
         _memo.clear()
         _memo_of[:] = [stamp]
+    rows: list[tuple[float, float, int]] = []
+    first = 0
+    while first < len(texts):
+        end, chars = first, 0
+        while end < len(texts) and (end == first or chars + len(texts[end]) <= SCORE_CHARS):
+            chars += len(texts[end])
+            end += 1
+        rows += _evidence(machine, texts[first:end])
+        first = end
+    return machine.probability(evidence_of(*np.array(rows, np.float64).reshape(-1, 3).T))
+
+
+def _evidence(machine: KernelMachine, texts: list[str]) -> list[tuple[float, float, int]]:
+    if len(_memo) > MEMO_WORDS:
+        _memo.clear()
     bags = [words_of(t) for t in texts]
     folded: dict[str, list[str]] = {}
-    for w in set().union(*bags).difference(_memo) if bags else ():
+    for w in set().union(*bags).difference(_memo):
         folded.setdefault(fold(w), []).append(w)
     names = list(folded)
     for at in range(0, len(names), 20_000):
@@ -287,8 +306,7 @@ def document_scores(machine: KernelMachine | None, texts: list[str]) -> np.ndarr
         for name, value in zip(part, machine.decide(part).tolist()):
             for w in folded[name]:
                 _memo[w] = min(1.0, max(0.0, value)) if name else 0.0
-    rows = [document_evidence([(_memo[w], n) for w, n in bag.items()]) for bag in bags]
-    return machine.probability(evidence_of(*np.array(rows, np.float64).reshape(-1, 3).T))
+    return [document_evidence([(_memo[w], n) for w, n in bag.items()]) for bag in bags]
 
 
 def _score_rows(machine):
