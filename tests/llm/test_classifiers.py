@@ -134,9 +134,9 @@ def test_disguised_insults_are_found(spark):
     labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, toxic int")
     clean = rows[1][1]
     tests = [clean, *(clean + " " + f"{x} {y} and {z}." for x, y, z in [("zonkhead", "vexnot", "quimbler"), ("zonk-head", "quim.bler", "vexn0t"), ("zonkkhead", "quiimbler", "vexxnot"), ("z o n k h e a d", "q u i m b l e r", "v e x n o t")])]
-    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(tests)], "doc_id long, text string")
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate([*tests, "", " ", "word", rows[1][1][:20]])], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs.unionByName(more), labels).collect()}
-    assert [got[1000 + i] for i in range(len(tests))] == [0, 1, 1, 1, 1]
+    assert [got[1000 + i] for i in range(len(tests) + 4)] == [0, 1, 1, 1, 1, 0, 0, 0, 0]  # without an insult no text is toxic, however short
     left = toxicity.drop_toxic(docs.withColumn("toxic_score", F.lit("kept")), labels)
     assert left.columns == ["doc_id", "text", "toxic_score"]
     assert {r.doc_id for r in left.collect()} == {i for i, _, y in rows if not y}

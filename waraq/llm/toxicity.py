@@ -32,6 +32,8 @@ MEMO_WORDS = 200_000
 SCORE_CHARS = 1 << 20
 #: Occurrences of one word in a document that count as evidence.
 REPEATS = 3
+#: Words below which a document's length counts little.
+SHORT = 64
 #: Digits and signs that stand for letters inside a word.
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 _FOLD = {ord(c): None for c in map(chr, range(33, 127)) if not c.isalpha()} | {ord(a): b for a, b in LOOK_ALIKES.items()}
@@ -94,8 +96,11 @@ class KernelMachine:
 
 
 def evidence_of(hits: np.ndarray, best: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """(documents, 4): the weight of insulting words in all, of the worst one, the length, and 1."""
-    return np.column_stack([np.log1p(hits), best, np.log1p(words), np.ones(len(hits))])
+    """(documents, 4): the weight of insulting words in all, of the worst one, the length, and 1.
+
+    Lengths under ``SHORT`` words tell little, so they count almost alike and short clean texts stay clean.
+    """
+    return np.column_stack([np.log1p(hits), best, np.log1p(words / SHORT), np.ones(len(hits))])
 
 
 def fit_rule(evidence: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
