@@ -107,6 +107,18 @@ def fingerprint_table(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return materialize(prints.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row per key, whose ``size`` counts the key's rows out of ``total``.
+
+    Groups of more than a ``share``-th of all rows number fewer than ``share``, so they are broadcast and their rows stay
+    where they are. The rows of all others are exchanged by key, of which none is hot.
+    """
+    large = groups.filter(F.col(size) * share > total)
+    hot = rows.join(F.broadcast(large), keys)
+    cold = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) * share <= total), keys)
+    return hot.unionByName(cold)
+
+
 def _chunks(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Normalised chunks of the given rows' texts."""
     text = F.encode(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_RUN, " "), "UTF-8")
@@ -118,12 +130,12 @@ def _chunks(docs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def colliding_fingerprints(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def colliding_fingerprints(docs: DataFrame, prints: DataFrame, total: int) -> DataFrame:
     """Fingerprints that hold different texts, found by comparing each row's chunks with those of the row that stays."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     groups = prints.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keep")).filter("n > 1")
-    keep = groups.select(*PRINT, F.col("keep.uid").alias("keep_uid"))
-    members = prints.join(keep, PRINT).groupBy("doc_id", "raw_hash", *PRINT).agg(F.max(F.col("uid") == F.col("keep_uid")).alias("first"))
+    keep = groups.select(*PRINT, "n", F.col("keep.uid").alias("keep_uid"))
+    members = join_groups(prints, keep, PRINT, "n", total).groupBy("doc_id", "raw_hash", *PRINT).agg(F.max(F.col("uid") == F.col("keep_uid")).alias("first"))
     chunks = _chunks(docs, members)
     first = chunks.filter("first").groupBy(*PRINT, "chunk_no").agg(F.first("chunk").alias("kept_chunk"))
     rest = chunks.filter("not first")
@@ -134,13 +146,14 @@ def colliding_fingerprints(docs: DataFrame, prints: DataFrame) -> DataFrame:
 def group_rows(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, raw_hash, keep_id, group_size, kept, text_sha256, for every row of ``docs``."""
     prints = fingerprint_table(docs, chunk)
-    clash = materialize(colliding_fingerprints(docs, prints), "collisions")
+    total = prints.count()
+    clash = materialize(colliding_fingerprints(docs, prints, total), "collisions")
     mark = clash.withColumn("clash", F.lit(True))
     key = F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit(""))
     told = prints.join(mark, PRINT, "left").withColumn("told", key) if not clash.isEmpty() else prints.withColumn("told", F.lit(""))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     groups = told.groupBy(*PRINT, "told").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return told.join(groups, [*PRINT, "told"]).select(
+    return join_groups(told, groups, [*PRINT, "told"], "group_size", total).select(
         "doc_id", "raw_hash", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256"
     )
 
