@@ -4,8 +4,9 @@ A mask keeps some positions of a short run of words and ignores the others, so a
 does not hide a shared run. The hashes of all masked runs of the benchmark are joined with those of the documents, and
 every hit is verified by counting equal words along its alignment.
 
-The documents' hashes are first held against a bitmap of the benchmark's (its size is fixed, whatever the benchmark's;
-where it fills up, more rows reach the join and none is lost). Only runs that pass are shuffled, with the words around.
+The documents' hashes are first held against a Bloom filter of the benchmark's (its size is fixed, whatever the
+benchmark's; where it fills up, more rows reach the join and none is lost). Only runs that pass are shuffled, with the
+words around.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from waraq.runtime import free_name, materialize
 #: With these, a run of 13 words with any two of them substituted still has a hit.
 MASKS = ("10110111", "1101100101", "1010010111", "1010110011")
 WINDOW, MATCHES, SHORTEST = 13, 11, 5
-BITMAP_BITS = 24
+#: The filter has 2**BITMAP_BITS bits; a seed sets one for each group of that many bits of its hash below these places.
+BITMAP_BITS, PROBES = 24, (40, 20, 0)
 CONTEXT = 64
 
 
@@ -83,8 +85,10 @@ def _regions(masks: tuple[str, ...], bitmap: np.ndarray):
             places, hashes, spans = [], [], []
             for mask, salt in full:
                 h = seed_hashes(words, mask, salt)
-                slot = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                hit = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                hit = np.arange(len(h))
+                for low in PROBES:
+                    slot = ((h[hit] >> np.uint64(low)) & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+                    hit = hit[((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)]
                 places.append(hit)
                 hashes.append(h[hit])
                 spans.append(np.full(len(hit), len(mask)))
@@ -138,9 +142,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """One bit per top ``BITMAP_BITS`` bits of a seed; gathered as at most 2**(BITMAP_BITS - 6) words, whatever the benchmark."""
-    slot = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    words = seeds.select((slot / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    """The Bloom filter of all seeds; gathered as at most 2**(BITMAP_BITS - 6) words, whatever the benchmark."""
+    slots = F.array(*[F.shiftrightunsigned("h", place).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) for place in PROBES])
+    slot = seeds.select(F.explode(slots).alias("slot"))
+    words = slot.select((F.col("slot") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     got = words.toPandas()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
