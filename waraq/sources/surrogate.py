@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.runtime import table
+from waraq.runtime import spread, table
 
 LATIN = "etaoinshrdlcumwfgypbvkjxqzéèêçäöüßóñíáú"
 ARABIC = "امللعانوسهربدتفحكقيجخطشزغضىةأإآئؤثذءظصة"
@@ -21,7 +21,7 @@ def surrogate(text: Column) -> Column:
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq, page, raw_text: each line of a document as a page."""
     lines = F.posexplode(F.split(surrogate(F.coalesce(F.col("text"), F.lit(""))), "\n", -1)).alias("page", "raw_text")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), lines)
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("seq"), lines)
     return rows.select(F.col("seq").cast("string").alias("doc_id"), "seq", (F.col("page") + 1).alias("page"), "raw_text")
 
 
