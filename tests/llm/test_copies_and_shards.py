@@ -268,3 +268,16 @@ def test_memo_encoder_equals_plain_encoding():
     encoder = packing.PieceEncoder(path, pattern)
     for text in ("", " ", "a", " a", "a  b", "a\nb c", "a \n b", "it's  the end ", "x  y", "été d'été 12 %%% $$", "tab\there now", "a b\n", "\na b", "<|endoftext|> x"):
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == encoder.encoding.encode_ordinary(text), repr(text)
+
+
+def test_added_tokens_are_those_of_the_json(spark):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [mark, f"{mark} x", f"a{mark}b", f"a  {mark}\n b", f"end. {mark}{mark} next\n{mark}\nline", f" {mark}\t", "<|endoftext |> <|endoftext|"]
+    encoder = packing.PieceEncoder(*packing.default_vocabulary(), packing.default_added())
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_batch(texts)]
+    assert got == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.doc_tokens for r in packing.tokenise(docs).collect()} == {i: len(x) + 1 for i, x in enumerate(got)}

@@ -9,6 +9,7 @@ side. Only the last sequence needs padding.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,15 +33,15 @@ class PieceEncoder:
 
     A cut before a single space, or before and after a single newline, between two other characters is a cut of the
     pre-tokenizer too, so words with the space or newline before them are encoded on their own, all new ones of a batch
-    in two calls. Texts with any other white space are encoded whole.
+    in two calls. Texts with any other white space are encoded whole. ``added`` texts are single tokens wherever they stand.
     """
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
         self.opens = {c: np.zeros(1 << 16, bool) for c in " \n"}  # ids that begin with the character
         for token, i in ranks.items():
             if token[:1] in (b" ", b"\n"):
@@ -48,7 +49,7 @@ class PieceEncoder:
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text).astype("<u2")
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u2")
 
     def _learn(self, words: list[str], before: str) -> None:
         """Remember words, each encoded with ``before`` in front; a word's ids end where the next id opens with it."""
@@ -81,27 +82,35 @@ class PieceEncoder:
         return self.encode_batch([text])[0]
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+_encoders: dict[tuple, PieceEncoder] = {}
 
 
-def _encoder(vocabulary: str, pattern: str) -> PieceEncoder:
-    if (vocabulary, pattern) not in _encoders:
-        _encoders[vocabulary, pattern] = PieceEncoder(vocabulary, pattern)
-    return _encoders[vocabulary, pattern]
+def _encoder(*key) -> PieceEncoder:
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]
 
 
 def default_vocabulary() -> tuple[str, str]:
-    """Path of the public byte-level BPE ranks (the same ids as byte_bpe_50k.json), and its pre-tokenizer's pattern."""
+    """Path of the public byte-level BPE ranks (those of byte_bpe_50k.json, without its added tokens), and its pre-tokenizer's pattern."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _tokenise(vocabulary: str, pattern: str, end_id: int):
+def default_added() -> tuple[tuple[str, int], ...]:
+    """Text and id of the added tokens of byte_bpe_50k.json, which a text's literal becomes."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
+
+
+def _tokenise(vocabulary: str, pattern: str, added: tuple[tuple[str, int], ...], end_id: int):
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary, pattern)
+        encoder = _encoder(vocabulary, pattern, added)
         part, before, row = TaskContext.get().partitionId(), 0, 0
         for batch in by_bytes(batches, 1, ENCODE_BYTES):
             ids = [x + tail for x in encoder.encode_batch(texts_of(batch.column(1)))]
@@ -119,9 +128,9 @@ def _tokenise(vocabulary: str, pattern: str, end_id: int):
 
 def tokenise(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pass one: doc_id, part, before (tokens before it in its partition), doc_tokens, ids (uint16), in the shared folder."""
-    path, pat = default_vocabulary() if vocabulary is None else (vocabulary, pattern)
+    path, pat, added = (*default_vocabulary(), default_added()) if vocabulary is None else (vocabulary, pattern, ())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_tokenise(path, pat, end_id), f"doc_id {kind}, part long, before long, doc_tokens long, ids binary")
+    rows = docs.select("doc_id", "text").mapInArrow(_tokenise(path, pat, added, end_id), f"doc_id {kind}, part long, before long, doc_tokens long, ids binary")
     return materialize(rows, "token-ids", codec="zstd")
 
 
@@ -158,7 +167,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, p
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is its ids, then ``end_id``.
     Null or empty text: just ``end_id``. Null ids and repeated rows: packed like any other. Very long texts: cut into as
-    many pieces as needed. Empty table: no rows. Other columns are not read. Every sequence but the last is full.
+    many pieces as needed. A vocabulary passed in has no added tokens. Empty table: no rows. Other columns are not read. Every sequence but the last is full.
     Vocabularies of more than 65,536 ids are not supported.
     """
     rows = tokenise(docs, vocabulary, pattern, end_id)
