@@ -281,3 +281,42 @@ def test_added_tokens_are_those_of_the_json(spark):
     assert got == [reference.encode(t, add_special_tokens=False).ids for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.doc_tokens for r in packing.tokenise(docs).collect()} == {i: len(x) + 1 for i, x in enumerate(got)}
+
+
+def changed_copies(rng, base, n_changed):
+    """A text and one with its first words replaced, and the share of their union that their shingle sets have in common."""
+    other = [f"new{rng.random()}" for _ in range(n_changed)] + base[n_changed:]
+    a, b = (set(simhash.shingle_hashes(" ".join(x), 5).tolist()) for x in (base, other))
+    return " ".join(base), " ".join(other), len(a & b) / len(a | b)
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs from 0.6 to 0.95, short ones too, and a passage repeated often: linked at 0.8 or more and not below."""
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for k in range(240):
+        base = [f"w{k}x{j}" for j in range(int(rng.integers(8, 200)))]
+        a, b, similarity = changed_copies(rng, base, int(len(base) * rng.uniform(0.02, 0.3)))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want[2 * k + 1] = 2 * k if similarity >= 0.8 else 2 * k + 1
+    passage = " ".join(f"p{j}" for j in range(30)) + " "
+    rows += [(1000 + i, passage * 40 + " ".join(f"own{i}x{j}" for j in range(60))) for i in range(2)]
+    want[1001] = 1001
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == want and 20 < sum(i != c for i, c in want.items()) < 220
+
+
+@pytest.mark.parametrize("tile, rounds", [(512, 4), (4, 2), (4, 0)])
+def test_links_of_sets_lose_none(spark, tile, rounds):
+    rng = np.random.default_rng(3)
+    sets = [sorted(set(rng.choice(40, int(rng.integers(18, 22)), replace=False).tolist())) for _ in range(6)]
+    sets = [sorted({*s, *rng.choice(40, int(rng.integers(0, 4))).tolist()}) for s in sets for _ in range(8)]
+    want = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if len({*a} & {*b}) >= 0.8 * len({*a} | {*b}):
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(sets)], "block long, node long, shingles array<long>")
+    roots = {r.node: r.root for r in components.connected_components(simhash.links_of_sets(rows, 0.8, tile, rounds)).collect()}
+    assert [roots.get(i, i) for i in range(len(sets))] == want and 1 < len(set(want)) < len(sets)

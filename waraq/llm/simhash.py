@@ -10,7 +10,8 @@ Two ways to form blocks:
 * ``exact_blocks``: a fingerprint is cut into radius + 2 fields; two within the radius agree in at least two of them,
   so a block for each pair of fields loses no link. Used where the radius is small (the 64-bit contract query).
 * ``shingle_blocks``: for radii at which no pigeonhole prunes, rows meet in blocks keyed by bands of minimum shingle
-  hashes. Used for whole-document near copies (five-word shingles, 256-bit fingerprints).
+  hashes. Used for whole-document near copies (five-word shingles, 256-bit fingerprints), where fingerprints only pick
+  candidates: a link is kept if the shingle sets themselves are similar enough.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.components import connected_components
@@ -32,6 +34,8 @@ SEED = 42
 TILE = 2048
 #: Most large blocks whose pivots are broadcast (one row each); more of them are joined by an exchange.
 PIVOTS = 20_000
+#: Rows of a part when shingle sets are compared.
+SET_TILE = 512
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -198,7 +202,18 @@ def _tiles(left: DataFrame, right: DataFrame, prints: list[str], tile: int, salt
     return made(left, own("left"), others("right"), 1).unionByName(made(right, others("left"), own("right"), 2))
 
 
-def _split_large(large: DataFrame, prints: list[str], radius: int, tile: int, rounds: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def _bits_apart(prints: list[str]) -> Column:
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in prints), F.lit(0))
+
+
+def _sets_apart(sets: list[str]) -> Column:
+    """1 less the share of their union that two sets have in common; a metric, like the bits apart."""
+    a, b = F.col(sets[0]), F.col(f"p.{sets[0]}")
+    common = F.size(F.array_intersect(a, b))
+    return 1 - common / (F.size(a) + F.size(b) - common)
+
+
+def _split_large(large: DataFrame, prints: list[str], radius: float, tile: int, rounds: int, distance=_bits_apart) -> tuple[list[DataFrame], list[DataFrame]]:
     """Blocks of more than ``tile`` rows: (edges, smaller blocks) that hold all their links.
 
     Each round takes one row of a block as its pivot. Rows within the radius of it are linked to it, so pairs among them
@@ -212,7 +227,7 @@ def _split_large(large: DataFrame, prints: list[str], radius: int, tile: int, ro
         pivot = F.min(F.struct("node", *prints)).alias("p")
         pivots = rest.groupBy("block").agg(pivot)
         pivots = F.broadcast(pivots) if pivots.count() <= PIVOTS else pivots
-        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in prints), F.lit(0))
+        apart = distance(prints)
         near = materialize(rest.join(pivots, "block").select("block", "node", *prints, F.col("p.node").alias("pivot"), apart.alias("apart")), "pivots")
         edges.append(near.filter((F.col("apart") <= radius) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("node").alias("v")))
         counts = near.groupBy("block").agg(F.count_if(F.col("apart") <= radius).alias("n_left"), F.count_if((F.col("apart") > radius) & (F.col("apart") <= 2 * radius)).alias("n_right"), F.count_if(F.col("apart") > radius).alias("n"))
@@ -315,11 +330,11 @@ def _sketch_rows(words: int, lanes: int, bands: int, rows_per_band: int):
             prints, keys = [], []
             for t in texts_of(batch.column(2)):
                 h = shingle_hashes(t, words)
-                prints.append(bit_majority(h, lanes).view(np.int64))
+                u = np.unique(h)
+                prints.append(bit_majority(u, lanes).view(np.int64))
                 if not len(h):
                     keys.append([])
                     continue
-                u = np.unique(h)
                 low = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
                 with np.errstate(over="ignore"):
                     for at in range(0, len(u), 4096):
@@ -339,23 +354,112 @@ def _sketch_rows(words: int, lanes: int, bands: int, rows_per_band: int):
     return run
 
 
-def near_copies(docs: DataFrame, words: int = 5, bits: int = 256, similarity: float = 0.81, bands: int = 12, rows_per_band: int = 3) -> DataFrame:
+def _set_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 2):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts_of(batch.column(2))]
+            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], ["block", "node", "shingles"])
+
+    return run
+
+
+def linked_sets(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """A label for each set, equal where links join them; sets of side 1 are compared with those of side 2 only.
+
+    Sets already joined are not compared again, so a group of near copies costs one pass a set.
+    """
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    label, mark = np.arange(len(sets)), np.zeros(len(values), bool)
+    tiled = bool(side.any())
+    for i in range(len(sets)):
+        if tiled and side[i] == 2:
+            continue
+        open_ = (label != label[i]) & ((side == 2) if tiled else (np.arange(len(sets)) > i))
+        if not open_.any():
+            continue
+        own = at[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[at], starts, dtype=np.int64)
+        mark[own] = False
+        hits = open_ & (common / (sizes + sizes[i] - common) >= similarity)
+        if hits.any():
+            label[np.isin(label, label[hits])] = label[i]
+    return label
+
+
+def _compare_sets(similarity: float):
+    """Over rows (block, side, node, shingles) sorted by block: edges that join what the links in each block do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+        block = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                side, node = np.array([x[0] for x in held]), np.array([x[1] for x in held], np.int64)
+                label = linked_sets([x[2] for x in held], side, similarity)
+                _, first, group = np.unique(label, return_index=True, return_inverse=True)
+                moved = np.flatnonzero(first[group] != np.arange(len(node)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[first[group[moved]]]), pa.array(node[moved])], ["u", "v"])
+            held.clear()
+
+        for batch in batches:
+            sets = batch.column(3)
+            ends = np.cumsum(np.asarray(pc.list_value_length(sets), dtype=np.int64))
+            flat = sets.flatten().to_numpy(zero_copy_only=False)
+            start = 0
+            for b, s, n, end in zip(*(batch.column(c).to_pylist() for c in range(3)), ends.tolist()):
+                if b != block:
+                    yield from flush()
+                    block = b
+                held.append((s, n, flat[start:end]))
+                start = end
+        yield from flush()
+
+    return run
+
+
+def links_of_sets(rows: DataFrame, similarity: float, tile: int = SET_TILE, rounds: int = 4) -> DataFrame:
+    """``rows``: block long, node long, shingles array<long>. As :func:`links_in_blocks`, by the share of their union that two sets have in common."""
+    sizes = materialize(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "set-sizes")
+    large = sizes.filter(F.col("n") > tile)
+    n_large = large.count()
+    edges = []
+    every = rows.join(sizes.filter(F.col("n") <= tile), "block").select("block", F.lit(0).cast("long").alias("side"), "node", "shingles")
+    if n_large:
+        own = rows.join(F.broadcast(large) if n_large <= PIVOTS else large, "block")
+        edges, blocks = _split_large(own, ["shingles"], 1 - similarity + 1e-12, tile, rounds, _sets_apart)
+        for more in blocks:
+            every = every.unionByName(more)
+    found = every.repartition("block").sortWithinPartitions("block").mapInArrow(_compare_sets(similarity), "u long, v long")
+    for more in edges:
+        found = found.unionByName(more)
+    return found.distinct()
+
+
+def near_copies(docs: DataFrame, words: int = 5, bits: int = 256, similarity: float = 0.8, candidate_bits: int = 64, bands: int = 12, rows_per_band: int = 3) -> DataFrame:
     """Groups of near copies: doc_id, node (hash of the text), component_id, one row per row of ``docs``.
 
-    Two texts are linked where their ``bits``-bit fingerprints of ``words``-word shingles agree in at least
-    ``similarity`` of the bits. Blocks are bands of minimum shingle hashes: shingle sets that share 0.8 of their union
-    meet in some block with probability 1 - (1 - 0.8**3)**12 = 0.9998. component_id is the smallest doc_id of the group;
+    Two texts are linked where their sets of ``words``-word shingles share at least ``similarity`` of their union.
+    Candidates are texts that fingerprints of ``bits`` bits join at ``candidate_bits`` bits or fewer: at 0.8 about 39
+    bits differ. They meet in bands of minimum shingle hashes, in some one with probability 1 - (1 - 0.8**3)**12 =
+    0.9998. All pairs of a group of candidates are held to the similarity. component_id is the smallest doc_id of the group;
     null and empty texts are in no group. Texts equal to the byte share a node, so exact copies are in one group.
     """
     lanes = bits // 64
-    radius = int(bits * (1 - similarity))
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = ", ".join(f"f{k} long" for k in range(lanes))
     source = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
     sketch = materialize(source.mapInArrow(_sketch_rows(words, lanes, bands, rows_per_band), f"doc_id {kind}, node long, {prints}, blocks array<long>"), "sketches")
     nodes = sketch.select("node", *(f"f{k}" for k in range(lanes)), "blocks").dropDuplicates(["node"])
     blocks = nodes.select(F.explode("blocks").alias("block"), "node", *(f"f{k}" for k in range(lanes)))
-    roots = connected_components(links_in_blocks(blocks, lanes, radius))
+    candidates = connected_components(links_in_blocks(blocks, lanes, candidate_bits)).select("node", F.col("root").alias("block")).distinct()
+    texts = source.join(candidates, "node").select("block", "node", "text").dropDuplicates(["node"])
+    sets = materialize(texts.mapInArrow(_set_rows(words), "block long, node long, shingles array<long>"), "shingle-sets")
+    roots = connected_components(links_of_sets(sets, similarity))
     rooted = sketch.select("doc_id", "node", F.size("blocks").alias("n_blocks")).join(roots, "node", "left")
     root = F.when(F.col("n_blocks") == 0, F.lit(None)).otherwise(F.coalesce("root", "node"))
     rooted = rooted.withColumn("root", root)
