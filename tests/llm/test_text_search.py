@@ -233,3 +233,11 @@ def brute_near(rows, words=5, bits=256, similarity=0.81):
     for k, (i, _) in enumerate(full):
         best[find(k)] = min(best.get(find(k), i), i)
     return set(best.values()) | {i for i, t in rows if not (t or "").split()}
+
+
+def test_items_without_an_id_are_found(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"so {item} it is"), (2, "q1 q2 q3 q4 q5"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), ("b-7", "q1 q2 q3 q4 q5")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, None), (2, "b-7")}
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [3]

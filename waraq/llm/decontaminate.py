@@ -64,7 +64,7 @@ def _bench_rows(masks: tuple[str, ...]):
                     places += range(len(h))
                     hashes += h.view(np.int64).tolist()
                     spans += [len(own) if whole else 0] * len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()), pa.array(spans, pa.int64())], ["item_id", "place", "h", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()), pa.array(spans, pa.int64())], ["item", "place", "h", "whole"])
 
     return run
 
@@ -72,7 +72,7 @@ def _bench_rows(masks: tuple[str, ...]):
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, 1):
         words, at = _words(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["item_id", "item_words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["item", "item_words"])
 
 
 def _regions(masks: tuple[str, ...], bitmap: np.ndarray):
@@ -137,7 +137,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c).take(pick) for c in range(3)), pa.array(first, pa.int64()), pa.array(equal, pa.int64()), pa.array(best, pa.int64())],
-            ["doc_id", "row_hash", "item_id", "first_word", "equal_words", "best_window"],
+            ["doc_id", "row_hash", "item", "first_word", "equal_words", "best_window"],
         )
 
 
@@ -154,19 +154,22 @@ def _bitmap(seeds: DataFrame) -> np.ndarray:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row_hash, item_id, first_word, equal_words, best_window: one row per verified alignment."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    seeds = materialize(bench.mapInArrow(_bench_rows(MASKS), "item_id long, place long, h long, whole long"), "seeds")
+    given = benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+    keyed = materialize(given, "benchmark")  # written, so that a row has the same key wherever it is read
+    bench = keyed.select("item", "text")
+    seeds = materialize(bench.mapInArrow(_bench_rows(MASKS), "item long, place long, h long, whole long"), "seeds")
     short = tuple("1" * r["whole"] for r in seeds.filter("whole > 0").select("whole").distinct().collect())  # at most 8 lengths
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
     regions = rows.mapInArrow(_regions(MASKS + short, _bitmap(seeds)), f"doc_id {kind}, row_hash long, start long, body binary, hashes array<long>, places array<long>")
     regions = materialize(regions.withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("region", F.col("x.hashes").alias("h"), F.col("x.places").alias("at"))
-    found = hits.join(seeds, "h").select("region", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
-    items = bench.mapInArrow(_item_words, "item_id long, item_words binary")
-    near = found.join(regions.select("region", "doc_id", "row_hash", "start", "body"), "region").join(items, "item_id")
-    ready = near.select("doc_id", "row_hash", "item_id", "start", "body", "item_words", "shift")
-    return ready.mapInArrow(_verify, f"doc_id {kind}, row_hash long, item_id long, first_word long, equal_words long, best_window long")
+    found = hits.join(seeds, "h").select("region", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    items = bench.mapInArrow(_item_words, "item long, item_words binary")
+    near = found.join(regions.select("region", "doc_id", "row_hash", "start", "body"), "region").join(items, "item")
+    ready = near.select("doc_id", "row_hash", "item", "start", "body", "item_words", "shift")
+    verified = ready.mapInArrow(_verify, f"doc_id {kind}, row_hash long, item long, first_word long, equal_words long, best_window long")
+    return verified.join(keyed.select("item", "item_id"), "item").select("doc_id", "row_hash", "item_id", "first_word", "equal_words", "best_window")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -176,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with at least 11 of them equal, place by place; an item of 5 to 12 words must stand there unchanged; shorter items
     are not told from chance and never match. first_word is the item's place in the document (words before it),
     equal_words the equal words of that alignment; of several alignments the one with the most equal words, then the first, counts.
-    Null and empty texts and items: no pairs. Null ids: reported as null. Repeated rows: one pair. Empty tables: no rows.
+    Null and empty texts and items: no pairs. Null ids of documents and items: reported as null. item_id keeps its type. Repeated rows: one pair. Empty tables: no rows.
     """
     best = F.max_by(F.struct("first_word", "equal_words"), F.struct("equal_words", -F.col("first_word"))).alias("b")
     return overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.first_word", "b.equal_words")
