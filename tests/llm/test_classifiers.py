@@ -174,3 +174,20 @@ def test_bit_sliced_filters_answer_for_all_languages():
         assert abs(member(asked).mean() - rates[lang]) < 0.005
     counts, total = language_id.language_counts(pa.array(["the thing", None, "x"]), tables, rates)
     assert counts.shape == (3, 11) and total[1] == 0 and (counts >= 0).all()
+
+
+def test_evidence_is_the_same_in_fitting_and_scoring(monkeypatch):
+    """What the rule is fitted on is what it scores: for insults in many sentences, spellings and repeats."""
+    fitted = {}
+    made = toxicity.fit_rule
+    monkeypatch.setattr(toxicity, "fit_rule", lambda evidence, y: fitted.setdefault("rule", (evidence, made(evidence, y)))[1])
+    rows = made_corpus()
+    long = "The plain words go on 12 -- here, zonkhead. " * 20 + "Zonkhead zonk-head ZONKHEAD z o n k h e a d! vexnot vexnot vexnot vexnot vexnot"
+    texts = [[long, *(t for _, t, y in rows if y)], [t for _, t, y in rows if not y]]
+    bags = toxicity.Documents()
+    toxic, clean = ([bags.read(t) for t in part] for part in texts)
+    machine = toxicity.train(toxic, clean, bags.words)
+    toxicity._memo.clear()
+    scored = toxicity.evidence_of(*np.array(toxicity._evidence(machine, [*texts[0], *texts[1]])).T)
+    assert np.allclose(fitted["rule"][0], scored, atol=1e-3)
+    assert np.expm1(scored[0, 0]) > 20

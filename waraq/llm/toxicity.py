@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,6 @@ DECAY, SPAN, TABLE_BITS = 0.6, 5, 20
 LANDMARKS = 96
 MEMO_WORDS = 200_000
 SCORE_CHARS = 1 << 20
-#: Occurrences of one word in a document that count as evidence.
-REPEATS = 3
 #: Words below which a document's length counts little.
 SHORT = 64
 #: Digits and signs that stand for letters inside a word.
@@ -54,6 +52,11 @@ def words_of(text: str) -> Counter:
     return found
 
 
+def sentences_of(text: str) -> Iterator[Counter]:
+    """The words of each sentence; what is learned from and what is scored are both read this way."""
+    return map(words_of, _SENTENCE.split(text))
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner (index into words), code and weight of every gapped subsequence of three characters; words are marked at the start."""
     pad = "\0" * (SPAN - 1)
@@ -150,9 +153,9 @@ class Documents:
 
     def read(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
-        for sentence in _SENTENCE.split(text):
+        for sentence in sentences_of(text):
             found: dict[int, int] = {}
-            for w, n in words_of(sentence).items():
+            for w, n in sentence.items():
                 name = fold(w)
                 if name:
                     i = self.number.setdefault(name, len(self.number))
@@ -188,18 +191,21 @@ def count_words(docs: list, size: int) -> np.ndarray:
     n = np.zeros(size)
     for d in docs:
         for s, c in d:
-            n[s] += np.minimum(c, REPEATS)
+            n[s] += c
     return n
 
 
-def document_evidence(scored: list[tuple[float, int]]) -> tuple[float, float, int]:
-    """From (share of an insult, occurrences) of each word: weight in all (repeats count up to ``REPEATS``), worst, words."""
+def document_evidence(scored: Iterable[tuple[float, int]]) -> tuple[float, float, int]:
+    """From (share of an insult, occurrences) of each folded word of each sentence: weight in all, worst, words.
+
+    Every occurrence counts, so it does not matter whether a word's occurrences come at once, by sentence or by spelling.
+    """
     hits = best = 0.0
     words = 0
     for share, n in scored:
         words += n
         if share > 0:
-            hits += share * min(n, REPEATS)
+            hits += share * n
             best = max(best, share)
     return hits, best, words
 
@@ -271,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_byte
     return train(toxic, clean, bags.words) if toxic and clean else None
 
 
-_memo: dict[str, float] = {}
+_memo: dict[str, float | None] = {}  # None: nothing is left of the word when folded, so it is not counted
 _memo_of: list[int] = []
 
 
@@ -301,7 +307,12 @@ def document_scores(machine: KernelMachine | None, texts: list[str]) -> np.ndarr
 def _evidence(machine: KernelMachine, texts: list[str]) -> list[tuple[float, float, int]]:
     if len(_memo) > MEMO_WORDS:
         _memo.clear()
-    bags = [words_of(t) for t in texts]
+    bags = []
+    for t in texts:
+        bag: Counter = Counter()
+        for sentence in sentences_of(t):
+            bag.update(sentence)
+        bags.append(bag)
     folded: dict[str, list[str]] = {}
     for w in set().union(*bags).difference(_memo):
         folded.setdefault(fold(w), []).append(w)
@@ -310,8 +321,8 @@ def _evidence(machine: KernelMachine, texts: list[str]) -> list[tuple[float, flo
         part = names[at : at + 20_000]
         for name, value in zip(part, machine.decide(part).tolist()):
             for w in folded[name]:
-                _memo[w] = min(1.0, max(0.0, value)) if name else 0.0
-    return [document_evidence([(_memo[w], n) for w, n in bag.items()]) for bag in bags]
+                _memo[w] = min(1.0, max(0.0, value)) if name else None
+    return [document_evidence((_memo[w], n) for w, n in bag.items() if _memo[w] is not None) for bag in bags]
 
 
 def _score_rows(machine):
