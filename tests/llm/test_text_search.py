@@ -241,3 +241,25 @@ def test_items_without_an_id_are_found(spark):
     bench = spark.createDataFrame([(None, item), ("b-7", "q1 q2 q3 q4 q5")], "item_id string, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, None), (2, "b-7")}
     assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [3]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>a <svg class="i"/> rest</p><p>body</p>', "a rest\nbody"),
+        ("<button-bar>k</button-bar><p>article</p>", "k\narticle"),
+        ("<p>x</p><select><option>o<p>article body</p>", "x\no\narticle body"),
+        ("<p>a <button>Buy</button> b</p><select><option>z</select><p>q</p>", "a b\nq"),
+        ('<p>a</p><script>var a="<p>no</p>";</script><p>b</p><script>zz', "a\nb"),
+        ('<body class="has-sidebar"><p>t</p></body>', "t"),
+        ('<article class="legal-news"><p>t</p></article>', "t"),
+        ('<div class="post-body"><p>t</p></div><div class="post-comments"><p>u</p></div>', "t"),
+    ],
+)
+def test_no_article_is_cut_by_an_element_or_a_name(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_class_words_tell_paths_apart():
+    paths = html_extract.parse('<div class="post-body"></div><div class="post-comments"></div>')[1]
+    assert len(paths) == 2

@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from waraq.llm.textops import by_bytes, texts_of
 from waraq.runtime import materialize
 
-#: Elements whose content is not text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "select", "button", "canvas", "math")
+#: Elements whose content is raw text, up to their end tag.
+RAW = ("script", "style", "iframe", "textarea", "title")
+#: Elements whose content is no text of the page, but is made of elements. One without an end tag holds nothing.
+HIDDEN = frozenset("noscript template svg object select button canvas math".split())
+#: Of these, the ones that cannot stand inside one another.
+UNNESTED = frozenset(["select", "button"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -35,6 +39,8 @@ BLOCK = frozenset(
 FAMILIES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LISTS = frozenset(["ul", "ol", "dl", "menu", "table"])
 MAIN = frozenset(["article", "main"])
+#: Elements that hold the article, so that no word of a class name makes them aside.
+WHOLE = MAIN | {"html", "body"}
 #: Element names, and words of class and id names, that mark what is not the article.
 SIDE_ELEMENTS = frozenset("nav footer aside form dialog menu search head fieldset".split())
 SIDE_WORDS = frozenset(
@@ -43,7 +49,8 @@ SIDE_WORDS = frozenset(
 HEAD_WORDS = frozenset(["header", "masthead"])
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<!/>).*?</(?P=raw)\s*>"
+    r"|<(?:script|style)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<!/>).*"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -62,11 +69,17 @@ class Block:
         self.text, self.path, self.side, self.main, self.links = text, path, side, main, links
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """An element's name in paths (with its first class or id, without digits), and whether it is aside."""
+def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """An element's name in paths (with the words of its classes and id, without digits), whether it is aside, and whether a page's head."""
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if attrs else ""
     words = [w for w in _PARTS.split(_CAMEL.sub(" ", names).lower()) if w]
-    return (f"{tag}.{words[0]}" if words else tag), tag in SIDE_ELEMENTS or bool(SIDE_WORDS.intersection(words)), bool(HEAD_WORDS.intersection(words)) or tag == "header"
+    label = ".".join([tag, *dict.fromkeys(words)])
+    if tag in WHOLE:
+        return label, False, False
+    return label, tag in SIDE_ELEMENTS or bool(SIDE_WORDS.intersection(words)), bool(HEAD_WORDS.intersection(words)) or tag == "header"
+
+
+_EDGES = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in HIDDEN}
 
 
 def parse(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
@@ -88,7 +101,9 @@ def parse(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
 
     def text_of(piece: str) -> None:
         nonlocal links
-        if piece:
+        if piece and any(s[0] in HIDDEN for s in stack):
+            held.append(" ")
+        elif piece:
             held.append(piece)
             if any(s[0] == "a" for s in stack):
                 links += len(piece)
@@ -101,15 +116,31 @@ def parse(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
             if stack[i][0] in stop:
                 return
 
+    unclosed: set[str] = set()  # elements with no end tag in the rest of the page
+
+    def has_end(tag: str, start: int) -> bool:
+        if tag in unclosed:
+            return False
+        for edge in _EDGES[tag].finditer(page, start):
+            if edge[1]:
+                return True
+            if tag in UNNESTED:
+                return False
+        unclosed.add(tag)
+        return False
+
     at = 0
     for m in _TOKEN.finditer(page):
         text_of(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"]:
+            if not m[0].startswith(("<!", "<?")):
                 held.append(" ")
             continue
+        if tag in HIDDEN and not m["end"] and (m["attrs"].endswith("/") or not has_end(tag, at)):
+            held.append(" ")
+            continue
         if tag in VOID:
             held.append(" ")
             if tag == "hr":
@@ -130,7 +161,7 @@ def parse(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
         above = stack[-1] if stack else ("", "", False, False)
         main = above[3] or tag in MAIN
         if not m["attrs"].endswith("/") or is_block:
-            stack.append((tag, label, above[2] or side or (head and not above[3]), main))
+            stack.append((tag, label, above[2] or side or tag in HIDDEN or (head and not above[3]), main))
         if is_block:
             path = tuple(s[1] for s in stack if s[0] in BLOCK)
             paths[path] = paths.get(path, 0) + 1
