@@ -263,3 +263,14 @@ def test_no_article_is_cut_by_an_element_or_a_name(page, want):
 def test_class_words_tell_paths_apart():
     paths = html_extract.parse('<div class="post-body"></div><div class="post-comments"></div>')[1]
     assert len(paths) == 2
+
+
+def test_template_decides_inside_articles_too(spark):
+    """A notice in every article goes, and cards do not stand for the story in a div."""
+    story = lambda i: f"Story number {i} tells of {i * 7} things, and at some length of what came of the {i * 3} others."
+    rows = [(i, f"http://notes/{i}", f"<body><article><p>{story(i)}</p><p>Read the terms before you go on.</p></article></body>") for i in range(8)]
+    rows += [(10 + i, f"http://cards/{i}", f'<body><div class="x"><p>{story(i)}</p></div><article><a href="/a">Card {i}</a></article><article><a href="/b">Card {i + 1}</a></article></body>') for i in range(8)]
+    rows += [(20 + i, f"http://copies/{i}", f"<body><article><p>{story(1)}</p></article></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == story(i) == got[10 + i] for i in range(8)), got
+    assert all(got[20 + i] == story(1) for i in range(4))

@@ -1,11 +1,11 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Over the pages of one host, tokens (elements told apart by their path, and short texts outside an article) that occur the same number of
+Over the pages of one host, tokens (elements told apart by their path, and texts not yet told to be aside) that occur the same number of
 times on each page share an occurrence vector and form an equivalence class. A class that covers at least half of the
 host's pages is valid; nested by their paths, the valid classes are the host's template. What is left of a page once
 the template's own texts are taken out are its slots: text under the deepest template element around it. Slots of
 menus, headers, footers, sidebars, notices, adverts, forms and comments are told by element and class names and by
-their share of link text; the others are the article.
+their share of link text. Of the others, those under article or main are the article where they hold at least half of the text.
 
 Occurrence vectors are never gathered: a vector is the sum of a hash of (page, count) over the pages, which partial
 aggregation forms beside the data, so a host with a third of all pages is no larger a row than any other.
@@ -189,7 +189,7 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at[2] += min(b.links, len(b.text))
                 at[3] |= b.main
                 at[4] |= b.side
-                if not b.main and not b.side:
+                if not b.side:
                     h = _hash(b.path, b.text)
                     texts[h] = texts.get(h, 0) + 1
             name = xxhash.xxh64_intdigest(page) >> 1
@@ -219,8 +219,8 @@ def template_rules(hosted: DataFrame) -> DataFrame:
     classes = known.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("members"), F.first("host_pages").alias("host_pages"))
     valid = classes.filter((F.col("pages") >= 2) & (F.col("pages") * 2 >= F.col("host_pages"))).select("host", "vector", "pages")
     template = known.join(valid, ["host", "vector", "pages"])
-    aside = F.col("is_side") | (F.col("links") * 2 > F.col("chars"))
-    slot = F.when(~F.col("is_text") & ~F.col("is_main") & (F.col("chars") > 0) & aside, F.col("token"))
+    aside = F.col("is_side") | (~F.col("is_main") & (F.col("links") * 2 > F.col("chars")))  # an author's link right below an article does not make it aside
+    slot = F.when(~F.col("is_text") & (F.col("chars") > 0) & aside, F.col("token"))
     fixed = F.when(F.col("is_text") & (F.col("pages") >= 3), F.col("token"))
     return template.groupBy("host").agg(F.collect_set(slot).alias("slots"), F.collect_set(fixed).alias("fixed"))
 
@@ -228,15 +228,17 @@ def template_rules(hosted: DataFrame) -> DataFrame:
 def main_text(page: str, slots: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset()) -> str:
     """The article's blocks, one per line, given the host's template."""
     blocks, _ = parse(page)
-    if any(b.main and not b.side for b in blocks):
-        return "\n".join(b.text for b in blocks if b.main and not b.side)
 
     def in_side_slot(path: tuple[str, ...]) -> bool:
         return bool(slots) and any(_hash(path[:k]) in slots for k in range(len(path), 0, -1))
 
     kept = [b for b in blocks if not b.side and not in_side_slot(b.path) and not (fixed and _hash(b.path, b.text) in fixed)]
-    prose = [b for b in kept if b.links * 2 <= len(b.text)]
-    return "\n".join(b.text for b in (prose or kept))
+    prose = [b for b in kept if b.main or b.links * 2 <= len(b.text)] or kept
+    inside = [b for b in prose if b.main]
+    article = inside if sum(len(b.text) - min(b.links, len(b.text)) for b in inside) * 2 >= sum(len(b.text) for b in prose) else [b for b in prose if b.links * 2 <= len(b.text)] or prose
+    if not article and (slots or fixed):  # a copy of most of its host's pages is all template
+        return main_text(page)
+    return "\n".join(b.text for b in article)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
