@@ -1,6 +1,7 @@
 """Secrets, HTML extraction, decontamination and the pipeline: brute-force checks and odd rows."""
 
 import re
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -104,10 +105,123 @@ def test_template_texts_are_left_out(spark):
     assert got == {i: f"Story number {i} is about {i * 7} things.\nIt ends with {i}." for i in range(8)}
 
 
-def test_occurrence_vectors_group_tokens(spark):
-    rows = [(i, "h", f"<div><p>a{i}</p><p>b</p></div>" + "<section><i>x</i></section>" * (i % 2)) for i in range(4)]
-    rules = html_extract.template_rules(spark.createDataFrame(rows, "page_id long, host string, html string"))
-    assert [r.host for r in rules.collect()] == ["h"]
+def tokens_by_hand(rows):
+    """Occurrence vectors of one host as lists over its pages, from tokens counted page by page."""
+    vectors, first, sums = defaultdict(lambda: [0] * len(rows)), {}, defaultdict(lambda: [0, 0, 0])
+    for k, html in enumerate(rows):
+        for token, group, parent, is_text, container, main, n, prose, chars, links in html_extract.page_tokens(html_extract.Page(html)):
+            vectors[token][k] += n
+            first[token] = (group, parent, is_text, container, main)
+            sums[token] = [x + y for x, y in zip(sums[token], (prose, chars, links))]
+    places = defaultdict(set)
+    for token, (group, _, is_text, *_) in first.items():
+        if not is_text:
+            places[group].add(tuple(vectors[token]))
+    out = []
+    for token, v in vectors.items():
+        group, parent, is_text, container, main = first[token]
+        if sum(x > 0 for x in v) * 2 >= len(rows):
+            out.append((token, group, parent, is_text, container, main, sum(x > 0 for x in v), tuple(v), len(places[group]) == 1, *sums[token]))
+    return out
+
+
+def bare(html):
+    """A page without the names that tell what its parts are."""
+    html = re.sub(r"<(/?)(nav|header|footer|aside|form|section|menu|article|main)(?=[\s>])", r"<\1div", html or "")
+    return re.sub(r"\s(class|id|role)=\"[^\"]*\"", "", html)
+
+
+def div_paragraphs(n=8):
+    """Pages that name nothing: a menu, a notice, a story whose paragraphs are bare divs, a footer. Stories differ in length."""
+    menu = "<div><a href='/a'>First</a> <a href='/b'>Second</a></div>"
+    made = []
+    for i in range(n):
+        parts = ["A long first paragraph that holds most of what the story has to say, " * 6 + f"in its part {i}.", *(f"Then came part {k} of {i}." for k in range(1 + i % 3))]
+        made.append((f"<html><body>{menu}<div>Call us today</div><div>{''.join(f'<div>{x}</div>' for x in parts)}</div><div>Rights {i} kept</div></body></html>", "\n".join(parts)))
+    return made
+
+
+def test_occurrence_vectors_against_lists(spark, sf_small):
+    pages = [(r.url, r.html) for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()]
+    hosts = defaultdict(list)
+    for url, html in pages:
+        hosts[re.sub(r"^[a-z]+://([^/]+).*", r"\1", url)].append(html)
+    hosted = spark.createDataFrame([(h, t) for h, ts in hosts.items() for t in ts], "host string, html string")
+    got = defaultdict(dict)
+    for r in html_extract.host_tokens(hosted).collect():
+        got[r.host][r.token] = r
+    many = {h: ts for h, ts in hosts.items() if len(ts) > 1}
+    assert set(got) == set(many) and len(many) > 2
+    for h, ts in many.items():
+        want = {t[0]: t for t in tokens_by_hand(ts)}
+        assert set(want) == set(got[h])
+        for token, t in want.items():
+            r = got[h][token]
+            assert (r.group, r.parent, r.is_text, r.container, r.main, r.pages, r.uniform, r.prose, r.chars, r.links) == (*t[1:7], t[8], *t[9:]) or t[3]
+        same = defaultdict(set)
+        for token, t in want.items():
+            same[t[7]].add(got[h][token].vector)
+        assert all(len(v) == 1 for v in same.values()) and len(set(map(frozenset, same.values()))) == len(same)
+        rules = html_extract.template_of(list(want.values()))
+        again = html_extract.template_of([tuple(r)[1:] for r in got[h].values()])
+        assert rules == again
+
+
+def test_pages_without_names_by_their_template(spark, sf):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    want = {i: html_extract.main_text(re.search("<article>.*</article>", h, re.S)[0], html_extract.Rules()) for i, _, h in rows if "<article>" in (h or "")}
+    named = {r.page_id: r.text for r in QUERIES["op5_html_extract"](spark, sf).collect()}
+    unnamed = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(i, u, bare(h)) for i, u, h in rows], "page_id long, url string, html string")).collect()}
+    assert len(want) > 200 and all(named[i] == t for i, t in want.items())
+    assert np.mean([unnamed[i] == t for i, t in want.items()]) > 0.98
+
+
+def test_classes_decide(spark):
+    """Vectors and nesting each change what is extracted."""
+    made = div_paragraphs()
+    rows = [(i, f"http://plain/{i}", html) for i, (html, _) in enumerate(made)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(made)}
+    tokens = tokens_by_hand([html for html, _ in made])
+    assert [html_extract.main_text(html, html_extract.template_of(tokens)) for html, _ in made] == [want for _, want in made]
+    one_class = [(*t[:7], 0, True, *t[9:]) for t in tokens]
+    flat = [(*t[:2], t[0] if t[0] == html_extract.ROOT else 0, *t[3:]) for t in tokens]
+    for changed in (one_class, flat):
+        rules = html_extract.template_of(changed)
+        assert all(html_extract.main_text(html, rules) != want for html, want in made)
+
+
+def test_a_text_of_the_template_shares_a_class_of_elements():
+    """A line on every page goes; one on most pages, whose vector is no element's, stays."""
+    pages = [f"<body><div><p>Story {i} of {i * i}, with more to it.</p><p>All pages say this.</p>{'<p>Most pages say this.</p>' * (i > 1)}</div></body>" for i in range(6)]
+    rules = html_extract.template_of(tokens_by_hand(pages))
+    for i, html in enumerate(pages):
+        assert html_extract.main_text(html, rules).split("\n") == [f"Story {i} of {i * i}, with more to it."] + ["Most pages say this."] * (i > 1)
+
+
+def test_a_heading_beside_the_article_stays():
+    pages = [f"<body><h1>Site</h1><div><h1>Title {i}</h1><div>{f'<p>Part {i} of a long story.</p>' * (3 + i)}</div></div></body>" for i in range(4)]
+    rules = html_extract.template_of(tokens_by_hand(pages))
+    assert html_extract.main_text(pages[2], rules).split("\n") == ["Title 2"] + ["Part 2 of a long story."] * 5
+
+
+def test_deep_and_long_pages_are_read_in_linear_time(spark):
+    deep = "<div>" * 30_000 + "deep text" + "</div>" * 30_000
+    bold = "<p>" + "<b><i>" * 20_000 + "bold text" + "</p>"
+    long_ = "<body><div>" + "".join(f"<p>Paragraph {k} &amp; more.</p>" for k in range(60_000)) + "</div></body>"
+    start = time.time()
+    assert html_extract.main_text(deep) == "deep text" and html_extract.main_text(bold) == "bold text"
+    assert html_extract.main_text(long_).count("\n") == 59_999
+    assert time.time() - start < 20
+    pages = spark.createDataFrame([(1, "http://a/1", deep), (2, "http://a/2", deep)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract(pages).collect()} == {"deep text"}
+
+
+def test_templates_joined_by_host_and_part(spark):
+    rows = [(i, f"http://plain/{i}", html) for i, (html, _) in enumerate(div_paragraphs())]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a, b = (sorted(tuple(r) for r in html_extract.extract(docs, broadcast_bytes=n).collect()) for n in (1 << 20, -1))
+    assert a == b
 
 
 def test_every_page_has_a_row(spark, sf):
@@ -260,9 +374,9 @@ def test_no_article_is_cut_by_an_element_or_a_name(page, want):
     assert html_extract.main_text(page) == want
 
 
-def test_class_words_tell_paths_apart():
-    paths = html_extract.parse('<div class="post-body"></div><div class="post-comments"></div>')[1]
-    assert len(paths) == 2
+def test_class_words_tell_elements_apart():
+    page = html_extract.Page('<div class="post-body"></div><div class="post-comments"></div><div class="post-body"></div>')
+    assert len({e.group for e in page.elements[1:]}) == 2 and len({e.token for e in page.elements[1:]}) == 3
 
 
 def test_template_decides_inside_articles_too(spark):

@@ -1,22 +1,32 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Over the pages of one host, tokens (elements told apart by their path, and texts not yet told to be aside) that occur the same number of
-times on each page share an occurrence vector and form an equivalence class. A class that covers at least half of the
-host's pages is valid; nested by their paths, the valid classes are the host's template. What is left of a page once
-the template's own texts are taken out are its slots: text under the deepest template element around it. Slots of
-menus, headers, footers, sidebars, notices, adverts, forms and comments are told by element and class names and by
-their share of link text. Of the others, those under article or main are the article where they hold at least half of the text.
+Tokens are elements, told apart by their role (the names of the elements around, and the place among siblings of the
+same name), and texts under a path of names. Over the pages of one host, tokens with the same occurrence vector form an
+equivalence class. A class is valid if it covers at least half of the host's pages, if all places of a name under one
+parent are in one class (else their number varies, and they are a set inside their parent's slot), and if the parents of its elements are
+in valid classes too. So valid classes nest, from the root class down, into the host's template; the text under an
+element of the template, outside the elements nested in it, is a slot. A text whose vector is that of a valid class
+belongs to the template itself.
+
+The article is found among the slots: from the root of the template the way goes to the nested element that holds most
+of the prose, as long as one does. Prose is text outside links. Names of elements and classes are features of a slot:
+text under names of menus, notices, forms and comments is no prose, and text under article or main counts more. A page
+alone on its host, or without the host's article element, is its own template.
 
 Occurrence vectors are never gathered: a vector is the sum of a hash of (page, count) over the pages, which partial
-aggregation forms beside the data, so a host with a third of all pages is no larger a row than any other.
+aggregation forms beside the data, so a host with a third of all pages is no larger a row than any other. What is
+gathered of a host are its tokens on at least half of its pages, at most twice the tokens of a mean page.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,7 +34,6 @@ from pyspark.sql import functions as F
 
 from waraq.llm.textops import by_bytes, texts_of
 from waraq.runtime import materialize
-
 #: Elements whose content is raw text, up to their end tag.
 RAW = ("script", "style", "iframe", "textarea", "title")
 #: Elements whose content is no text of the page, but is made of elements. One without an end tag holds nothing.
@@ -60,13 +69,44 @@ _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-class Block:
-    """A block of text, the path of the elements around it, whether it is aside and whether in an article, and its link characters."""
+#: Elements that can be the article's own, so that the way through the template may end in them.
+CONTAINERS = frozenset("html body div section article main center form table tbody tr td".split())
+HEADINGS = frozenset(["h1"])
+#: What part of an element's prose a nested element must hold for the way to go on to it, and how much prose under
+#: article or main counts.
+MOST, MAIN_WEIGHT = 0.6, 4
+#: Pages of a host from which on a text that is on all of them is the template's; two are enough for a page's heading
+#: outside the article.
+FIXED_PAGES = 5
+
+
+@dataclass(slots=True)
+class Element:
+    """A block element of a page. Its token is its role, its group what all places of its name under its parent share."""
 
-    __slots__ = ("links", "main", "path", "side", "text")
+    token: int
+    group: int
+    parent: int  # index into the page's elements
+    tag: str
+    place: int
+    names: int  # hash of the path of names
+    children: dict[str, int] = field(default_factory=dict)
+    prose: int = 0  # characters of prose at or under it, those under article or main weighted
+    chars: int = 0
+    links: int = 0
+    main: bool = False
 
-    def __init__(self, text: str, path: tuple[str, ...], side: bool, main: bool, links: int):
-        self.text, self.path, self.side, self.main, self.links = text, path, side, main, links
+
+@dataclass(slots=True)
+class Block:
+    """A block of text, the element around it, whether it is aside and whether in an article, and its link characters."""
+
+    text: str
+    at: int
+    side: bool
+    main: bool
+    heading: bool
+    links: int
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
@@ -82,186 +122,309 @@ def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
 _EDGES = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in HIDDEN}
 
 
-def parse(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
-    """The blocks of a page in order, and how often each path of block elements occurs."""
-    stack: list[tuple[str, str, bool, bool]] = []  # element, label, aside, in an article
-    paths: dict[tuple[str, ...], int] = {}
-    blocks: list[Block] = []
-    held: list[str] = []
-    links = 0
+def _hash(*parts: object) -> int:
+    h = xxhash.xxh64_intdigest("\0".join(map(str, parts)))
+    return h - (1 << 64) if h >> 63 else h
+
+
+ROOT = _hash("root")
+
+
+class Page:
+    """A page read once: its block elements and its blocks of text, in order. Time and memory are linear in the page."""
 
-    def flush() -> None:
-        nonlocal links
-        text = _SPACE.sub(" ", html_lib.unescape("".join(held))).strip() if held else ""
+    def __init__(self, page: str):
+        self.elements = [Element(ROOT, ROOT, -1, "html", 1, ROOT)]
+        self.blocks: list[Block] = []
+        self.page = page
+        # open elements: tag, index of the block element at or around it, aside, in an article
+        self.stack: list[tuple[str, int, bool, bool]] = []
+        self.open: Counter = Counter()
+        self.hidden = 0
+        self.held: list[str] = []
+        self.links = 0
+        self.unclosed: set[str] = set()  # elements with no end tag in the rest of the page
+        self._read()
+
+    def _flush(self) -> None:
+        text = _SPACE.sub(" ", html_lib.unescape("".join(self.held))).strip() if self.held else ""
         if text:
-            top = stack[-1] if stack else ("", "", False, False)
-            blocks.append(Block(text, tuple(s[1] for s in stack if s[0] in BLOCK), top[2], top[3], links))
-        held.clear()
-        links = 0
-
-    def text_of(piece: str) -> None:
-        nonlocal links
-        if piece and any(s[0] in HIDDEN for s in stack):
-            held.append(" ")
+            _, at, side, main = self.stack[-1] if self.stack else ("", 0, False, False)
+            self.blocks.append(Block(text, at, side, main, self.elements[at].tag in HEADINGS, min(self.links, len(text))))
+        self.held.clear()
+        self.links = 0
+
+    def _text(self, piece: str) -> None:
+        if piece and self.hidden:
+            self.held.append(" ")
         elif piece:
-            held.append(piece)
-            if any(s[0] == "a" for s in stack):
-                links += len(piece)
-
-    def close(names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
-
-    unclosed: set[str] = set()  # elements with no end tag in the rest of the page
-
-    def has_end(tag: str, start: int) -> bool:
-        if tag in unclosed:
+            self.held.append(piece)
+            if self.open["a"]:
+                self.links += len(piece)
+
+    def _pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.open[tag] -= 1
+            self.hidden -= tag in HIDDEN
+
+    def _close(self, names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+        if any(self.open[n] for n in names):
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] in names:
+                    self._pop(i)
+                    return
+                if self.stack[i][0] in stop:
+                    return
+
+    def _has_end(self, tag: str, start: int) -> bool:
+        if tag in self.unclosed:
             return False
-        for edge in _EDGES[tag].finditer(page, start):
+        for edge in _EDGES[tag].finditer(self.page, start):
             if edge[1]:
                 return True
             if tag in UNNESTED:
                 return False
-        unclosed.add(tag)
+        self.unclosed.add(tag)
         return False
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        text_of(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            if not m[0].startswith(("<!", "<?")):
-                held.append(" ")
-            continue
-        if tag in HIDDEN and not m["end"] and (m["attrs"].endswith("/") or not has_end(tag, at)):
-            held.append(" ")
-            continue
-        if tag in VOID:
-            held.append(" ")
-            if tag == "hr":
-                flush()
-            continue
-        is_block = tag in BLOCK
+    def _open(self, tag: str, attrs: str, is_block: bool) -> None:
+        label, side, head = _label(tag, attrs)
+        _, at, aside, main = self.stack[-1] if self.stack else ("", 0, False, False)
+        aside = aside or side or tag in HIDDEN or (head and not main)
+        main = main or tag in MAIN
         if is_block:
-            flush()
-        if m["end"]:
-            if any(s[0] == tag for s in stack):
-                close({tag}, frozenset() if is_block else BLOCK)
+            above = self.elements[at]
+            place = above.children[label] = above.children.get(label, 0) + 1
+            group = _hash(above.token, label)
+            self.elements.append(Element(_hash(group, place), group, at, tag, place, _hash(above.names, label), main=main))
+            at = len(self.elements) - 1
+        if is_block or not attrs.endswith("/"):
+            self.stack.append((tag, at, aside, main))
+            self.open[tag] += 1
+            self.hidden += tag in HIDDEN
+
+    def _read(self) -> None:
+        at = 0
+        for m in _TOKEN.finditer(self.page):
+            self._text(self.page[at : m.start()])
+            at = m.end()
+            tag = (m["tag"] or "").lower()
+            if not tag:
+                if not m[0].startswith(("<!", "<?")):
+                    self.held.append(" ")
+                continue
+            if tag in HIDDEN and not m["end"] and (m["attrs"].endswith("/") or not self._has_end(tag, at)):
+                self.held.append(" ")
+                continue
+            if tag in VOID:
+                self.held.append(" ")
+                if tag == "hr":
+                    self._flush()
+                continue
+            is_block = tag in BLOCK
+            if is_block:
+                self._flush()
+            if m["end"]:
+                self._close({tag}, frozenset() if is_block else BLOCK)
+                continue
+            if is_block:
+                self._close({"p"}, MAIN | LISTS | frozenset(["div", "section", "td", "th", "li", "body"]))
+            if tag in FAMILIES:
+                self._close(FAMILIES[tag], LISTS)
+            self._open(tag, m["attrs"], is_block)
+        self._text(self.page[at:])
+        self._flush()
+        for b in self.blocks:
+            e = self.elements[b.at]
+            if not b.side:
+                e.prose += (len(b.text) - b.links) * (MAIN_WEIGHT if b.main else 1)
+            e.chars += len(b.text)
+            e.links += b.links
+        for e in reversed(self.elements[1:]):
+            above = self.elements[e.parent]
+            above.prose += e.prose
+            above.chars += e.chars
+            above.links += e.links
+
+
+@dataclass(slots=True)
+class Rules:
+    """What a host's template says of a page: the element of the article, the elements that led to it, elements of links
+    and texts that are no part of it, and texts that are no heading of it."""
+
+    article: int = ROOT
+    way: frozenset[int] = frozenset([ROOT])
+    links: frozenset[int] = frozenset()
+    fixed: frozenset[int] = frozenset()
+    heads: frozenset[int] = frozenset()
+
+
+def template_of(tokens: list[tuple]) -> Rules:
+    """The rules of a host from its tokens on at least half of its pages.
+
+    A token is (token, group, parent, is_text, container, main, pages, vector, uniform, prose, chars, links). uniform
+    says whether all places of the element's name under its parent are in its class.
+    """
+    elements = [t for t in tokens if not t[3]]
+    under: dict[int, list[tuple]] = {}
+    for t in elements:
+        under.setdefault(t[2], []).append(t)
+    top = [t for t in elements if t[0] == ROOT]
+    if not top:
+        return Rules()
+    host_pages = top[0][6]
+    valid: list[tuple] = []
+    todo = list(top)
+    while todo:  # from the root class down: a class nests where its elements' parents are in valid classes
+        t = todo.pop()
+        valid.append(t)
+        todo += [c for c in under.get(t[0], ()) if c[0] != ROOT and c[8]]
+    vectors = {t[7] for t in valid}
+    nested = {t[0] for t in valid}
+    at, way = top[0], [ROOT]
+    while not at[5]:  # an article or main is not looked into
+        inside = [c for c in under.get(at[0], ()) if c[0] in nested and c[0] != ROOT and c[4]]
+        best = max(inside, key=lambda c: (c[9], -c[0]), default=None)
+        if best is None or not best[9] or best[9] < MOST * at[9]:
+            break
+        at = best
+        way.append(at[0])
+    links = frozenset(t[0] for t in valid if not t[5] and t[10] and t[11] * 2 > t[10])
+    texts = {t[0]: t for t in tokens if t[3] and t[7] in vectors and t[6] == host_pages and host_pages >= 2}
+    return Rules(at[0], frozenset(way), links, frozenset(texts) if host_pages >= FIXED_PAGES else frozenset(), frozenset(texts))
+
+
+def page_tokens(page: Page) -> list[tuple]:
+    """(token, group, parent, is_text, container, main, n, prose, chars, links) of every element and of every text not aside."""
+    at = page.elements
+    rows = [(e.token, e.group, at[e.parent].token if e.parent >= 0 else 0, False, e.tag in CONTAINERS, e.main, 1, e.prose, e.chars, e.links) for e in at]
+    texts = Counter(_hash(at[b.at].names, b.text) for b in page.blocks if not b.side)
+    return rows + [(h, h, 0, True, False, False, n, 0, 0, 0) for h, n in texts.items()]
+
+
+def own_template(page: Page) -> Rules:
+    """The rules of a page alone: all its elements are on all pages."""
+    return template_of([(*r[:6], 1, 0, True, *r[7:]) for r in page_tokens(page)])
+
+
+def main_text(html: str, rules: Rules | None = None) -> str:
+    """The article's blocks, one per line, given the host's template."""
+    page = Page(html)
+    if rules is None or all(e.token != rules.article for e in page.elements):
+        rules = own_template(page)
+    text = _article(page, rules)
+    if not text and rules.fixed:  # a copy of its host's other pages is all template
+        text = _article(page, Rules(rules.article, rules.way, rules.links))
+    return text or _article(page, own_template(page)) or _article(page, Rules())
+
+
+def _article(page: Page, rules: Rules) -> str:
+    inside, beside, dropped = (np.zeros(len(page.elements), bool) for _ in range(3))
+    for i, e in enumerate(page.elements):  # parents come first
+        inside[i] = e.token == rules.article or (e.parent >= 0 and inside[e.parent])
+        beside[i] = e.token in rules.way
+        dropped[i] = (e.token in rules.links and not e.main) or (e.parent >= 0 and dropped[e.parent])
+    kept = []
+    for b in page.blocks:
+        if b.side or dropped[b.at]:
             continue
-        if is_block:
-            close({"p"}, MAIN | LISTS | frozenset(["div", "section", "td", "th", "li", "body"]))
-        if tag in FAMILIES:
-            close(FAMILIES[tag], LISTS)
-        label, side, head = _label(tag, m["attrs"])
-        above = stack[-1] if stack else ("", "", False, False)
-        main = above[3] or tag in MAIN
-        if not m["attrs"].endswith("/") or is_block:
-            stack.append((tag, label, above[2] or side or tag in HIDDEN or (head and not above[3]), main))
-        if is_block:
-            path = tuple(s[1] for s in stack if s[0] in BLOCK)
-            paths[path] = paths.get(path, 0) + 1
-    text_of(page[at:])
-    flush()
-    return blocks, paths
+        e = page.elements[b.at]
+        name = _hash(e.names, b.text) if rules.heads else 0
+        if inside[b.at]:
+            keep = name not in rules.fixed
+        else:  # the article's heading may stand beside its element
+            keep = b.heading and b.links * 2 <= len(b.text) and name not in rules.heads and bool(beside[e.parent])
+        if keep:
+            kept.append(b)
+    prose = [b for b in kept if b.main or b.links * 2 <= len(b.text)] or kept
+    return "\n".join(b.text for b in prose)
 
 
-def _hash(path: tuple[str, ...], text: str = "") -> int:
-    h = xxhash.xxh64_intdigest("/".join(path) + "\0" + text)
-    return h - (1 << 64) if h >> 63 else h
+TOKEN = "token long, group long, parent long, is_text boolean, container boolean, main boolean"
 
 
-def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per page and token: host, token, is_text, n, chars and link characters directly below, is_main, is_side, page (a hash)."""
-    for batch in by_bytes(batches, 1):
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per page and token: host, the token, n, prose, chars, links, page (a hash)."""
+    names = ["host", "token", "group", "parent", "is_text", "container", "main", "n", "prose", "chars", "links", "page"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    for batch in by_bytes(batches, 1, 2 << 20):
         rows: list[tuple] = []
-        for host, page in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-            blocks, paths = parse(page)
-            below: dict[tuple[str, ...], list] = {p: [n, 0, 0, False, False] for p, n in paths.items()}
-            texts: dict[int, int] = {}
-            for b in blocks:
-                at = below.setdefault(b.path, [1, 0, 0, False, False])
-                at[1] += len(b.text)
-                at[2] += min(b.links, len(b.text))
-                at[3] |= b.main
-                at[4] |= b.side
-                if not b.side:
-                    h = _hash(b.path, b.text)
-                    texts[h] = texts.get(h, 0) + 1
-            name = xxhash.xxh64_intdigest(page) >> 1
-            rows += [(host, _hash(p), False, *v, name) for p, v in below.items()]
-            rows += [(host, h, True, n, 0, 0, False, False, name) for h, n in texts.items()]
-        columns = list(zip(*rows)) or [[]] * 9
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "token", "is_text", "n", "chars", "links", "is_main", "is_side", "page"])
+        for host, html in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            page = xxhash.xxh64_intdigest(html) >> 1
+            rows += [(host, *r, page) for r in page_tokens(Page(html))]
+        columns = list(zip(*rows)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def template_rules(hosted: DataFrame) -> DataFrame:
-    """host, slots (hashes of template paths whose slot is not the article), fixed (hashes of the template's own texts)."""
-    tokens = hosted.select("host", "html").mapInArrow(_page_tokens, "host string, token long, is_text boolean, n long, chars long, links long, is_main boolean, is_side boolean, page long")
-    merged = tokens.groupBy("host", "token").agg(
+RULES = "host string, article long, way array<long>, links array<long>, fixed array<long>, heads array<long>"
+
+
+def _rule_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [template_of([tuple(t.values()) for t in tokens]) for tokens in batch.column(1).to_pylist()]
+        sets = [[sorted(getattr(r, name)) for r in made] for name in ("way", "links", "fixed", "heads")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.article for r in made], pa.int64()), *(pa.array(s, pa.list_(pa.int64())) for s in sets)], ["host", "article", "way", "links", "fixed", "heads"])
+
+
+def host_tokens(hosted: DataFrame, salt: int = 16) -> DataFrame:
+    """The tokens on at least half of the pages of each host of two pages or more, with their vectors."""
+    rows = hosted.select("host", "html").mapInArrow(_token_rows, f"host string, {TOKEN}, n long, prose long, chars long, links long, page long")
+    merged = rows.groupBy("host", "token").agg(
+        *(F.max(c).alias(c) for c in ("group", "parent", "is_text", "container", "main")),
         F.count(F.lit(1)).alias("pages"),
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
-        F.bool_or("is_text").alias("is_text"),
-        F.sum("n").alias("n"),
-        F.sum("chars").alias("chars"),
-        F.sum("links").alias("links"),
-        F.bool_or("is_main").alias("is_main"),
-        F.bool_or("is_side").alias("is_side"),
+        *(F.sum(c).alias(c) for c in ("prose", "chars", "links")),
     )
     merged = materialize(merged, "page-tokens")
-    hosts = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    known = merged.join(hosts, "host")
-    classes = known.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("members"), F.first("host_pages").alias("host_pages"))
-    valid = classes.filter((F.col("pages") >= 2) & (F.col("pages") * 2 >= F.col("host_pages"))).select("host", "vector", "pages")
-    template = known.join(valid, ["host", "vector", "pages"])
-    aside = F.col("is_side") | (~F.col("is_main") & (F.col("links") * 2 > F.col("chars")))  # an author's link right below an article does not make it aside
-    slot = F.when(~F.col("is_text") & (F.col("chars") > 0) & aside, F.col("token"))
-    fixed = F.when(F.col("is_text") & (F.col("pages") >= 3), F.col("token"))
-    return template.groupBy("host").agg(F.collect_set(slot).alias("slots"), F.collect_set(fixed).alias("fixed"))
-
-
-def main_text(page: str, slots: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, one per line, given the host's template."""
-    blocks, _ = parse(page)
+    hosts = merged.filter(F.col("token") == ROOT).select("host", F.col("pages").alias("host_pages")).filter("host_pages > 1")
+    # a large host has many tokens that are on few pages: they are dealt over its copies of the one row that counts its pages
+    hosts = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    known = merged.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(salt)).cast("int")).join(hosts, ["host", "part"])
+    frequent = known.filter(F.col("pages") * 2 >= F.col("host_pages"))
+    # places of a name beyond those on half of the pages have other vectors, so the first that is rarer tells
+    groups = merged.filter("not is_text").groupBy("host", "group").agg((F.min("vector") == F.max("vector")).alias("uniform"))
+    return frequent.join(groups, ["host", "group"], "left").select(
+        "host", "token", "group", "parent", "is_text", "container", "main", "pages", F.xxhash64("vector").alias("vector"), F.coalesce("uniform", F.lit(False)).alias("uniform"), "prose", "chars", "links"
+    )
 
-    def in_side_slot(path: tuple[str, ...]) -> bool:
-        return bool(slots) and any(_hash(path[:k]) in slots for k in range(len(path), 0, -1))
 
-    kept = [b for b in blocks if not b.side and not in_side_slot(b.path) and not (fixed and _hash(b.path, b.text) in fixed)]
-    prose = [b for b in kept if b.main or b.links * 2 <= len(b.text)] or kept
-    inside = [b for b in prose if b.main]
-    article = inside if sum(len(b.text) - min(b.links, len(b.text)) for b in inside) * 2 >= sum(len(b.text) for b in prose) else [b for b in prose if b.links * 2 <= len(b.text)] or prose
-    if not article and (slots or fixed):  # a copy of most of its host's pages is all template
-        return main_text(page)
-    return "\n".join(b.text for b in article)
+def template_rules(hosted: DataFrame) -> DataFrame:
+    """One row of :data:`RULES` per host of two pages or more."""
+    columns = ["token", "group", "parent", "is_text", "container", "main", "pages", "vector", "uniform", "prose", "chars", "links"]
+    tokens = host_tokens(hosted).groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("tokens"))
+    return tokens.mapInArrow(_rule_rows, RULES)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, 2):
-        slots = [frozenset(s or ()) for s in batch.column(3).to_pylist()]
-        fixed = [frozenset(s or ()) for s in batch.column(4).to_pylist()]
-        out = [main_text(t, s, x) for t, s, x in zip(texts_of(batch.column(2)), slots, fixed)]
+        known = [
+            None if article is None else Rules(article, *map(frozenset, sets))
+            for article, *sets in zip(*(batch.column(c).to_pylist() for c in range(3, 8)))
+        ]
+        out = [main_text(t, r) for t, r in zip(texts_of(batch.column(2)), known)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, broadcast_bytes: int = 64 << 20, salt: int = 64) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``, from the whole html.
 
     Blocks are joined in page order by one newline; white space inside a block, decoded, becomes one space. Null html:
     empty text. Null url: the pages without a host share one template. Repeated rows: repeated in the result (copies
-    of a page count as one more page of the template each). Pages alone on their host are read by names and link shares alone. Empty
-    table: no rows. Other columns are not read. Templates are broadcast only if they are of at most
-    ``broadcast_hosts`` hosts; otherwise they are joined by host.
+    of a page count as one more page of the template each). Pages alone on their host are their own template. Ties between nested elements:
+    the one with the smaller hash. Very long and deeply nested pages: read whole, in time linear in them. Empty
+    table: no rows. Other columns are not read. Templates are broadcast only if their bytes are at most
+    ``broadcast_bytes``; otherwise they are joined by host and one of ``salt`` parts, so that no host is one task's.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
     rules = materialize(template_rules(hosted), "templates")
-    small = rules.count() <= broadcast_hosts
-    joined = hosted.join(F.broadcast(rules) if small else rules, "host", "left").select("page_id", "url", "html", "slots", "fixed")
+    size = sum((F.size(c) for c in ("way", "links", "fixed", "heads")), F.lit(8)) * 8 + F.length("host")
+    if (rules.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes:
+        joined = hosted.join(F.broadcast(rules), "host", "left")
+    else:
+        parts = rules.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        joined = hosted.withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.lit(salt)).cast("int")).join(parts, ["host", "part"], "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    rows = joined.select("page_id", "url", "html", "article", "way", "links", "fixed", "heads")
+    return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
