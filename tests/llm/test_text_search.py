@@ -239,31 +239,37 @@ def bench_words(text):
     return [w.decode() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").lower().encode())]
 
 
-def brute_overlaps(docs, items):
-    """Pairs with 13 consecutive words of the item in the document, 11 or more equal, by trying every alignment."""
-    out = set()
-    wanted = {i: bench_words(t) for i, t in items}
+def brute_places(docs, items):
+    """(doc, item) to (first_word, equal_words), by trying every alignment that shares four words in a row."""
+    out = {}
+    wanted = {k: (i, bench_words(t)) for k, (i, t) in enumerate(items)}
     starts = defaultdict(set)
-    for i, w in wanted.items():
+    for i, (_, w) in wanted.items():
         width = 4 if len(w) >= 13 else len(w)
         if len(w) >= 5:
             for k in range(len(w) - width + 1):
                 starts[tuple(w[k : k + width])].add((i, k, width))
+    widths = {x[2] for s in starts.values() for x in s}
     for d, t in docs:
         w = bench_words(t)
         tried = set()
-        for width in {x[2] for s in starts.values() for x in s}:
+        for width in widths:
             for p in range(len(w) - width + 1):
                 for i, k, n in starts.get(tuple(w[p : p + width]), ()):
                     if n == width and (i, p - k) not in tried:
                         tried.add((i, p - k))
-                        own, shift = wanted[i], p - k
+                        (item_id, own), shift = wanted[i], p - k
                         lo, hi = max(0, -shift), min(len(own), len(w) - shift)
                         same = np.array([own[x] == w[x + shift] for x in range(lo, hi)], int)
                         size = min(13, len(own))
                         if len(same) >= size and np.convolve(same, np.ones(size, int), "valid").max() >= (11 if size == 13 else size):
-                            out.add((d, i))
-    return out
+                            best = (-int(same.sum()), lo + shift)
+                            out[d, item_id] = min(out.get((d, item_id), best), best)
+    return {pair: (first, -equal) for pair, (equal, first) in out.items()}
+
+
+def brute_overlaps(docs, items):
+    return set(brute_places(docs, items))
 
 
 def test_masks_hit_every_run_with_two_substitutions():
@@ -273,9 +279,28 @@ def test_masks_hit_every_run_with_two_substitutions():
 
 def test_decontaminate_whole_table(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    want = brute_overlaps(docs_of(spark, sf), items)
+    want = brute_places(docs_of(spark, sf), items)
     got = QUERIES["op6_decontaminate"](spark, sf).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 0
+    assert {(r.doc_id, r.item_id): (r.first_word, r.equal_words) for r in got} == want and len(got) == len(want) > 0
+
+
+@pytest.mark.parametrize("seeds", [1 << 20, -1])
+def test_alignments_are_counted_over_the_whole_item(spark, seeds):
+    """Items with long gaps of substituted words, as long as a page, against all alignments; with and without a broadcast."""
+    item = [f"w{k}" for k in range(400)]
+    middle, start = list(item), list(item)
+    middle[50:350:2] = [f"m{k}" for k in range(150)]
+    start[0:300:2] = [f"s{k}" for k in range(150)]
+    rows = [(1, "x y z " + " ".join(middle) + " end"), (2, " ".join(start)), (3, "q " * 90 + " ".join(item[200:]) + " " + " ".join(item[:150])), (4, "q " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = [(7, " ".join(item)), (7, " ".join(item[:20])), (None, " ".join(item[390:])), (8, "")]
+    got = decontaminate.overlaps(docs, spark.createDataFrame(bench, "item_id long, text string"), broadcast_seeds=seeds)
+    best = {}
+    for r in got.collect():
+        best[r.doc_id, r.item_id] = min(best.get((r.doc_id, r.item_id), (0, 0)), (-r.equal_words, r.first_word))
+    want = brute_places(rows, bench)
+    assert {k: (first, -equal) for k, (equal, first) in best.items()} == want
+    assert want[1, 7] == (3, 250) and want[2, 7] == (0, 250) and (3, None) in want
 
 
 def test_decontaminate_odd_rows(spark):
@@ -327,10 +352,9 @@ def test_pipeline_against_brute_force(spark, sf_small):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
 
-def brute_near(rows, words=5, bits=256, similarity=0.81):
-    """The smallest id of each component under fingerprints within the radius, all pairs tried."""
-    full = [(i, t) for i, t in rows if (t or "").split()]
-    prints = [int.from_bytes(simhash.bit_majority(simhash.shingle_hashes(t, words), bits // 64).tobytes(), "little") for _, t in full]
+def brute_near(rows, words=5, similarity=0.8):
+    """The smallest id of each component under the exact similarity of shingle sets, all pairs that share a shingle tried."""
+    full = [(i, set(simhash.shingle_hashes(t, words).tolist())) for i, t in rows if (t or "").split()]
     root = list(range(len(full)))
 
     def find(x):
@@ -340,7 +364,8 @@ def brute_near(rows, words=5, bits=256, similarity=0.81):
 
     for a in range(len(full)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= int(bits * (1 - similarity)):
+            p, q = full[a][1], full[b][1]
+            if min(len(p), len(q)) >= similarity * max(len(p), len(q)) and len(p & q) >= similarity * len(p | q):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     best = {}
