@@ -7,18 +7,38 @@ from pyspark.sql import functions as F
 
 from waraq.runtime import drop_materialized, materialize
 
+#: Groups of more than a SHARE-th of all rows are fewer than SHARE, so that they are broadcast.
+SHARE = 20_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: neighbours above a node move to the node's smallest neighbour. Small star: those not above it do."""
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = SHARE) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one small row per key, whose ``size`` counts the key's rows out of ``total``.
+
+    Groups of more than a ``share``-th of all rows number fewer than ``share``, so they are broadcast and their rows stay
+    where they are. The rows of all others are exchanged by key, of which none is hot.
+    """
+    large = groups.filter(F.col(size) * share > total)
+    hot = rows.join(F.broadcast(large), keys)
+    cold = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) * share <= total), keys)
+    return hot.unionByName(cold)
+
+
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Large star: neighbours above a node move to the node's smallest neighbour. Small star: those not above it do.
+
+    ``total`` is about the number of edges; nodes with a large part of them meet their edges by broadcast."""
     both = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
     around = both.unionByName(both.select(F.col("m").alias("n"), F.col("n").alias("m"))) if large else both.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m"))
-    low = around.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
-    joined = around.join(low, "n")
+    low = around.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"), F.count(F.lit(1)).alias("size"))
+    low = materialize(low, "lows")
+    joined = join_groups(around, low, ["n"], "size", total)
     if large:
         moved = joined.filter("m > n").select(F.col("m").alias("u"), F.col("low").alias("v"))
     else:
         moved = joined.select(F.col("m").alias("u"), F.col("low").alias("v")).unionByName(low.select(F.col("n").alias("u"), F.col("low").alias("v")))
-    return moved.filter("u <> v").distinct()
+    out = materialize(moved.filter("u <> v").distinct(), "edges")
+    drop_materialized(low)
+    return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -32,9 +52,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not mark[0]:
         return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
-        after = materialize(_star(_star(at, True), False), "edges")
+        moved = _star(at, True, mark[0])
+        after = _star(moved, False, mark[0])
         new = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_materialized(at)
+        drop_materialized(moved)
         at = after
         if new == mark:
             break

@@ -18,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waraq.llm.components import join_groups
 from waraq.llm.textops import by_bytes, texts_of
 from waraq.runtime import free_name, materialize
 
 CHUNK = 1024
+PIECE = 4 << 20
 COMPARE_CHUNK = 1 << 16
+#: The members' filter has 2**FILTER_BITS bits; a row sets one for each of these places of its text's hash.
+FILTER_BITS, PROBES = 24, (40, 20, 0)
 #: (prime, base) of each residue: the largest primes below 2**31, with arbitrary bases.
 RESIDUES = ((2147483647, 1103515245), (2147483629, 1220703125), (2147483587, 916132832), (2147483579, 387420489))
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -62,8 +66,31 @@ def combine(left: int, right: int, right_bytes: int, prime: int, base: int) -> i
     return (left * pow(base, right_bytes, prime) + right) % prime
 
 
-def fingerprints(data: list[bytes], chunk: int = CHUNK, weights: np.ndarray | None = None) -> list[tuple[int, ...]]:
+def fingerprints(data: list[bytes], chunk: int = CHUNK, weights: np.ndarray | None = None, piece: int = PIECE) -> list[tuple[int, ...]]:
+    """The residues of each byte string. About ``piece`` bytes are hashed at once: a longer string is hashed in pieces of
+    its own that are combined, so the memory beside the strings is bounded."""
     weights = _weights(chunk) if weights is None else weights
+    out: list[tuple[int, ...]] = []
+    held: list[bytes] = []
+    size = 0
+    for d in data:
+        if held and size + len(d) > piece:
+            out += _fingerprints(held, chunk, weights)
+            held, size = [], 0
+        if len(d) > piece:
+            whole = (0,) * len(RESIDUES)
+            for at in range(0, len(d), piece):
+                part = d[at : at + piece]
+                (own,) = _fingerprints([part], chunk, weights)
+                whole = tuple(combine(a, b, len(part), p, base) for a, b, (p, base) in zip(whole, own, RESIDUES))
+            out.append(whole)
+        else:
+            held.append(d)
+            size += len(d)
+    return out + _fingerprints(held, chunk, weights) if held else out
+
+
+def _fingerprints(data: list[bytes], chunk: int, weights: np.ndarray) -> list[tuple[int, ...]]:
     hashes, counts = chunk_hashes(data, weights)
     shift = [pow(b, chunk, p) for p, b in RESIDUES]
     primes = [p for p, _ in RESIDUES]
@@ -107,39 +134,61 @@ def fingerprint_table(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return materialize(prints.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 1000) -> DataFrame:
-    """Inner join of ``rows`` with ``groups``, one row per key, whose ``size`` counts the key's rows out of ``total``.
+def _member_filter(members: DataFrame) -> np.ndarray:
+    """A Bloom filter of the members' text hashes; gathered as at most 2**(FILTER_BITS - 6) words, however many they are."""
+    slots = F.array(*[F.shiftrightunsigned("raw_hash", at).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for at in PROBES])
+    slot = members.select(F.explode(slots).alias("slot"))
+    words = slot.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = words.toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
-    Groups of more than a ``share``-th of all rows number fewer than ``share``, so they are broadcast and their rows stay
-    where they are. The rows of all others are exchanged by key, of which none is hot.
-    """
-    large = groups.filter(F.col(size) * share > total)
-    hot = rows.join(F.broadcast(large), keys)
-    cold = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) * share <= total), keys)
-    return hot.unionByName(cold)
+
+def _candidates(filter_bits: np.ndarray):
+    """The rows whose text hash (column 1) may be a member's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            keep = np.ones(len(h), bool)
+            for at in PROBES:
+                slot = ((h >> np.uint64(at)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                keep &= ((filter_bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+            yield batch.filter(pa.array(keep))
+
+    return run
 
 
 def _chunks(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Normalised chunks of the given rows' texts."""
-    text = F.encode(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_RUN, " "), "UTF-8")
-    own = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_hash"), text.alias("body"))
+    """Normalised chunks of the given rows' texts. Texts that are no member's are left out before the exchange."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_hash"), "text", F.monotonically_increasing_id().alias("spot"))
+    own = own.mapInArrow(_candidates(_member_filter(members)), f"d_id {kind}, d_hash long, text string, spot long")
+    own = own.select("d_id", "d_hash", "spot", F.encode(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_RUN, " "), "UTF-8").alias("body"))
     joined = own.join(members, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_hash") == F.col("raw_hash")))
     last = (F.greatest(F.octet_length("body"), F.lit(1)) - 1) / COMPARE_CHUNK
-    return joined.select(*PRINT, "first", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("chunk_no"), "body").select(
-        *PRINT, "first", "chunk_no", F.substring("body", F.col("chunk_no") * COMPARE_CHUNK + 1, F.lit(COMPARE_CHUNK)).alias("chunk")
+    return joined.select(*PRINT, "n", "first", "spot", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("chunk_no"), "body").select(
+        *PRINT, "n", "first", "spot", "chunk_no", F.substring("body", F.col("chunk_no") * COMPARE_CHUNK + 1, F.lit(COMPARE_CHUNK)).alias("chunk")
     )
 
 
 def colliding_fingerprints(docs: DataFrame, prints: DataFrame, total: int) -> DataFrame:
-    """Fingerprints that hold different texts, found by comparing each row's chunks with those of the row that stays."""
+    """Fingerprints that hold different texts, found by comparing each row's chunks with those of the row that stays. A large group is dealt over parts of a bounded number of rows, each
+    of which gets the chunks of the row that stays.
+    """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     groups = prints.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keep")).filter("n > 1")
-    keep = groups.select(*PRINT, "n", F.col("keep.uid").alias("keep_uid"))
-    members = join_groups(prints, keep, PRINT, "n", total).groupBy("doc_id", "raw_hash", *PRINT).agg(F.max(F.col("uid") == F.col("keep_uid")).alias("first"))
+    keep = materialize(groups.select(*PRINT, "n", F.col("keep.uid").alias("keep_uid")), "groups")
+    found = join_groups(prints, keep, PRINT, "n", total)
+    members = materialize(found.groupBy("doc_id", "raw_hash", *PRINT, "n").agg(F.max(F.col("uid") == F.col("keep_uid")).alias("first")), "members")
+    rows_per_part = min(16_384, max(64, total // 1000))
+    parts = F.ceil(F.col("n") / rows_per_part).cast("int")
     chunks = _chunks(docs, members)
-    first = chunks.filter("first").groupBy(*PRINT, "chunk_no").agg(F.first("chunk").alias("kept_chunk"))
-    rest = chunks.filter("not first")
-    compared = rest.join(first, [*PRINT, "chunk_no"], "left")
+    first = chunks.filter("first").groupBy(*PRINT, "n", "chunk_no").agg(F.first("chunk").alias("kept_chunk"))
+    first = first.select(*PRINT, "chunk_no", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "kept_chunk")
+    rest = chunks.filter("not first").withColumn("part", F.pmod(F.xxhash64("spot"), parts).cast("int"))
+    compared = rest.join(first, [*PRINT, "chunk_no", "part"], "left")
     return compared.groupBy(*PRINT).agg(F.bool_and(F.col("chunk").eqNullSafe(F.col("kept_chunk"))).alias("same")).filter("not same").select(*PRINT)
 
 
@@ -169,7 +218,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops; all columns stay."""
+    """``docs`` without the rows that :func:`exact_groups` drops; all columns stay.
+
+    Null text counts as empty. Rows that repeat id and text: one stays. A null id stays only where its group has no
+    other. Very long texts are compared whole. Empty table: no rows.
+    """
     rows = materialize(group_rows(docs).select("doc_id", "raw_hash", "kept"), "exact-decisions")
     kept = rows.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("raw_hash").alias("k_hash")).distinct()
     h = free_name(docs, "raw_hash")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waraq.llm.components import connected_components
+from waraq.llm.components import connected_components, join_groups
 from waraq.llm.textops import by_bytes, splitmix, texts_of
 from waraq.runtime import free_name, materialize
 
@@ -308,13 +308,16 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2) ->
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text").mapInArrow(_print_rows(words), f"doc_id {kind}, f0 long"), "simhash")
-    nodes = rows.groupBy("f0").agg(F.min("doc_id").alias("low_id"))
+    nodes = materialize(rows.groupBy("f0").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("rows")), "prints")
     edges = links_in_blocks(exact_blocks(nodes.select("f0"), radius), 1, radius)
     roots = connected_components(edges)
-    rooted = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "low_id", F.coalesce("root", "f0").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    named = rooted.join(lows, "root").select("f0", "component_id")
-    return rows.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "low_id", "rows", F.coalesce("root", "f0").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    lows = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    named = materialize(join_groups(rooted, lows, ["root"], "nodes", total[0]).select("f0", "component_id", "rows"), "named")
+    named = join_groups(rows, named, ["f0"], "rows", total[1] or 0)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Whole-document near copies
@@ -457,20 +460,27 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 256, similarity: fl
     nodes = sketch.select("node", *(f"f{k}" for k in range(lanes)), "blocks").dropDuplicates(["node"])
     blocks = nodes.select(F.explode("blocks").alias("block"), "node", *(f"f{k}" for k in range(lanes)))
     candidates = connected_components(links_in_blocks(blocks, lanes, candidate_bits)).select("node", F.col("root").alias("block")).distinct()
-    texts = source.join(candidates, "node").select("block", "node", "text").dropDuplicates(["node"])
+    # of copies to the byte the text with the smallest id is compared, so no node is hot
+    chosen = sketch.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("c_id")).join(candidates, "node")
+    chosen = materialize(chosen.select(F.col("node").alias("c_node"), "c_id", "block"), "candidates")
+    texts = source.join(chosen, (source["node"] == chosen["c_node"]) & source["doc_id"].eqNullSafe(chosen["c_id"])).select("block", "node", "text")
     sets = materialize(texts.mapInArrow(_set_rows(words), "block long, node long, shingles array<long>"), "shingle-sets")
     roots = connected_components(links_of_sets(sets, similarity))
-    rooted = sketch.select("doc_id", "node", F.size("blocks").alias("n_blocks")).join(roots, "node", "left")
+    rows = sketch.groupBy("node").agg(F.min("doc_id").alias("low_id"), F.max(F.size("blocks")).alias("n_blocks"), F.count(F.lit(1)).alias("rows"))
     root = F.when(F.col("n_blocks") == 0, F.lit(None)).otherwise(F.coalesce("root", "node"))
-    rooted = rooted.withColumn("root", root)
-    lows = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(lows, "root", "left").select("doc_id", "node", "component_id")
+    rooted = materialize(rows.join(roots, "node", "left").withColumn("root", root), "rooted")
+    lows = rooted.filter("root is not null").groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    named = join_groups(rooted.filter("root is not null"), lows, ["root"], "nodes", total[0]).select("node", "component_id", "rows")
+    named = named.unionByName(rooted.filter("root is null").select("node", F.lit(None).cast(kind).alias("component_id"), "rows"))
+    return join_groups(sketch.select("doc_id", "node"), materialize(named, "named"), ["node"], "rows", total[1] or 0).select("doc_id", "node", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest doc_id. All columns stay.
 
-    Rows without an id stay where their group has no other row. Rows that repeat an id and a text stay or go together.
+    Null and empty texts stay. Rows without an id go where their group has a row with one; where it has none, all stay.
+    Rows that repeat an id and a text stay or go together. Very long texts are compared whole. Empty table: no rows.
     """
     groups = near_copies(docs, **options)
     gone = materialize(groups.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("g_id"), F.col("node").alias("g_node")).distinct(), "near-copies")
