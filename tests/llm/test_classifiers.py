@@ -1,6 +1,7 @@
 """Quality, toxicity and language: held-out accuracy on whole tables, brute-force parts, odd rows."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -69,6 +70,40 @@ def test_quality_gradients_and_attention():
             assert abs((up - down) / 2e-5 - grads[name].reshape(-1)[i]) < 1e-5, name
 
 
+def features_by_hand(words):
+    """A passage's features from its words and the white space between them, counted one by one."""
+    text = "".join(words).encode()
+    kinds = [next((k for k, chars in enumerate(quality._GROUPS) if b < 128 and chr(b) in chars), 10 if b >= 128 else 11) for b in text]
+    pairs = defaultdict(int)
+    for a, b in zip(kinds, kinds[1:]):
+        pairs[a * quality.CLASSES + b] += 1
+    solid = [w.strip(" \n\t") for w in words]
+    out = np.zeros(quality.FEATURES)
+    for k, n in pairs.items():
+        out[k] = np.sqrt(n / sum(pairs.values()))
+    for lag in range(1, quality.LAGS + 1):
+        out[quality.CLASSES**2 + lag - 1] = sum(a == b for a, b in zip(solid, solid[lag:])) / len(words)
+    out[-2], out[-1] = np.log1p(len(words)) / 4, np.log1p(len(text) / len(words)) / 2
+    return out
+
+
+def test_quality_score_against_loops(spark, sf_small):
+    """Features, attention and score of whole texts, passage by passage."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_small}/labels.parquet")
+    model = quality.learn(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    p = model.p
+    for r in docs.limit(60).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", r.text or "")
+        bag = [features_by_hand(words[k : k + quality.PASSAGE_WORDS]) for k in range(0, len(words), quality.PASSAGE_WORDS)] or [np.zeros(quality.FEATURES)]
+        hs = [np.tanh(x @ p["W"] + p["b"]) for x in bag]
+        es = [float(np.tanh(h @ p["V"]) * (1 / (1 + np.exp(-(h @ p["U"])))) @ p["w"]) for h in hs]
+        weights = np.exp(np.array(es) - max(es))
+        z = sum(a * h for a, h in zip(weights / weights.sum(), hs))
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))) < 1e-4, r.doc_id
+
+
 def test_quality_reads_every_passage():
     x, base = quality.passage_features(pa.array(["word " * 1000, None, "", "a\nb"]))
     assert np.diff(base).tolist() == [-(-1000 // quality.PASSAGE_WORDS), 1, 1, 1] and not x[base[1]].any()
@@ -162,6 +197,51 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(odd_docs(spark, ODD[:3])).collect()} == {"und"}
 
 
+def test_language_counts_against_sets(spark, sf_small):
+    """Prediction and score from n-gram sets and dictionaries, text by text."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    names, tables, rates = language_id.learn(docs)
+    letters = lambda t: re.sub(rb"[^a-z\x80-\xff]+", b" ", f" {t.lower()} ".encode())
+    slots = lambda g: [int(s[0]) for s in language_id.slots_of(np.array([int.from_bytes(g, "little")], np.uint32))]
+    known = {}
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    for r in docs.limit(40).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        data = letters(r.text)
+        grams = [data[k : k + 4] for k in range(len(data) - 3)]
+        counts = []
+        for lang in range(len(names)):
+            hits = 0
+            for g in grams:
+                if (g, lang) not in known:
+                    known[g, lang] = all(tables[lang // 8][s] >> (lang % 8) & 1 for s in slots(g))
+                hits += known[g, lang]
+            counts.append(max(0, (hits - len(grams) * rates[lang]) / (1 - rates[lang])))
+        assert got[r.doc_id].lang_pred == names[int(np.argmax(counts))]
+        assert abs(got[r.doc_id].score - (max(counts) / sum(counts) if sum(counts) else 0)) < 1e-6
+
+
+def test_keep_languages(spark):
+    train = [(100 + i, t * 5, lang) for i in range(40) for t, lang in (("the and that thing is ", "en"), ("la los para ción el ", "es"))]
+    docs = odd_docs(spark, ODD + [(k + 1000 * (lang == "es"), t, lang) for k, t, lang in train])
+    kept = language_id.keep_languages(docs, ["es"])
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [7, 7] + [1100 + i for i in range(40)]
+    assert sorted(r.doc_id for r in language_id.keep_languages(docs, ["und"]).collect()) == [1, 2, 3, 4]
+    nothing = odd_docs(spark, [(2, "words", None)])
+    assert language_id.keep_languages(nothing, ["en"]).count() == 0 and language_id.keep_languages(nothing, ["und"]).count() == 1
+    assert language_id.keep_languages(odd_docs(spark, []), ["en"]).count() == 0
+
+
+def test_rare_languages_are_learned_alike(spark):
+    rows = [(i, f"the and that thing is number{i} ", "en") for i in range(3000)] + [(9000 + i, f"zun quelo prati moxe {i} ", "xx") for i in range(30)]
+    names, tables, _ = language_id.learn(odd_docs(spark, rows), train_docs=60)
+    asked = language_id.language_counts(pa.array(["zun quelo prati"]), tables, np.zeros(2))[0][0]
+    assert names == ["en", "xx"] and asked[1] > 8 > asked[0]
+
+
 def test_bit_sliced_filters_answer_for_all_languages():
     rng = np.random.default_rng(2)
     grams = [rng.choice(1 << 32, 3000, replace=False).astype(np.uint32) for _ in range(11)]  # more than one table of eight

@@ -320,3 +320,16 @@ def test_links_of_sets_lose_none(spark, tile, rounds):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(sets)], "block long, node long, shingles array<long>")
     roots = {r.node: r.root for r in components.connected_components(simhash.links_of_sets(rows, 0.8, tile, rounds)).collect()}
     assert [roots.get(i, i) for i in range(len(sets))] == want and 1 < len(set(want)) < len(sets)
+
+
+def test_long_texts_are_hashed_in_pieces():
+    rng = np.random.default_rng(5)
+    data = [rng.integers(0, 256, int(n), np.uint8).tobytes() for n in (0, 1, 700, 5000, 12_345, 3, 4096)]
+    assert exact_dedup.fingerprints(data, piece=1000) == exact_dedup.fingerprints(data)
+
+
+def test_ids_beyond_sixteen_bits_raise(tmp_path):
+    path = tmp_path / "wide.tiktoken"
+    path.write_text("YQ== 0\nYg== 65536\n")
+    with pytest.raises(ValueError):
+        packing.PieceEncoder(str(path), ".")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waraq.llm.textops import bounded_sample, by_bytes, fold_of, splitmix, utf8_of
+from waraq.llm.textops import by_bytes, fold_of, splitmix, utf8_of
 from waraq.runtime import free_name
 
 GRAM, SLOT_BITS, HASHES = 4, 20, 3
@@ -75,18 +75,24 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, train_docs: int = 8000, max_grams: int = 60_000, min_count: int = 4, ratio: float = 0.3) -> tuple[list[str], list[np.ndarray], np.ndarray]:
     """Language names, filter tables and false-positive rates, from about ``train_docs`` documents with a language.
 
-    A language's filter takes its ``max_grams`` most frequent n-grams that occur ``min_count`` times, at a share of at
+    Every language gets an equal part of the sample, all its documents if they are fewer, so rare languages are learned
+    alike at every size of the corpus. A language's filter takes its ``max_grams`` most frequent n-grams that occur ``min_count`` times, at a share of at
     least ``ratio`` times the largest share in any language. Rows with crc32(doc_id) mod 4 = 2 are never learned from.
     """
     rows = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(fold_of(F.col("doc_id"), 4) != 2)
-    n = rows.select("doc_id").count()
-    sample = bounded_sample(rows, F.col("doc_id"), n, train_docs)
-    counts = sample.select(F.col("lang").cast("string"), "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("lang", F.col("lang").cast("string"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    if not sizes:
+        return [], [], np.zeros(0)
+    each = max(1, train_docs // len(sizes))
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, each / n) * (1 << 20)))])
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")))
+    counts = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     good = shares.filter((F.col("n") >= min_count) & (F.col("share") >= ratio * F.col("most"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_grams)
     table = good.select("lang", "gram").toPandas()
-    names = sorted(r["lang"] for r in sample.select(F.col("lang").cast("string").alias("lang")).distinct().collect())
+    names = sorted(sizes)
     tables, rates = build_filters([table["gram"][table["lang"] == name].to_numpy().astype(np.uint32) for name in names])
     return names, tables, rates
 
@@ -139,16 +145,22 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, wanted: list[str], **options) -> DataFrame:
-    """``docs`` whose predicted language is wanted; all columns stay."""
+    """``docs`` whose predicted language is wanted; all columns stay.
+
+    Null and letterless texts, and all texts if nothing could be learned, are ``und``: they stay only if that is wanted.
+    Null ids, ties and repeated rows: each row by its text. Very long texts count whole. Empty table: no rows.
+    """
     names, tables, rates = learn(docs, **options)
+    model = docs.sparkSession.sparkContext.broadcast((names, tables, rates))  # a table of 2**20 bytes for eight languages
     column = free_name(docs, "lang_pred")
 
     @F.pandas_udf("string")
     def predict(text):
         import pandas as pd
 
-        array = pa.array(text, pa.string(), from_pandas=True)
-        best = language_counts(array, tables, rates)[0].argmax(axis=1)
-        return pd.Series([names[b] for b in best])
+        none = pa.nulls(len(text), pa.int64())
+        batch = pa.RecordBatch.from_arrays([none, none, pa.array(text, pa.string(), from_pandas=True)], ["doc_id", "held_out", "text"])
+        found = [out.column(2) for out in _predict(*model.value)(iter([batch]))]
+        return pd.Series([x for part in found for x in part.to_pylist()], dtype=object)
 
     return docs.withColumn(column, predict("text")).filter(F.col(column).isin(wanted)).drop(column)

@@ -41,6 +41,8 @@ class PieceEncoder:
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max([*ranks.values(), *(i for _, i in added)]) >= 1 << 16:
+            raise ValueError(f"ids are kept in 16 bits, and {vocabulary} has larger ones")
         self.encoding = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
         self.opens = {c: np.zeros(1 << 16, bool) for c in " \n"}  # ids that begin with the character
         for token, i in ranks.items():
@@ -107,6 +109,8 @@ def default_added() -> tuple[tuple[str, int], ...]:
 
 
 def _tokenise(vocabulary: str, pattern: str, added: tuple[tuple[str, int], ...], end_id: int):
+    if not 0 <= end_id < 1 << 16:
+        raise ValueError("the end id must fit in 16 bits")
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, p
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is its ids, then ``end_id``.
     Null or empty text: just ``end_id``. Null ids and repeated rows: packed like any other. Very long texts: cut into as
     many pieces as needed. A vocabulary passed in has no added tokens. Empty table: no rows. Other columns are not read. Every sequence but the last is full.
-    Vocabularies of more than 65,536 ids are not supported.
+    Vocabularies with ids over 65,535 raise an error.
     """
     rows = tokenise(docs, vocabulary, pattern, end_id)
     totals = rows.groupBy("part").agg(F.sum("doc_tokens").alias("n")).orderBy("part").collect()  # one number per input partition

@@ -112,7 +112,7 @@ class AttentionModel:
                 pick = order[at : at + batch]
                 sizes = base[pick + 1] - base[pick]
                 rows = np.repeat(base[pick] - np.r_[0, sizes.cumsum()[:-1]], sizes) + np.arange(sizes.sum())
-                g = self.gradients(x[rows], np.r_[0, sizes.cumsum()], y[pick])
+                g = self.gradients(x[rows].astype(np.float64), np.r_[0, sizes.cumsum()], y[pick])
                 step += 1
                 lr = rate * (1 - epoch / epochs)
                 for k in self.p:
@@ -131,16 +131,22 @@ def _features_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000) -> AttentionModel | None:
-    """Train on about ``train_docs`` labelled documents with crc32(doc_id) mod 5 <> 0; None if there are none."""
-    known = labels.select("doc_id", F.col("quality").alias("y")).filter("y is not null").filter(fold_of(F.col("doc_id"), 5) != 0).dropDuplicates(["doc_id"])
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_bytes: int = 50_000) -> AttentionModel | None:
+    """Train on about ``train_docs`` labelled documents with crc32(doc_id) mod 5 <> 0; None if there are none.
+
+    Labels other than 0 and 1 are left out. Documents of more than ``train_bytes`` bytes are not learned from, and of
+    rows that repeat an id one is, so the driver holds at most about ``train_docs * train_bytes`` bytes of features.
+    """
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").filter(fold_of(F.col("doc_id"), 5) != 0)
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     sample = bounded_sample(known, F.col("doc_id"), known.count(), train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("y").cast("double"), "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= train_bytes)
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("y").cast("double").alias("y"), F.min("text").alias("text")).select("y", "text")
     table = rows.mapInArrow(_features_rows, "y double, n long, x binary").toPandas()
     if not len(table):
         return None
     table = table.drop_duplicates("x").sort_values(["n", "x"]).reset_index(drop=True)  # copies teach nothing; the order is fixed
-    x = np.frombuffer(b"".join(table["x"]), np.float16).reshape(-1, FEATURES).astype(np.float64)
+    x = np.frombuffer(b"".join(table["x"]), np.float16).reshape(-1, FEATURES)
     return AttentionModel().fit(x, np.r_[0, table["n"].to_numpy().cumsum()], table["y"].to_numpy())
 
 
