@@ -1,22 +1,25 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two strings counts their common gapped subsequences of three characters, each weighted by a decay to the
-power of the span it covers (spans of up to five characters), so inserted and missing characters cost weight and not the match. Strings
-are the words of a sentence, folded: lower case, look-alike digits as letters, other signs dropped, runs of spaced-out
-letters joined. Landmarks are the words that tell toxic from clean training documents best; the Nyström map makes the
-kernel linear, and a squared-hinge machine is trained on the words of labelled sentences: none of a clean document
-insults, and of a toxic document those do that the machine itself finds insulting, in turns. A logistic rule over the
-words' decision values (all insults, the worst one, the length) then scores the document.
-
-The trained machine is linear in the subsequences, so it is kept as one weight per subsequence and scores any text.
+power of the span it covers (spans of up to five characters), so inserted and missing characters cost weight and not the match.
+Words are folded first: lower case, look-alike digits as letters, other signs dropped, runs of spaced-out letters joined.
+The Nyström map over landmark words makes the kernel linear. Landmarks are the words that tell the toxic sentences
+best, and the words of clean sentences that are nearest to those.
+
+A sentence's decision value is that of its worst word, and a squared-hinge machine is trained on labelled sentences:
+those of clean documents are clean, and of those that only toxic documents have, the ones that the machine itself finds
+toxic are toxic, in turns. Each sentence speaks through its worst word of the turn, clean ones through those of all turns.
+A document's score is a logistic rule over its sentences' decision values (all that are above zero, the worst one) and its length.
+
+The trained machine is linear in the subsequences, so it is kept as one weight per subsequence (of 2**TABLE_BITS places
+that codes share) and scores any text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,9 @@ from waraq.llm.textops import bounded_sample, by_bytes, fold_of, texts_of
 from waraq.runtime import free_name
 
 DECAY, SPAN, TABLE_BITS = 0.6, 5, 20
-LANDMARKS = 96
+LANDMARKS, NEAREST = 96, 32
+#: Words of a sentence; longer ones count as several. Characters after which a sentence without an end is cut.
+SENTENCE_WORDS, SENTENCE_CHARS = 24, 1 << 16
 MEMO_WORDS = 200_000
 SCORE_CHARS = 1 << 20
 #: Words below which a document's length counts little.
@@ -44,17 +49,25 @@ def fold(word: str) -> str:
     return low.translate(_FOLD) if any(c.isalpha() for c in low) else ""
 
 
-def words_of(text: str) -> Counter:
-    """The words of a text and how often each occurs, with spaced-out ones ("i d i o t") joined as further words."""
-    found = Counter(text.split())
-    if sum(len(w) == 1 for w in found) >= 2:
-        found.update("".join(m.group().split()) for m in _SPACED.finditer(text))
+def words_of(sentence: str) -> list[str]:
+    """The words of a sentence, with spaced-out ones ("i d i o t") joined as further words at its end."""
+    found = sentence.split()
+    if sum(len(w) == 1 for w in found) >= 3:
+        found += ["".join(m.group().split()) for m in _SPACED.finditer(sentence)]
     return found
 
 
-def sentences_of(text: str) -> Iterator[Counter]:
-    """The words of each sentence; what is learned from and what is scored are both read this way."""
-    return map(words_of, _SENTENCE.split(text))
+def sentences_of(text: str) -> Iterator[str]:
+    """The sentences of a text; what is learned from and what is scored are both read this way."""
+    for sentence in _SENTENCE.split(text):
+        at = 0
+        while len(sentence) - at > SENTENCE_CHARS:
+            space = sentence.rfind(" ", at + 1, at + SENTENCE_CHARS)
+            end = space if space > 0 else at + SENTENCE_CHARS
+            yield sentence[at:end]
+            at = end
+        if at < len(sentence):
+            yield sentence[at:] if at else sentence
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +92,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class KernelMachine:
-    """A weight per subsequence code and a bias score a word; a logistic rule over a document's word scores decides."""
+    """A weight per subsequence code and a bias score a word; a logistic rule over a document's sentences decides."""
 
     def __init__(self, table: np.ndarray, bias: float, rule: np.ndarray | None = None):
         self.table, self.bias = table, bias
@@ -98,12 +111,32 @@ class KernelMachine:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.rule, -40, 40)))
 
 
-def evidence_of(hits: np.ndarray, best: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """(documents, 4): the weight of insulting words in all, of the worst one, the length, and 1.
+class Evidence:
+    """What is summed up of a document's sentences: decision values above zero (1 at most each), the worst, and words."""
+
+    __slots__ = ("best", "hits", "words")
+
+    def __init__(self):
+        self.hits, self.best, self.words = 0.0, -1.0, 0
+
+    def add(self, values: list[float]) -> None:
+        """The decision values of a sentence's words."""
+        self.words += len(values)
+        for k in range(0, len(values), SENTENCE_WORDS):
+            top = max(values[k : k + SENTENCE_WORDS])
+            if top > self.best:
+                self.best = min(top, 1.0)
+            if top > 0:
+                self.hits += min(top, 1.0)
+
+
+def evidence_of(documents: list[Evidence]) -> np.ndarray:
+    """(documents, 4): the toxic sentences in all, the worst one, the length, and 1.
 
     Lengths under ``SHORT`` words tell little, so they count almost alike and short clean texts stay clean.
     """
-    return np.column_stack([np.log1p(hits), best, np.log1p(words / SHORT), np.ones(len(hits))])
+    rows = np.array([(d.hits, d.best, d.words) for d in documents]).reshape(-1, 3)
+    return np.column_stack([np.log1p(rows[:, 0]), rows[:, 1], np.log1p(rows[:, 2] / SHORT), np.ones(len(rows))])
 
 
 def fit_rule(evidence: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -116,6 +149,21 @@ def fit_rule(evidence: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float
     return w
 
 
+def fit_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-4, steps: int = 30) -> np.ndarray:
+    """Weights and bias of the squared-hinge machine, by Newton's method over the rows within the margin."""
+    x = np.column_stack([x, np.ones(len(x), np.float32)])
+    w = np.zeros(x.shape[1])
+    penalty = np.diag([ridge] * (len(w) - 1) + [1e-9])
+    for _ in range(steps):
+        active = y * (x @ w) < 1
+        part, c = x[active], cost[active].astype(np.float32)
+        new = np.linalg.solve(((part * c[:, None]).T @ part).astype(np.float64) + penalty, part.T @ (c * y[active]))
+        if np.allclose(new, w, atol=1e-6):
+            break
+        w = new
+    return w
+
+
 class Landmarks:
     """Normalised subsequence weights of the landmark words, as a dense row for each code that occurs in one."""
 
@@ -146,122 +194,122 @@ class Landmarks:
 
 
 class Documents:
-    """Documents as sentences, a sentence as the numbers of its folded words and how often each occurs; words are kept once."""
+    """Documents as sentences, a sentence as the numbers of its folded words; words are kept once."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
 
-    def read(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for sentence in sentences_of(text):
-            found: dict[int, int] = {}
-            for w, n in sentence.items():
-                name = fold(w)
-                if name:
-                    i = self.number.setdefault(name, len(self.number))
-                    found[i] = found.get(i, 0) + n
-            if found:
-                out.append((np.fromiter(found, np.int32), np.fromiter(found.values(), np.int32)))
-        return out
+    def read(self, text: str) -> list[list[int]]:
+        """The sentences, as :func:`sentences_of` gives them; those without a word are left out."""
+        read = ([self.number.setdefault(name, len(self.number)) for name in map(fold, words_of(s)) if name] for s in sentences_of(text))
+        return [s for s in read if s]
 
     @property
     def words(self) -> list[str]:
         return list(self.number)
 
 
-def choose_landmarks(toxic: list, clean: list, words: list[str]) -> np.ndarray:
-    """Numbers of the words that stand in toxic documents far more often than in clean ones, the most telling first."""
+def _cut(documents: list) -> dict[tuple[int, ...], None]:
+    """The distinct sentences, in order, cut as :class:`Evidence` cuts them."""
+    return dict.fromkeys(tuple(s[k : k + SENTENCE_WORDS]) for d in documents for s in d for k in range(0, len(s), SENTENCE_WORDS))
 
-    def documents_with(docs: list) -> np.ndarray:
-        n = np.zeros(len(words))
-        for d in docs:
-            if d:
-                n[np.unique(np.concatenate([s for s, _ in d]))] += 1
-        return n
 
-    bad, good = documents_with(toxic), documents_with(clean)
-    p, q = (bad + 0.1) / (len(toxic) + 1), (good + 0.1) / (len(clean) + 1)
-    least = max(2, math.ceil(0.01 * len(toxic)))
-    gain = np.where((bad >= least) & (p > 3 * q), bad * np.log(p / q), 0)
-    telling = [i for i in np.flatnonzero(gain) if len(words[i]) >= 3]
-    return np.array(sorted(telling, key=lambda i: (-gain[i], words[i]))[:LANDMARKS], np.int64)
+class Sentences:
+    """Sentences as one array of their distinct words, and the worst word of each under given values."""
 
+    def __init__(self, sentences: list[tuple[int, ...]]):
+        distinct = [sorted(set(s)) for s in sentences]
+        sizes = np.array([len(s) for s in distinct], np.int64)
+        self.words = np.fromiter((w for s in distinct for w in s), np.int64, int(sizes.sum()))
+        self.starts = sizes.cumsum() - sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
 
-def count_words(docs: list, size: int) -> np.ndarray:
-    n = np.zeros(size)
-    for d in docs:
-        for s, c in d:
-            n[s] += c
-    return n
+    def count(self, size: int) -> np.ndarray:
+        return np.bincount(self.words, minlength=size).astype(np.float64)
 
+    def worst(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each sentence's worst word, and its value; of ties the first."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64), np.zeros(0)
+        own = values[self.words]
+        top = np.maximum.reduceat(own, self.starts)
+        hit = np.flatnonzero(own == top[self.owner])
+        first = np.r_[True, self.owner[hit][1:] != self.owner[hit][:-1]]
+        return self.words[hit[first]], top
 
-def document_evidence(scored: Iterable[tuple[float, int]]) -> tuple[float, float, int]:
-    """From (share of an insult, occurrences) of each folded word of each sentence: weight in all, worst, words.
 
-    Every occurrence counts, so it does not matter whether a word's occurrences come at once, by sentence or by spelling.
-    """
-    hits = best = 0.0
-    words = 0
-    for share, n in scored:
-        words += n
-        if share > 0:
-            hits += share * n
-            best = max(best, share)
-    return hits, best, words
+def choose_landmarks(toxic: np.ndarray, clean: np.ndarray, sentences: tuple[int, int], documents: int, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words that stand in toxic sentences far more often than in clean ones, the most telling first, and
+    how telling they are. ``toxic`` and ``clean`` count each word's sentences, each of which counts once however often it is copied."""
+    p, q = (toxic + 0.1) / (sentences[0] + 1), (clean + 0.1) / (sentences[1] + 1)
+    least = max(2, math.ceil(0.01 * documents))
+    gain = np.where((toxic >= least) & (p > 3 * q), toxic * np.log(p / q), 0)
+    telling = [i for i in np.flatnonzero(gain) if len(words[i]) >= 3]
+    picked = np.array(sorted(telling, key=lambda i: (-gain[i], words[i]))[:LANDMARKS], np.int64)
+    return picked, gain[picked]
+
 
+def _by_block(words: list[str], of, block: int = 16_384) -> np.ndarray:
+    return np.concatenate([of(words[at : at + block]) for at in range(0, len(words), block)])
 
-def train(toxic: list, clean: list, words: list[str], rounds: int = 4, hard: int = 6000) -> KernelMachine | None:
+
+def train(toxic: list, clean: list, words: list[str], rounds: int = 6, clean_weight: float = 3.0) -> KernelMachine | None:
     """``toxic`` and ``clean``: documents as made by :class:`Documents`, whose words are ``words``."""
-    picked = choose_landmarks(toxic, clean, words)
+    known = _cut(clean)
+    bad, good = Sentences([s for s in _cut(toxic) if s not in known]), Sentences(list(known))
+    in_clean = good.count(len(words))
+    picked, gain = choose_landmarks(bad.count(len(words)), in_clean, (len(bad.starts), len(good.starts)), len(toxic), words)
     if not len(picked):
         return None
-    names = [words[i] for i in picked]
+    telling = Landmarks([words[i] for i in picked])
+    near = _by_block(words, lambda part: telling.kernel(part).max(axis=1))
+    rivals = np.setdiff1d(np.flatnonzero(in_clean), picked)
+    rivals = sorted(rivals, key=lambda i: (-near[i], words[i]))[:NEAREST]
+    names = [words[i] for i in [*picked, *rivals]]
     landmarks = Landmarks(names)
     gram = landmarks.kernel(names).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    good = values > 1e-3
-    half = vectors[:, good] / np.sqrt(values[good])  # Nyström: features = k(words, landmarks) @ half
-    features = landmarks.kernel(words) @ half.astype(np.float32)
-    # First turn: the landmarks of a toxic document insult, and no word of a clean one does. Later turns: the words of
-    # toxic documents that the machine itself finds insulting do.
-    worth = np.where(np.isin(np.arange(len(words)), picked), 1.0, -1.0)
-    w, bias = np.zeros(features.shape[1]), 0.0
-    bad, good = count_words(toxic, len(words)), count_words(clean, len(words))
-    for turn in range(rounds):
-        insults = np.flatnonzero((bad > 0) & (worth > 0) & (bad * len(clean) > 3 * good * len(toxic)))
-        other = np.flatnonzero(good > 0)
-        other = other[np.argsort(-worth[other], kind="stable")]
-        other = np.unique(np.r_[other[:hard], other[:: max(1, len(other) // hard)]])
-        other = np.setdiff1d(other, insults)
-        x = np.r_[features[insults], features[other]].astype(np.float64)
-        y = np.r_[np.ones(len(insults)), -np.ones(len(other))]
-        weight = np.r_[np.sqrt(bad[insults]), np.sqrt(good[other])]
-        cost = np.r_[weight[: len(insults)] / max(1e-9, weight[: len(insults)].sum()), 3 * weight[len(insults) :] / max(1e-9, weight[len(insults) :].sum())] / 2
-        for step in range(400):
-            margin = np.maximum(0, 1 - y * (x @ w + bias))
-            pull = 2 * cost * margin * y
-            rate = 0.5 / (1 + step / 100)
-            w += rate * (x.T @ pull - 1e-3 * w)
-            bias += rate * pull.sum()
-        worth = features @ w + bias
+    kept = values > 1e-3
+    half = (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)  # Nyström: features = k(words, landmarks) @ half
+    features = _by_block(words, lambda part: landmarks.kernel(part) @ half)
+    # First turn: a sentence with a telling word is toxic, and its most telling one speaks for it.
+    worth = near - 1.0
+    worth[picked] = 1 + gain / gain.max()
+    spoken = np.zeros(len(words))
+    weights = np.zeros(features.shape[1] + 1)
+    for _ in range(rounds):
+        speaker, top = bad.worst(worth)
+        chosen = np.bincount(speaker[top > 0], minlength=len(words))
+        spoken += np.bincount(good.worst(worth)[0], minlength=len(words))
+        one, other = np.flatnonzero(chosen), np.flatnonzero(spoken)
+        x = np.concatenate([features[one], features[other]])
+        y = np.r_[np.ones(len(one)), -np.ones(len(other))]
+        cost = np.r_[chosen[one] / max(1, chosen.sum()), clean_weight * spoken[other] / max(1, spoken.sum())] / 2
+        weights = fit_machine(x, y, cost)
+        worth = features @ weights[:-1] + weights[-1]
     table = np.zeros(1 << TABLE_BITS)
-    table[landmarks.codes] = landmarks.rows @ (half @ w)
-    share = np.clip(worth, 0, 1)
+    table[landmarks.codes] = landmarks.rows @ (half @ weights[:-1])
+    machine = KernelMachine(table, float(weights[-1]))
 
-    def evidence(docs: list) -> np.ndarray:
-        rows = [document_evidence([(share[i], n) for s, c in d for i, n in zip(s.tolist(), c.tolist())]) for d in docs]
-        return evidence_of(*np.array(rows).reshape(-1, 3).T)
+    def evidence(documents: list) -> np.ndarray:
+        out = [Evidence() for _ in documents]
+        for e, d in zip(out, documents):
+            for s in d:
+                e.add(worth[s].tolist())
+        return evidence_of(out)
 
-    rule = fit_rule(np.r_[evidence(toxic), evidence(clean)], np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
-    return KernelMachine(table, float(bias), rule)
+    machine.rule = fit_rule(np.r_[evidence(toxic), evidence(clean)], np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    return machine
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_bytes: int = 200_000) -> KernelMachine | None:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_bytes: int = 50_000) -> KernelMachine | None:
     """Train on about ``train_docs`` / 2 documents of either label with crc32(doc_id) mod 5 <> 0; None without both.
 
-    Documents of more than ``train_bytes`` bytes are not learned from, so what the driver holds is bounded.
+    Documents of more than ``train_bytes`` bytes are not learned from, and of rows that repeat an id one is, so the
+    driver holds at most about ``train_docs * train_bytes`` bytes of text.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)").filter(fold_of(F.col("doc_id"), 5) != 0).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)").filter(fold_of(F.col("doc_id"), 5) != 0)
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     sample = None
     for y, n in sizes.items():
@@ -270,7 +318,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_byte
     if sample is None:
         return None
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= train_bytes)
-    rows = texts.join(F.broadcast(sample), "doc_id").select("y", "text").distinct().toPandas()
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text").distinct().toPandas()
     rows = rows.sort_values(["y", "text"])
     bags = Documents()
     toxic, clean = ([bags.read(t) for t in rows["text"][rows["y"] == y]] for y in (1, 0))
@@ -282,9 +330,9 @@ _memo_of: list[int] = []
 
 
 def document_scores(machine: KernelMachine | None, texts: list[str]) -> np.ndarray:
-    """Probability that a text is toxic, from all its words. Words already seen by this worker are remembered.
+    """Probability that a text is toxic, from all its sentences. Words already seen by this worker are remembered.
 
-    Texts are worked on about ``SCORE_CHARS`` characters at a time, so the word counts held are bounded whatever the batch.
+    Sentences are worked on about ``SCORE_CHARS`` characters at a time, so the words held are bounded whatever the texts.
     """
     if machine is None:
         return np.zeros(len(texts))
@@ -292,37 +340,41 @@ def document_scores(machine: KernelMachine | None, texts: list[str]) -> np.ndarr
     if _memo_of != [stamp]:
         _memo.clear()
         _memo_of[:] = [stamp]
-    rows: list[tuple[float, float, int]] = []
-    first = 0
-    while first < len(texts):
-        end, chars = first, 0
-        while end < len(texts) and (end == first or chars + len(texts[end]) <= SCORE_CHARS):
-            chars += len(texts[end])
-            end += 1
-        rows += _evidence(machine, texts[first:end])
-        first = end
-    return machine.probability(evidence_of(*np.array(rows, np.float64).reshape(-1, 3).T))
-
-
-def _evidence(machine: KernelMachine, texts: list[str]) -> list[tuple[float, float, int]]:
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
-    bags = []
-    for t in texts:
-        bag: Counter = Counter()
-        for sentence in sentences_of(t):
-            bag.update(sentence)
-        bags.append(bag)
-    folded: dict[str, list[str]] = {}
-    for w in set().union(*bags).difference(_memo):
-        folded.setdefault(fold(w), []).append(w)
-    names = list(folded)
-    for at in range(0, len(names), 20_000):
-        part = names[at : at + 20_000]
-        for name, value in zip(part, machine.decide(part).tolist()):
-            for w in folded[name]:
-                _memo[w] = min(1.0, max(0.0, value)) if name else None
-    return [document_evidence((_memo[w], n) for w, n in bag.items() if _memo[w] is not None) for bag in bags]
+    return machine.probability(evidence_of(_evidence(machine, texts)))
+
+
+def _evidence(machine: KernelMachine, texts: list[str]) -> list[Evidence]:
+    out = [Evidence() for _ in texts]
+    held: list[tuple[int, list[str]]] = []
+    chars = 0
+
+    def flush() -> None:
+        if len(_memo) > MEMO_WORDS:
+            _memo.clear()
+        folded: dict[str, list[str]] = {}
+        for w in set().union(*(words for _, words in held)).difference(_memo):
+            folded.setdefault(fold(w), []).append(w)
+        names = list(folded)
+        for at in range(0, len(names), 20_000):
+            part = names[at : at + 20_000]
+            for name, value in zip(part, machine.decide(part).tolist()):
+                for w in folded[name]:
+                    _memo[w] = value if name else None
+        for i, words in held:
+            values = [v for v in map(_memo.__getitem__, words) if v is not None]
+            if values:
+                out[i].add(values)
+        held.clear()
+
+    for i, text in enumerate(texts):
+        for sentence in sentences_of(text):
+            held.append((i, words_of(sentence)))
+            chars += len(sentence)
+            if chars > SCORE_CHARS:
+                flush()
+                chars = 0
+    flush()
+    return out
 
 
 def _score_rows(machine):
@@ -348,7 +400,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay.
+
+    Null and empty texts stay unless the rule's constant alone reaches the threshold. Null ids, ties and repeated rows:
+    each row by its text. Very long texts are scored whole. No labels to learn from, or an empty table: nothing goes.
+    """
     machine = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **options))
     column = free_name(docs, "toxic_score")
 
@@ -356,6 +412,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
     def score(text):
         import pandas as pd
 
-        return pd.Series(document_scores(machine.value, ["" if t is None else t for t in text]))
+        array = pa.array(text, pa.string(), from_pandas=True)
+        parts = by_bytes(iter([pa.RecordBatch.from_arrays([array], ["text"])]), 0)
+        return pd.Series(np.concatenate([document_scores(machine.value, texts_of(p.column(0))) for p in parts] or [np.zeros(0)]))
 
     return docs.withColumn(column, score("text")).filter(F.col(column) < threshold).drop(column)
