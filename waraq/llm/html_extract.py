@@ -23,8 +23,9 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ BLOCK = frozenset(
 FAMILIES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LISTS = frozenset(["ul", "ol", "dl", "menu", "table"])
 MAIN = frozenset(["article", "main"])
+#: A block ends an open paragraph, if none of these stands between.
+PARAGRAPH, AROUND, NONE = ("p",), MAIN | LISTS | frozenset(["div", "section", "td", "th", "li", "body"]), frozenset()
 #: Elements that hold the article, so that no word of a class name makes them aside.
 WHOLE = MAIN | {"html", "body"}
 #: Element names, and words of class and id names, that mark what is not the article.
@@ -64,7 +67,6 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -90,11 +92,11 @@ class Element:
     tag: str
     place: int
     names: int  # hash of the path of names
-    children: dict[str, int] = field(default_factory=dict)
+    main: bool = False
+    children: dict[str, int] | None = None
     prose: int = 0  # characters of prose at or under it, those under article or main weighted
     chars: int = 0
     links: int = 0
-    main: bool = False
 
 
 @dataclass(slots=True)
@@ -111,7 +113,11 @@ class Block:
 
 def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """An element's name in paths (with the words of its classes and id, without digits), whether it is aside, and whether a page's head."""
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if attrs else ""
+    if not attrs or attrs.isspace():
+        return _plain_label(tag)
+    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
+    if not names:
+        return _plain_label(tag)
     words = [w for w in _PARTS.split(_CAMEL.sub(" ", names).lower()) if w]
     label = ".".join([tag, *dict.fromkeys(words)])
     if tag in WHOLE:
@@ -119,6 +125,10 @@ def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
     return label, tag in SIDE_ELEMENTS or bool(SIDE_WORDS.intersection(words)), bool(HEAD_WORDS.intersection(words)) or tag == "header"
 
 
+def _plain_label(tag: str) -> tuple[str, bool, bool]:
+    return tag, tag not in WHOLE and tag in SIDE_ELEMENTS, tag == "header"
+
+
 _EDGES = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in HIDDEN}
 
 
@@ -130,6 +140,23 @@ def _hash(*parts: object) -> int:
 ROOT = _hash("root")
 
 
+def _text_token(names: int, text: str) -> int:
+    return _under(names, xxhash.xxh64_intdigest(text))
+
+
+@lru_cache(1 << 16)
+def _name_hash(label: str) -> int:
+    return _hash("name", label)
+
+
+def _under(above: int, name: int) -> int:
+    """The hash of a name or place under a token."""
+    h = ((above ^ name) * 0x9E3779B97F4A7C15 + name) & 0xFFFFFFFFFFFFFFFF
+    h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    h ^= h >> 32
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Page:
     """A page read once: its block elements and its blocks of text, in order. Time and memory are linear in the page."""
 
@@ -139,7 +166,7 @@ class Page:
         self.page = page
         # open elements: tag, index of the block element at or around it, aside, in an article
         self.stack: list[tuple[str, int, bool, bool]] = []
-        self.open: Counter = Counter()
+        self.open: dict[str, int] = {}
         self.hidden = 0
         self.held: list[str] = []
         self.links = 0
@@ -147,7 +174,8 @@ class Page:
         self._read()
 
     def _flush(self) -> None:
-        text = _SPACE.sub(" ", html_lib.unescape("".join(self.held))).strip() if self.held else ""
+        text = "".join(self.held)
+        text = " ".join((html_lib.unescape(text) if "&" in text else text).split())
         if text:
             _, at, side, main = self.stack[-1] if self.stack else ("", 0, False, False)
             self.blocks.append(Block(text, at, side, main, self.elements[at].tag in HEADINGS, min(self.links, len(text))))
@@ -159,7 +187,7 @@ class Page:
             self.held.append(" ")
         elif piece:
             self.held.append(piece)
-            if self.open["a"]:
+            if self.open.get("a"):
                 self.links += len(piece)
 
     def _pop(self, to: int) -> None:
@@ -168,14 +196,19 @@ class Page:
             self.open[tag] -= 1
             self.hidden -= tag in HIDDEN
 
-    def _close(self, names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        if any(self.open[n] for n in names):
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in names:
-                    self._pop(i)
-                    return
-                if self.stack[i][0] in stop:
-                    return
+    def _close(self, names: Iterable[str], stop: frozenset[str]) -> None:
+        for name in names:
+            if self.open.get(name):
+                break
+        else:
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            tag = self.stack[i][0]
+            if tag in names:
+                self._pop(i)
+                return
+            if tag in stop:
+                return
 
     def _has_end(self, tag: str, start: int) -> bool:
         if tag in self.unclosed:
@@ -195,13 +228,16 @@ class Page:
         main = main or tag in MAIN
         if is_block:
             above = self.elements[at]
+            if above.children is None:
+                above.children = {}
             place = above.children[label] = above.children.get(label, 0) + 1
-            group = _hash(above.token, label)
-            self.elements.append(Element(_hash(group, place), group, at, tag, place, _hash(above.names, label), main=main))
+            name = _name_hash(label)
+            group = _under(above.token, name)
+            self.elements.append(Element(_under(group, place), group, at, tag, place, _under(above.names, name), above.main or tag in MAIN))
             at = len(self.elements) - 1
         if is_block or not attrs.endswith("/"):
             self.stack.append((tag, at, aside, main))
-            self.open[tag] += 1
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.hidden += tag in HIDDEN
 
     def _read(self) -> None:
@@ -226,10 +262,10 @@ class Page:
             if is_block:
                 self._flush()
             if m["end"]:
-                self._close({tag}, frozenset() if is_block else BLOCK)
+                self._close((tag,), NONE if is_block else BLOCK)
                 continue
             if is_block:
-                self._close({"p"}, MAIN | LISTS | frozenset(["div", "section", "td", "th", "li", "body"]))
+                self._close(PARAGRAPH, AROUND)
             if tag in FAMILIES:
                 self._close(FAMILIES[tag], LISTS)
             self._open(tag, m["attrs"], is_block)
@@ -299,7 +335,7 @@ def page_tokens(page: Page) -> list[tuple]:
     """(token, group, parent, is_text, container, main, n, prose, chars, links) of every element and of every text not aside."""
     at = page.elements
     rows = [(e.token, e.group, at[e.parent].token if e.parent >= 0 else 0, False, e.tag in CONTAINERS, e.main, 1, e.prose, e.chars, e.links) for e in at]
-    texts = Counter(_hash(at[b.at].names, b.text) for b in page.blocks if not b.side)
+    texts = Counter(_text_token(at[b.at].names, b.text) for b in page.blocks if not b.side)
     return rows + [(h, h, 0, True, False, False, n, 0, 0, 0) for h, n in texts.items()]
 
 
@@ -330,7 +366,7 @@ def _article(page: Page, rules: Rules) -> str:
         if b.side or dropped[b.at]:
             continue
         e = page.elements[b.at]
-        name = _hash(e.names, b.text) if rules.heads else 0
+        name = _text_token(e.names, b.text) if rules.heads else 0
         if inside[b.at]:
             keep = name not in rules.fixed
         else:  # the article's heading may stand beside its element
