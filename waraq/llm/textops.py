@@ -10,11 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``limit`` bytes of the given text column, one row at least."""
+    """Cut Arrow batches so that each holds about ``limit`` bytes of the given text column, one row at least.
+
+    Memory that Arrow no longer uses goes back after each batch, as workers live on from task to task."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -26,6 +28,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH_
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(array: pa.Array) -> list[str]:

@@ -33,8 +33,9 @@ DECAY, SPAN, TABLE_BITS = 0.6, 5, 20
 LANDMARKS, NEAREST = 96, 32
 #: Words of a sentence; longer ones count as several. Characters after which a sentence without an end is cut.
 SENTENCE_WORDS, SENTENCE_CHARS = 24, 1 << 16
-MEMO_WORDS = 200_000
-SCORE_CHARS = 1 << 20
+MEMO_WORDS = 120_000
+SCORE_CHARS = 1 << 18
+SCORE_BYTES = 2 << 20
 #: Words below which a document's length counts little.
 SHORT = 64
 #: Digits and signs that stand for letters inside a word.
@@ -46,13 +47,15 @@ _SENTENCE = re.compile(r"[\n.!?]+(?=\s|$)")
 
 def fold(word: str) -> str:
     low = word.lower()
+    if low.isalpha():
+        return low
     return low.translate(_FOLD) if any(c.isalpha() for c in low) else ""
 
 
 def words_of(sentence: str) -> list[str]:
     """The words of a sentence, with spaced-out ones ("i d i o t") joined as further words at its end."""
     found = sentence.split()
-    if sum(len(w) == 1 for w in found) >= 3:
+    if list(map(len, found)).count(1) >= 3:
         found += ["".join(m.group().split()) for m in _SPACED.finditer(sentence)]
     return found
 
@@ -121,9 +124,10 @@ class Evidence:
 
     def add(self, values: list[float]) -> None:
         """The decision values of a sentence's words."""
-        self.words += len(values)
-        for k in range(0, len(values), SENTENCE_WORDS):
-            top = max(values[k : k + SENTENCE_WORDS])
+        n = len(values)
+        self.words += n
+        for k in range(0, n, SENTENCE_WORDS):
+            top = max(values[k : k + SENTENCE_WORDS] if n > SENTENCE_WORDS else values)
             if top > self.best:
                 self.best = min(top, 1.0)
             if top > 0:
@@ -151,13 +155,18 @@ def fit_rule(evidence: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float
 
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-4, steps: int = 30) -> np.ndarray:
     """Weights and bias of the squared-hinge machine, by Newton's method over the rows within the margin."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
+    x = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (len(w) - 1) + [1e-9])
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        part, c = x[active], cost[active].astype(np.float32)
-        new = np.linalg.solve(((part * c[:, None]).T @ part).astype(np.float64) + penalty, part.T @ (c * y[active]))
+        square, pull = penalty.copy(), np.zeros(len(w))
+        for at in range(0, len(x), 4096):
+            part, sign, c = x[at : at + 4096].astype(np.float64), y[at : at + 4096], cost[at : at + 4096]
+            active = sign * (part @ w) < 1
+            part, c = part[active], c[active]
+            square += (part * c[:, None]).T @ part
+            pull += part.T @ (c * sign[active])
+        new = np.linalg.solve(square, pull)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -249,8 +258,12 @@ def choose_landmarks(toxic: np.ndarray, clean: np.ndarray, sentences: tuple[int,
     return picked, gain[picked]
 
 
-def _by_block(words: list[str], of, block: int = 16_384) -> np.ndarray:
-    return np.concatenate([of(words[at : at + block]) for at in range(0, len(words), block)])
+def _by_block(words: list[str], of, width: int, block: int = 4096) -> np.ndarray:
+    """``of`` each block of words, in half precision, so that the driver holds two bytes a value."""
+    out = np.empty((len(words), width), np.float16)
+    for at in range(0, len(words), block):
+        out[at : at + block] = of(words[at : at + block])
+    return out
 
 
 def train(toxic: list, clean: list, words: list[str], rounds: int = 6, clean_weight: float = 3.0) -> KernelMachine | None:
@@ -262,7 +275,7 @@ def train(toxic: list, clean: list, words: list[str], rounds: int = 6, clean_wei
     if not len(picked):
         return None
     telling = Landmarks([words[i] for i in picked])
-    near = _by_block(words, lambda part: telling.kernel(part).max(axis=1))
+    near = _by_block(words, lambda part: telling.kernel(part).max(axis=1, initial=0, keepdims=True), 1)[:, 0].astype(np.float64)
     rivals = np.setdiff1d(np.flatnonzero(in_clean), picked)
     rivals = sorted(rivals, key=lambda i: (-near[i], words[i]))[:NEAREST]
     names = [words[i] for i in [*picked, *rivals]]
@@ -271,7 +284,7 @@ def train(toxic: list, clean: list, words: list[str], rounds: int = 6, clean_wei
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     kept = values > 1e-3
     half = (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)  # Nyström: features = k(words, landmarks) @ half
-    features = _by_block(words, lambda part: landmarks.kernel(part) @ half)
+    features = _by_block(words, lambda part: landmarks.kernel(part) @ half, half.shape[1])
     # First turn: a sentence with a telling word is toxic, and its most telling one speaks for it.
     worth = near - 1.0
     worth[picked] = 1 + gain / gain.max()
@@ -282,11 +295,11 @@ def train(toxic: list, clean: list, words: list[str], rounds: int = 6, clean_wei
         chosen = np.bincount(speaker[top > 0], minlength=len(words))
         spoken += np.bincount(good.worst(worth)[0], minlength=len(words))
         one, other = np.flatnonzero(chosen), np.flatnonzero(spoken)
-        x = np.concatenate([features[one], features[other]])
+        x = features[np.r_[one, other]]
         y = np.r_[np.ones(len(one)), -np.ones(len(other))]
         cost = np.r_[chosen[one] / max(1, chosen.sum()), clean_weight * spoken[other] / max(1, spoken.sum())] / 2
         weights = fit_machine(x, y, cost)
-        worth = features @ weights[:-1] + weights[-1]
+        worth = np.concatenate([features[at : at + 4096] @ weights[:-1].astype(np.float32) for at in range(0, len(words), 4096)]) + weights[-1]
     table = np.zeros(1 << TABLE_BITS)
     table[landmarks.codes] = landmarks.rows @ (half @ weights[:-1])
     machine = KernelMachine(table, float(weights[-1]))
@@ -302,7 +315,7 @@ def train(toxic: list, clean: list, words: list[str], rounds: int = 6, clean_wei
     return machine
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_bytes: int = 50_000) -> KernelMachine | None:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_bytes: int = 12_000) -> KernelMachine | None:
     """Train on about ``train_docs`` / 2 documents of either label with crc32(doc_id) mod 5 <> 0; None without both.
 
     Documents of more than ``train_bytes`` bytes are not learned from, and of rows that repeat an id one is, so the
@@ -322,6 +335,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 3000, train_byte
     rows = rows.sort_values(["y", "text"])
     bags = Documents()
     toxic, clean = ([bags.read(t) for t in rows["text"][rows["y"] == y]] for y in (1, 0))
+    del rows
     return train(toxic, clean, bags.words) if toxic and clean else None
 
 
@@ -355,8 +369,8 @@ def _evidence(machine: KernelMachine, texts: list[str]) -> list[Evidence]:
         for w in set().union(*(words for _, words in held)).difference(_memo):
             folded.setdefault(fold(w), []).append(w)
         names = list(folded)
-        for at in range(0, len(names), 20_000):
-            part = names[at : at + 20_000]
+        for at in range(0, len(names), 4096):
+            part = names[at : at + 4096]
             for name, value in zip(part, machine.decide(part).tolist()):
                 for w in folded[name]:
                     _memo[w] = value if name else None
@@ -379,7 +393,7 @@ def _evidence(machine: KernelMachine, texts: list[str]) -> list[Evidence]:
 
 def _score_rows(machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 2):
+        for batch in by_bytes(batches, 2, SCORE_BYTES):
             score = document_scores(machine.value, texts_of(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["doc_id", "held_out", "score"])
 
@@ -408,12 +422,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
     machine = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **options))
     column = free_name(docs, "toxic_score")
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        array = pa.array(text, pa.string(), from_pandas=True)
-        parts = by_bytes(iter([pa.RecordBatch.from_arrays([array], ["text"])]), 0)
-        return pd.Series(np.concatenate([document_scores(machine.value, texts_of(p.column(0))) for p in parts] or [np.zeros(0)]))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        parts = by_bytes(iter([pa.RecordBatch.from_arrays([text], ["text"])]), 0, SCORE_BYTES)
+        return pa.array(np.concatenate([document_scores(machine.value, texts_of(p.column(0))) for p in parts] or [np.zeros(0)]))
 
     return docs.withColumn(column, score("text")).filter(F.col(column) < threshold).drop(column)
