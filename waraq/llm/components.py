@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from waraq.runtime import drop_materialized, materialize
 
-#: Groups of more than a SHARE-th of all rows are fewer than SHARE, so that they are broadcast.
-SHARE = 20_000
+#: Groups of more than a SHARE-th of all rows, and of more than HOT rows, are fewer than SHARE, so that they are broadcast.
+SHARE, HOT = 1000, 256
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = SHARE) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, one small row per key, whose ``size`` counts the key's rows out of ``total``.
 
-    Groups of more than a ``share``-th of all rows number fewer than ``share``, so they are broadcast and their rows stay
-    where they are. The rows of all others are exchanged by key, of which none is hot.
+    ``groups`` is a written table. Groups of more than a ``SHARE``-th of all rows are broadcast and their rows stay where
+    they are. The rows of all others are exchanged by key, of which none is hot. Small tables are not broadcast either:
+    a broadcast stays on the executors until the driver's next garbage collection, and rounds of joins would fill them.
     """
-    large = groups.filter(F.col(size) * share > total)
+    large = groups.filter(F.col(size) > max(total // SHARE, HOT))
+    if large.isEmpty():
+        return rows.join(groups.hint("merge"), keys)
     hot = rows.join(F.broadcast(large), keys)
-    cold = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) * share <= total), keys)
+    cold = rows.join(F.broadcast(large), keys, "left_anti").join(groups.filter(F.col(size) <= max(total // SHARE, HOT)).hint("merge"), keys)
     return hot.unionByName(cold)
 
 

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waraq.llm.bloom import bloom_of, may_hold
 from waraq.llm.textops import by_bytes, splitmix, utf8_of
 from waraq.llm.words import word_hashes
 from waraq.runtime import free_name, materialize
@@ -26,8 +27,6 @@ from waraq.runtime import free_name, materialize
 #: With these, a run of 13 words with any two of them substituted still has a hit.
 MASKS = ("10110111", "1101100101", "1010010111", "1010110011")
 WINDOW, MATCHES, SHORTEST = 13, 11, 5
-#: The filter has 2**BITMAP_BITS bits; a seed sets one for each group of that many bits of its hash below these places.
-BITMAP_BITS, PROBES = 24, (40, 20, 0)
 #: Up to this many seeds are broadcast (24 bytes each); more are joined by an exchange, dealt over SALT parts.
 BROADCAST_SEEDS, SALT = 1_000_000, 16
 
@@ -76,8 +75,8 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["item", "item_id", "item_words"])
 
 
-def _regions(masks: tuple[str, ...], bitmap: np.ndarray, context: int):
-    """For each document, the stretches of words up to ``context`` words around seeds that are in the bitmap."""
+def _regions(masks: tuple[str, ...], seen: np.ndarray, context: int):
+    """For each document, the stretches of words up to ``context`` words around seeds that are in the filter ``seen``."""
     full = [(m, len(m) * 1000 + int(m, 2)) for m in masks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +85,7 @@ def _regions(masks: tuple[str, ...], bitmap: np.ndarray, context: int):
             places, hashes, spans = [], [], []
             for mask, salt in full:
                 h = seed_hashes(words, mask, salt)
-                hit = np.arange(len(h))
-                for low in PROBES:
-                    slot = ((h[hit] >> np.uint64(low)) & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                    hit = hit[((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)]
+                hit = may_hold(seen, h)
                 places.append(hit)
                 hashes.append(h[hit])
                 spans.append(np.full(len(hit), len(mask)))
@@ -144,17 +140,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """The Bloom filter of all seeds; gathered as at most 2**(BITMAP_BITS - 6) words, whatever the benchmark."""
-    slots = F.array(*[F.shiftrightunsigned("h", place).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) for place in PROBES])
-    slot = seeds.select(F.explode(slots).alias("slot"))
-    words = slot.select((F.col("slot") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = words.toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    return out.view(np.uint8)
-
-
 def _meet(rows: DataFrame, table: DataFrame, key: str, small: bool) -> DataFrame:
     """Inner join on ``key``, of which some value may stand in very many ``rows``: with a small table by broadcast, else
     dealt over copies of the table."""
@@ -173,7 +158,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     seeds = materialize(keyed.select("item", "text").mapInArrow(_bench_rows(MASKS), "item long, place long, h long, whole long"), "seeds")
     short = tuple("1" * r["whole"] for r in seeds.filter("whole > 0").select("whole").distinct().collect())  # at most 8 lengths
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
-    regions = rows.mapInArrow(_regions(MASKS + short, _bitmap(seeds), longest // 8), f"doc_id {kind}, row_hash long, start long, body binary, hashes array<long>, places array<long>")
+    regions = rows.mapInArrow(_regions(MASKS + short, bloom_of(seeds, "h"), longest // 8), f"doc_id {kind}, row_hash long, start long, body binary, hashes array<long>, places array<long>")
     regions = materialize(regions.withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("region", F.col("x.hashes").alias("h"), F.col("x.places").alias("at"))
     met = _meet(hits, seeds, "h", seeds.count() <= broadcast_seeds)

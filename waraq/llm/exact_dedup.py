@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waraq.llm.bloom import passing
 from waraq.llm.components import join_groups
 from waraq.llm.textops import by_bytes, texts_of
 from waraq.runtime import free_name, materialize
@@ -25,8 +26,6 @@ from waraq.runtime import free_name, materialize
 CHUNK = 1024
 PIECE = 4 << 20
 COMPARE_CHUNK = 1 << 16
-#: The members' filter has 2**FILTER_BITS bits; a row sets one for each of these places of its text's hash.
-FILTER_BITS, PROBES = 24, (40, 20, 0)
 #: (prime, base) of each residue: the largest primes below 2**31, with arbitrary bases.
 RESIDUES = ((2147483647, 1103515245), (2147483629, 1220703125), (2147483587, 916132832), (2147483579, 387420489))
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -134,37 +133,10 @@ def fingerprint_table(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return materialize(prints.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
 
 
-def _member_filter(members: DataFrame) -> np.ndarray:
-    """A Bloom filter of the members' text hashes; gathered as at most 2**(FILTER_BITS - 6) words, however many they are."""
-    slots = F.array(*[F.shiftrightunsigned("raw_hash", at).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for at in PROBES])
-    slot = members.select(F.explode(slots).alias("slot"))
-    words = slot.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = words.toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    return out.view(np.uint8)
-
-
-def _candidates(filter_bits: np.ndarray):
-    """The rows whose text hash (column 1) may be a member's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            keep = np.ones(len(h), bool)
-            for at in PROBES:
-                slot = ((h >> np.uint64(at)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                keep &= ((filter_bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
-            yield batch.filter(pa.array(keep))
-
-    return run
-
-
 def _chunks(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Normalised chunks of the given rows' texts. Texts that are no member's are left out before the exchange."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_hash"), "text", F.monotonically_increasing_id().alias("spot"))
-    own = own.mapInArrow(_candidates(_member_filter(members)), f"d_id {kind}, d_hash long, text string, spot long")
+    own = passing(own, "d_hash", members, "raw_hash")
     own = own.select("d_id", "d_hash", "spot", F.encode(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_RUN, " "), "UTF-8").alias("body"))
     joined = own.join(members, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_hash") == F.col("raw_hash")))
     last = (F.greatest(F.octet_length("body"), F.lit(1)) - 1) / COMPARE_CHUNK
@@ -202,6 +174,7 @@ def group_rows(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     told = prints.join(mark, PRINT, "left").withColumn("told", key) if not clash.isEmpty() else prints.withColumn("told", F.lit(""))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     groups = told.groupBy(*PRINT, "told").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups, "told-groups")
     return join_groups(told, groups, [*PRINT, "told"], "group_size", total).select(
         "doc_id", "raw_hash", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256"
     )

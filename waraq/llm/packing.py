@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from waraq.llm.textops import by_bytes, texts_of
 from waraq.runtime import materialize
 
-WINDOW, END_ID, MEMO_WORDS = 2048, 1, 300_000
+WINDOW, END_ID, MEMO_WORDS = 2048, 1, 200_000
 ENCODE_BYTES = 2 << 20
 _WHITE = re.compile(r"\s")
 

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waraq.llm.bloom import passing
 from waraq.llm.components import connected_components, join_groups
 from waraq.llm.textops import by_bytes, splitmix, texts_of
 from waraq.runtime import free_name, materialize
@@ -314,6 +315,7 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2) ->
     rooted = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "low_id", "rows", F.coalesce("root", "f0").alias("root"))
     rooted = materialize(rooted, "rooted")
     lows = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    lows = materialize(lows, "lows")
     total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
     named = materialize(join_groups(rooted, lows, ["root"], "nodes", total[0]).select("f0", "component_id", "rows"), "named")
     named = join_groups(rows, named, ["f0"], "rows", total[1] or 0)
@@ -463,6 +465,7 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 256, similarity: fl
     # of copies to the byte the text with the smallest id is compared, so no node is hot
     chosen = sketch.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("c_id")).join(candidates, "node")
     chosen = materialize(chosen.select(F.col("node").alias("c_node"), "c_id", "block"), "candidates")
+    source = passing(source, "node", chosen, "c_node")
     texts = source.join(chosen, (source["node"] == chosen["c_node"]) & source["doc_id"].eqNullSafe(chosen["c_id"])).select("block", "node", "text")
     sets = materialize(texts.mapInArrow(_set_rows(words), "block long, node long, shingles array<long>"), "shingle-sets")
     roots = connected_components(links_of_sets(sets, similarity))
@@ -470,6 +473,7 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 256, similarity: fl
     root = F.when(F.col("n_blocks") == 0, F.lit(None)).otherwise(F.coalesce("root", "node"))
     rooted = materialize(rows.join(roots, "node", "left").withColumn("root", root), "rooted")
     lows = rooted.filter("root is not null").groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    lows = materialize(lows, "lows")
     total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
     named = join_groups(rooted.filter("root is not null"), lows, ["root"], "nodes", total[0]).select("node", "component_id", "rows")
     named = named.unionByName(rooted.filter("root is null").select("node", F.lit(None).cast(kind).alias("component_id"), "rows"))

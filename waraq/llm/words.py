@@ -6,7 +6,7 @@ import numpy as np
 
 from waraq.llm.textops import splitmix
 
-BLOCK = 4 << 20
+BLOCK = 1 << 19
 _RATIO = 0x9E3779B97F4A7C15 | 1
 _BYTE_VALUES = splitmix(np.arange(1, 257, dtype=np.uint64))
 
