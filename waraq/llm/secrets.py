@@ -32,22 +32,45 @@ FEATURES = ["length", "digits", "uppers", "lowers", "signs", "transitions", "dis
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, word_no, start, word, candidate and the words around, for every candidate of every text.
+    """doc_id, path, word_no, start, word, ahead, candidate and the words around, for every candidate of every text.
 
-    Words are cut at single white-space characters, so start (in characters from 0) is exact.
+    Words are cut at single white-space characters. One fold over a text's words keeps the running length, and one over
+    a word's matches the place behind the last, so start (in characters from 0) is exact, repeats included, and the
+    work grows with the text alone.
     """
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
     rows = docs.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), "text").filter(F.col("text").rlike(HOLDS))
     words = rows.select("doc_id", "path", F.split("text", WHITE, -1).alias("words"))
-    spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].rlike(HOLDS))
-    spot = words.select("doc_id", "path", "words", F.explode(spots).alias("at"))
-    near = lambda k: F.coalesce(F.get("words", F.col("at.i") + k), F.lit(""))
-    before = F.slice("words", 1, F.col("at.i"))
-    # characters of the words before, and a separator after each
-    offset = F.aggregate(before, F.lit(0), lambda n, w: n + F.length(w) + 1)
-    found = spot.select("doc_id", "path", F.col("at.i").cast("long").alias("word_no"), offset.alias("word_start"), F.col("at.w").alias("word"), near(-3).alias("w3"), near(-2).alias("w2"), near(-1).alias("w1"), near(1).alias("x1"))
-    every = found.withColumn("candidate", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1))))).filter(F.col("candidate").rlike("[0-9]"))
-    return every.withColumn("start", (F.col("word_start") + F.expr("locate(candidate, word)") - 1).cast("long"))
+    spot = "struct<i:int,at:int,w:string,w3:string,w2:string,w1:string,x1:string>"
+    found = f"""
+        aggregate(words, named_struct('i', 0, 'at', 0, 'out', cast(array() as array<{spot}>)), (s, w) -> named_struct(
+            'i', s.i + 1,
+            'at', s.at + length(w) + 1,
+            'out', if(w rlike '{HOLDS}', array_append(s.out, named_struct('i', s.i, 'at', s.at, 'w', w,
+                'w3', coalesce(get(words, s.i - 3), ''), 'w2', coalesce(get(words, s.i - 2), ''),
+                'w1', coalesce(get(words, s.i - 1), ''), 'x1', coalesce(get(words, s.i + 1), ''))), s.out)),
+            s -> s.out)"""
+    spots = words.select("doc_id", "path", F.explode(F.expr(found)).alias("x")).select("doc_id", "path", "x.*")
+    # no shorter run of key characters holds a match, so the next one is the first place behind the last
+    places = f"""
+        aggregate(regexp_extract_all(w, '({CANDIDATE})', 1), named_struct('at', 1, 'out', cast(array() as array<struct<m:string,p:int>>)), (s, m) -> named_struct(
+            'at', locate(m, w, s.at) + length(m),
+            'out', array_append(s.out, named_struct('m', m, 'p', locate(m, w, s.at)))),
+            s -> s.out)"""
+    every = spots.withColumn("c", F.explode(F.expr(places))).filter("c.m rlike '[0-9]'")
+    return every.select(
+        "doc_id",
+        "path",
+        F.col("i").cast("long").alias("word_no"),
+        (F.col("at") + F.col("c.p") - 1).cast("long").alias("start"),
+        F.col("w").alias("word"),
+        F.expr("substring(w, 1, c.p - 1)").alias("ahead"),
+        F.col("c.m").alias("candidate"),
+        "w3",
+        "w2",
+        "w1",
+        "x1",
+    )
 
 
 def _share(of: Column, kept: str) -> Column:
@@ -55,11 +78,11 @@ def _share(of: Column, kept: str) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """``found``: path, word, candidate, w3, w2, w1, x1. Adds the columns of FEATURES."""
+    """``found``: path, word, ahead (the word's part before the candidate), candidate, w3, w2, w1, x1. Adds the columns of FEATURES."""
     c = F.col("candidate")
     n = F.greatest(F.length(c), F.lit(1))
     kinds = F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
-    ahead = F.expr("substring(word, 1, locate(candidate, word) - 1)")
+    ahead = F.col("ahead")
     near = F.lower(F.concat_ws(" ", "w3", "w2", "w1", ahead))
     flag = lambda x: x.cast("double")
     return found.withColumns(
@@ -100,7 +123,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     b64 = lambda salt, k: F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(digest(salt), digest(salt + "x")))), "[\\r\\n=]", ""), 1, k)
     b36 = lambda salt, k: F.substring(F.upper(F.regexp_replace(b64(salt, 86), "[+/]", "")), 1, k)
     alnum = lambda salt, k: F.substring(F.regexp_replace(b64(salt, 86), "[+/]", "7"), 1, k)
-    word = ["the", "and", "of", "with", "die", "les", "que", "value", "then", "lines", "for", "rewhly", "thndon", "onhea.", "schen,", "ciónes", "éance", "anor"]
+    word = ["the", "and", "of", "with", "die", "les", "que", "value", "then", "lines", "for", "before", "nicht", "pour", "desde", "after.", "une,", "sobre"]
     hint = ["password", "passwd", "secret", "token", "api_key", "API_KEY", "access_key", "auth_token", "private", "client_secret"]
     calm = ["commit", "revision", "checksum", "md5", "sha256", "uuid", "etag", "digest", "build", "order", "card", "hash"]
     size = lambda salt, xs: one_of(salt, xs)
@@ -153,6 +176,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
     """A forest from labelled findings: path, w3, w2, w1, word, x1, label (1.0 a secret, 0.0 not)."""
     found = labelled.withColumn("candidate", F.regexp_extract("word", f"({CANDIDATE})", 1)).filter("candidate <> '' and label is not null")
+    found = found.withColumn("ahead", F.expr("substring(word, 1, locate(candidate, word) - 1)"))  # of a finding's word the first candidate is labelled
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found)).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, featureSubsetStrategy="sqrt").fit(rows)
 
@@ -160,8 +184,8 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 17)
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Every candidate of every whole text: doc_id, word_no, start, candidate, score, is_secret.
 
-    word_no counts white-space-separated words from 0 (empty ones too), start characters from 0. A candidate that
-    repeats inside one word is one row. Null and empty texts: no rows. Null ids and paths: scanned like any other.
+    word_no counts white-space-separated words from 0 (empty ones too), start characters from 0. Every place of
+    a candidate is a row of its own. Null and empty texts: no rows. Null ids and paths: scanned like any other.
     Repeated rows: repeated findings. Very long texts: scanned whole. Empty table: no rows.
     """
     model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled)
