@@ -1,5 +1,6 @@
 """Ingest, index, catalogue and search operators on small literal tables."""
 
+import datetime
 import json
 
 import pytest
@@ -247,3 +248,60 @@ def test_stream_equals_batch(spark, tmp_path, pages, forms):
 def test_schemas_fit(idx, forms, vocab):
     shape = lambda df, s: {(f.name, f.dataType.simpleString()) for f in df.schema} == {(f.name, f.dataType.simpleString()) for f in s}
     assert shape(idx, schemas.PAGE_INDEX) and shape(forms, schemas.VOCAB_FORMS) and shape(vocab, schemas.VOCAB)
+
+
+def test_upload_pipeline(spark, tmp_path):
+    """From files to answers: one document from the cache, one recognised, one repeated; a file that is no PDF is left out."""
+    import json
+
+    from waraq.operators import upload as uploading
+    from waraq.sources import tables
+
+    at = datetime.datetime(2024, 1, 1)
+    native = "A page whose text is long enough to count as native, not as a scan."
+    files = [(1, "x/one.PDF", native.encode(), at), (2, "two.pdf", b"|", at), (3, "notes.txt", b"no", at), (4, "again.pdf", b"|", at), (5, "known.pdf", b"short", at)]
+    added = tables.append_uploads(spark.createDataFrame(files, "seq long, filename string, content binary, uploaded_at timestamp"), f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert log.columns == ["seq", "doc_id", "filename", "content", "uploaded_at"] and added.count() == 4
+    ids = {r.filename: r.doc_id for r in log.collect()}
+    assert set(ids) == {"one.PDF", "two.pdf", "again.pdf", "known.pdf"} and ids["two.pdf"] == ids["again.pdf"]
+    found = {r.filename: (r.found, r.content and bytes(r.content)) for r in tables.file_content(log, spark.createDataFrame([("known.pdf",), ("gone.pdf",)], "filename string")).collect()}
+    assert found == {"known.pdf": (True, b"short"), "gone.pdf": (False, None)}
+
+    def opener(content):
+        return [(k + 1, t, t.encode(), b"") for k, t in enumerate(content.decode().split("|"))]
+
+    cache = spark.createDataFrame([(ids["known.pdf"], 1, "scan", "text from the cache")], "doc_id string, page int, type string, text string")
+    first = lambda images: [None if not bytes(i) else "read " + bytes(i).decode() for i in images]
+    second = lambda images: ["second engine"] * len(images)
+    pages, index, answers = uploading.upload(log, cache, lambda u: tables.explode_pages(u, opener), first, second, f"{tmp_path}/cache", ())
+    texts = {(r.doc_id, r.seq, r.page): (r.type, r.text, r.from_cache) for r in pages.collect()}
+    assert texts[ids["one.PDF"], 1, 1] == ("native", native, False)
+    assert texts[ids["known.pdf"], 5, 1] == ("scan", "text from the cache", True)
+    assert all(texts[ids["two.pdf"], seq, page] == ("scan", "second engine", False) for seq in (2, 4) for page in (1, 2)) and len(texts) == 6
+    assert index.count() == 6
+    got = {r.doc_id: json.loads(r.response) for r in answers.collect()}
+    assert {r["filename"] for r in got.values()} == {"one.PDF", "again.pdf", "known.pdf"}
+    assert (got[ids["two.pdf"]]["nb_pages"], got[ids["known.pdf"]]["from_cache"], got[ids["one.PDF"]]["doc_type"]) == (2, True, "native")
+    cached = spark.read.parquet(f"{tmp_path}/cache").collect()
+    assert {r.doc_id for r in cached} == {ids["one.PDF"], ids["two.pdf"]} and len(cached) == 3
+
+
+def test_upload_rate(spark):
+    from waraq.streaming.ingest import upload_rate
+
+    rows = [(datetime.datetime(2024, 1, 1, h, 5), b"abc" * n) for h, n in ((1, 1), (1, 2), (3, 1))]
+    got = {(r.start.hour, r.uploads, r.bytes) for r in upload_rate(spark.createDataFrame(rows, "uploaded_at timestamp, content binary")).collect()}
+    assert got == {(1, 2, 9), (3, 1, 3)}
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from waraq.runtime import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", applicationId="a")))

@@ -159,12 +159,12 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The choice between two recognisers' texts, with a failing, a missing and an empty first one among them."""
     k = F.col("seq") % 5
-    text = F.substring("raw_text", 1, 60)
+    text = F.col("raw_text")
     first = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, "[ERR engine: no image]").when(k == 2, "").otherwise(text)
     second = F.when(F.col("page") % 4 == 0, "[ERR model: timeout]").when(F.col("page") % 4 == 1, F.lit(None).cast("string")).otherwise(F.reverse(text))
     chosen = ingest.choose_ocr(first, second, ())
     rows = surrogate.turn_pages(spark, sf_dir).select("doc_id", "page", chosen.alias("text"))
-    return rows.select("doc_id", "page", F.length("text").cast("long").alias("n_chars"), ingest.is_error(F.col("text")).alias("is_error"), (F.col("text") == "").alias("is_empty"))
+    return rows.select("doc_id", "page", "text", ingest.is_error(F.col("text")).alias("is_error"))
 
 
 @query(oracle.PICK_MODEL)
@@ -381,10 +381,19 @@ def live_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search for each misspelt query: correction, suggestions and the number of results."""
     vocab = materialize(_vocab(spark, sf_dir), "vocab")
-    heads, _ = search.search(_misspelt(spark, sf_dir), _index(spark, sf_dir), _docs(spark, sf_dir), vocab, _corrections(spark))
+    index = materialize(_index(spark, sf_dir), "page-index")
+    heads, _ = search.search(_misspelt(spark, sf_dir), index, _docs(spark, sf_dir), vocab, _corrections(spark))
     return heads.select("query_id", "query_orig", "query_eff", "correction", F.array_join("suggestions", "|").alias("suggestions"), "total")
 
 
+@query(oracle.SEARCH_ANSWER)
+def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole answer to each misspelt query as one JSON object, but for the time it took."""
+    vocab = materialize(_vocab(spark, sf_dir), "vocab")
+    index = materialize(_index(spark, sf_dir), "page-index")
+    return search.answers(*search.search(_misspelt(spark, sf_dir), index, _docs(spark, sf_dir), vocab, _corrections(spark)))
+
+
 @query(oracle.RESULT_JSON)
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results as JSON objects, read back."""

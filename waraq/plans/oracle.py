@@ -133,7 +133,7 @@ CACHE_OVERLAY = _with(_TURNS, _TURN_PAGES, "SELECT doc_id, page, CASE WHEN seq %
 CACHE_MISSES = _with(_TURNS, "SELECT doc_id, page FROM turns WHERE doc_id NOT IN (SELECT doc_id FROM turns WHERE seq % 2 = 0 AND page = 1)")
 OCR_FALLBACK = _with(
     _TURNS,
-    "made AS (SELECT doc_id, page, CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN '[ERR engine: no image]' WHEN 2 THEN '' ELSE substr(raw_text, 1, 60) END AS a, CASE page % 4 WHEN 0 THEN '[ERR model: timeout]' WHEN 1 THEN NULL ELSE reverse(substr(raw_text, 1, 60)) END AS b FROM turns)",
+    "made AS (SELECT doc_id, page, CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN '[ERR engine: no image]' WHEN 2 THEN '' ELSE raw_text END AS a, CASE page % 4 WHEN 0 THEN '[ERR model: timeout]' WHEN 1 THEN NULL ELSE reverse(raw_text) END AS b FROM turns)",
     "taken AS (SELECT doc_id, page, CASE WHEN a IS NULL OR starts_with(a, '[ERR') THEN b ELSE a END AS t FROM made)",
     "__CASCADE__",
 )
@@ -237,6 +237,20 @@ SEARCH_ENVELOPE = _with(
     "totals AS (SELECT query_id, count(DISTINCT doc_id) AS total FROM hits GROUP BY query_id)",
     "SELECT c.query_id, c.query AS query_orig, c.effective AS query_eff, c.correction, coalesce(array_to_string(p.suggestions, '|'), '') AS suggestions, coalesce(t.total, 0) AS total FROM corrected c LEFT JOIN per_query p USING (query_id) LEFT JOIN totals t USING (query_id)",
 )
+SEARCH_ANSWER = _with(
+    *_TO_CORRECTED,
+    _SUMMARY,
+    _UPLOADS,
+    _DOCS,
+    "pre AS (SELECT word AS prefix FROM asked WHERE arabic)",
+    _suggest("pre", 3),
+    _PER_QUERY,
+    _hits("corrected"),
+    "by_doc AS (SELECT h.query_id, d.doc_id, d.filename, d.nb_pages, d.first_seq, list({'page': h.page, 'line': h.line} ORDER BY h.page) AS matches FROM hits h JOIN docs d USING (doc_id) GROUP BY ALL)",
+    "listed AS (SELECT query_id, count(*) AS total, list({'doc_id': doc_id, 'filename': filename, 'nb_pages': nb_pages, 'matches': matches} ORDER BY len(matches) DESC, first_seq) AS results FROM by_doc GROUP BY query_id)",
+    "SELECT c.query_id, CAST(to_json({'results': coalesce(l.results, []), 'correction': c.correction, 'suggestions': coalesce(p.suggestions, []), 'query_orig': c.query, 'query_eff': c.effective, 'total': coalesce(l.total, 0)}) AS VARCHAR) AS answer"
+    " FROM corrected c LEFT JOIN per_query p USING (query_id) LEFT JOIN listed l USING (query_id)",
+)
 
 # Correction cascade. The SQL engine's patterns have no lookaround; a hit's surroundings are captured and put back, and
 # where a hit's end is the next hit's start, the rewriting is applied twice.
@@ -299,7 +313,7 @@ _STEP_SQL = {
     13: lambda x: _re(x, "الا([أإآؤئ])", r"ال\1"),
     14: _hamza_article,
     15: lambda x: _re(x, f"قغض({_A}?)", r"قض\1"),
-    16: lambda x: _twice(x, rf"(?m)(^|[{_SPACE}])ال ({_A})", r"\1لا \2"),
+    16: lambda x: _re(x, rf"(?m)(^|[{_SPACE}])ال ({_A})", r"\1لا \2"),
     17: lambda x: _exempt(x, f"مال([{_F}])", "\ue000\\1", "مال", "ملا", "يكول"),
     18: lambda x: _exempt(x, f"([إا])عال([{_F}])", "\\1\ue000\\2", "عال", "علا", "مجياقو"),
 }
@@ -322,7 +336,7 @@ _OCR_CHAIN, _OCR_LAST = _stepwise("(SELECT doc_id, page, coalesce(t, '') AS t FR
 OCR_FALLBACK = OCR_FALLBACK.replace(
     "\n__CASCADE__",
     ",\n" + ",\n".join(_OCR_CHAIN) + f",\ndone AS (SELECT doc_id, page, t FROM {_OCR_LAST} UNION ALL SELECT doc_id, page, coalesce(t, '') FROM taken WHERE t IS NULL OR t = '' OR starts_with(t, '[ERR'))\n"
-    "SELECT doc_id, page, CAST(length(t) AS BIGINT) AS n_chars, starts_with(t, '[ERR') AS is_error, t = '' AS is_empty FROM done",
+    "SELECT doc_id, page, t AS text, starts_with(t, '[ERR') AS is_error FROM done",
 )
 _APPLIED = []
 for _i, (_w, _r) in enumerate(SAMPLE_CORRECTIONS):

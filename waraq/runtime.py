@@ -13,11 +13,15 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session does not name one (tests on ``local[n]``), a temporary folder is made once per application.
+    Where a session on ``local[n]`` does not name one (tests), a temporary folder is made once per application. On a
+    cluster a machine's own folder would hold only what that machine wrote, so there the setting must be given.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="waraq-")

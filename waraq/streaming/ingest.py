@@ -1,4 +1,4 @@
-"""Structured Streaming ingest: uploads flow into pages, the upload log and mergeable word counts.
+"""Structured Streaming ingest: pages of uploads flow into the page index and mergeable word counts.
 
 Uploads are not deduplicated: a repeated upload counts its words again, as in batch. Every micro-batch writes its own
 folder, named by its number, so a batch that is tried again after a failure replaces what it wrote.
@@ -17,8 +17,9 @@ from waraq.operators.index import index_pages, merge_counts, page_tokens, surfac
 
 def write_batch(pages: DataFrame, batch: int, folder: str) -> None:
     """One micro-batch: indexed pages, and the counts of its words."""
-    index = index_pages(pages)
-    index.write.mode("overwrite").parquet(f"{folder}/page_index/batch={batch}")
+    path = f"{folder}/page_index/batch={batch}"
+    index_pages(pages).write.mode("overwrite").parquet(path)
+    index = pages.sparkSession.read.parquet(path)  # so the batch itself is computed once
     surface_counts(page_tokens(index)).write.mode("overwrite").parquet(f"{folder}/vocab_forms/batch={batch}")
 
 
