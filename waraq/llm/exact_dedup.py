@@ -138,7 +138,7 @@ def _chunks(docs: DataFrame, members: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_hash"), "text", F.monotonically_increasing_id().alias("spot"))
     own = passing(own, "d_hash", members, "raw_hash")
     own = own.select("d_id", "d_hash", "spot", F.encode(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_RUN, " "), "UTF-8").alias("body"))
-    joined = own.join(members, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_hash") == F.col("raw_hash")))
+    joined = own.join(members.hint("merge"), F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_hash") == F.col("raw_hash")))
     last = (F.greatest(F.octet_length("body"), F.lit(1)) - 1) / COMPARE_CHUNK
     return joined.select(*PRINT, "n", "first", "spot", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("chunk_no"), "body").select(
         *PRINT, "n", "first", "spot", "chunk_no", F.substring("body", F.col("chunk_no") * COMPARE_CHUNK + 1, F.lit(COMPARE_CHUNK)).alias("chunk")
