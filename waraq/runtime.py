@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -28,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on Arrow batches end at about ``size`` bytes, or after one row that has more.
+
+    Spark's own bound is 64 MB or 10,000 rows, so batches of long texts would fill the workers. A session's own setting stays.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(size))
+
+
 def materialize(df: DataFrame, tag: str = "table", codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
