@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from waraq.llm.bloom import bloom_of, may_hold
 from waraq.llm.textops import by_bytes, splitmix, utf8_of
 from waraq.llm.words import word_hashes
-from waraq.runtime import free_name, materialize
+from waraq.runtime import bound_batches, free_name, materialize
 
 #: With these, a run of 13 words with any two of them substituted still has a hit.
 MASKS = ("10110111", "1101100101", "1010010111", "1010110011")
@@ -151,6 +151,7 @@ def _meet(rows: DataFrame, table: DataFrame, key: str, small: bool) -> DataFrame
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """doc_id, row_hash, item_id, first_word, equal_words, best_window: one row per verified alignment."""
+    bound_batches(docs.sparkSession)
     keyed = materialize(benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "benchmark")  # written, so that a row has the same key wherever it is read
     item_kind, kind = (df.schema[c].dataType.simpleString() for df, c in ((keyed, "item_id"), (docs, "doc_id")))
     items = materialize(keyed.select("item", "text", "item_id").mapInArrow(_item_words, f"item long, item_id {item_kind}, item_words binary"), "item-words")

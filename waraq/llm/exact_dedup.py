@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from waraq.llm.bloom import passing
 from waraq.llm.components import join_groups
 from waraq.llm.textops import by_bytes, texts_of
-from waraq.runtime import free_name, materialize
+from waraq.runtime import bound_batches, free_name, materialize
 
 CHUNK = 1024
 PIECE = 4 << 20
@@ -127,6 +127,7 @@ PRINT = ["fp_a", "fp_b", "n_bytes"]
 
 def fingerprint_table(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One small row per document: doc_id, raw_hash, fp_a, fp_b, n_bytes, text_sha256, uid. Written to the shared folder."""
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("raw_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = rows.mapInArrow(_fingerprint_rows(chunk), f"doc_id {kind}, raw_hash long, fp_a long, fp_b long, n_bytes long, text_sha256 string")

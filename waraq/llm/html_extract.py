@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.textops import by_bytes, texts_of
-from waraq.runtime import materialize
+from waraq.runtime import bound_batches, materialize
 #: Elements whose content is raw text, up to their end tag.
 RAW = ("script", "style", "iframe", "textarea", "title")
 #: Elements whose content is no text of the page, but is made of elements. One without an end tag holds nothing.
@@ -452,6 +452,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = 64 << 20, salt: int = 64) -
     table: no rows. Other columns are not read. Templates are broadcast only if their bytes are at most
     ``broadcast_bytes``; otherwise they are joined by host and one of ``salt`` parts, so that no host is one task's.
     """
+    bound_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
     rules = materialize(template_rules(hosted), "templates")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waraq.llm.textops import by_bytes, fold_of, splitmix, utf8_of
-from waraq.runtime import free_name
+from waraq.runtime import bound_batches, free_name
 
 GRAM, SLOT_BITS, HASHES = 4, 20, 3
 _LETTERS = np.array([b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -79,6 +79,7 @@ def learn(docs: DataFrame, train_docs: int = 8000, max_grams: int = 60_000, min_
     alike at every size of the corpus. A language's filter takes its ``max_grams`` most frequent n-grams that occur ``min_count`` times, at a share of at
     least ``ratio`` times the largest share in any language. Rows with crc32(doc_id) mod 4 = 2 are never learned from.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(fold_of(F.col("doc_id"), 4) != 2)
     rows = rows.withColumn("lang", F.col("lang").cast("string"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
@@ -138,6 +139,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     is the language's part of all languages' corrected counts. Ties, and texts without a known n-gram: the
     first language by name, the latter with score 0. Null ids and repeated rows: scored like any other. Empty table: no rows.
     """
+    bound_batches(docs.sparkSession)
     names, tables, rates = learn(docs, **options)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "text")

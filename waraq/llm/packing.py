@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.textops import by_bytes, texts_of
-from waraq.runtime import materialize
+from waraq.runtime import bound_batches, materialize
 
 WINDOW, END_ID, MEMO_WORDS = 2048, 1, 200_000
 ENCODE_BYTES = 2 << 20
@@ -132,6 +132,7 @@ def _tokenise(vocabulary: str, pattern: str, added: tuple[tuple[str, int], ...],
 
 def tokenise(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pass one: doc_id, part, before (tokens before it in its partition), doc_tokens, ids (uint16), in the shared folder."""
+    bound_batches(docs.sparkSession)
     path, pat, added = (*default_vocabulary(), default_added()) if vocabulary is None else (vocabulary, pattern, ())
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_tokenise(path, pat, added, end_id), f"doc_id {kind}, part long, before long, doc_tokens long, ids binary")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from waraq.llm.textops import bounded_sample, by_bytes, fold_of, utf8_of
 from waraq.llm.words import SOLID_BYTES, word_hashes
+from waraq.runtime import bound_batches
 
 PASSAGE_WORDS = 64
 CLASSES = 12
@@ -137,6 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_byte
     Labels other than 0 and 1 are left out. Documents of more than ``train_bytes`` bytes are not learned from, and of
     rows that repeat an id one is, so the driver holds at most about ``train_docs * train_bytes`` bytes of features.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").filter(fold_of(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     sample = bounded_sample(known, F.col("doc_id"), known.count(), train_docs)
@@ -168,6 +170,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **
     Null and empty texts: one passage without words, scored like any other. Very long texts: all their passages count.
     Null ids, ties and repeated rows: scored alike. No labels to learn from: 0.5. Empty table: no rows.
     """
+    bound_batches(docs.sparkSession)
     model = learn(docs, labels, **options)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "text")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from waraq.llm.bloom import passing
 from waraq.llm.components import connected_components, join_groups
 from waraq.llm.textops import by_bytes, splitmix, texts_of
-from waraq.runtime import free_name, materialize
+from waraq.runtime import bound_batches, free_name, materialize
 
 SEED = 42
 TILE = 2048
@@ -307,6 +307,7 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2) ->
     fingerprints are one node. Null ids: a row of their own, component_id null only where no linked row has an id.
     Repeated rows: repeated in the result. Empty table: no rows. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text").mapInArrow(_print_rows(words), f"doc_id {kind}, f0 long"), "simhash")
     nodes = materialize(rows.groupBy("f0").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("rows")), "prints")
@@ -454,6 +455,7 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 256, similarity: fl
     0.9998. All pairs of a group of candidates are held to the similarity. component_id is the smallest doc_id of the group;
     null and empty texts are in no group. Texts equal to the byte share a node, so exact copies are in one group.
     """
+    bound_batches(docs.sparkSession)
     lanes = bits // 64
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = ", ".join(f"f{k} long" for k in range(lanes))

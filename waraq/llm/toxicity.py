@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.llm.textops import bounded_sample, by_bytes, fold_of, texts_of
-from waraq.runtime import free_name
+from waraq.runtime import bound_batches, free_name
 
 DECAY, SPAN, TABLE_BITS = 0.6, 5, 20
 LANDMARKS, NEAREST = 96, 32
@@ -406,6 +406,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     Null and empty texts: no words, scored by the rule's constant alone. Null ids, ties and repeated rows: scored alike. If either
     label is missing nothing can be learned, and the score is 0. Empty table: no rows.
     """
+    bound_batches(docs.sparkSession)
     machine = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **options))  # at most 2**20 weights
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
@@ -419,6 +420,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
     Null and empty texts stay unless the rule's constant alone reaches the threshold. Null ids, ties and repeated rows:
     each row by its text. Very long texts are scored whole. No labels to learn from, or an empty table: nothing goes.
     """
+    bound_batches(docs.sparkSession)
     machine = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **options))
     column = free_name(docs, "toxic_score")
 
