@@ -11,8 +11,9 @@ from waraq.runtime import drop_materialized, materialize
 SHARE, HOT = 1000, 256
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``groups``, one small row per key, whose ``size`` counts the key's rows out of ``total``.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``groups``, one small row per key, whose ``size`` counts the key's rows out of ``total``.
+    ``how``: inner, or left to keep rows whose key has no group.
 
     ``groups`` is a written table. Groups of more than a ``SHARE``-th of all rows are broadcast and their rows stay where
     they are. The rows of all others are exchanged by key, of which none is hot. Small tables are not broadcast either:
@@ -20,9 +21,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """
     large = groups.filter(F.col(size) > max(total // SHARE, HOT))
     if large.isEmpty():
-        return rows.join(groups.hint("merge"), keys)
+        return rows.join(groups.hint("merge"), keys, how)
     hot = rows.join(F.broadcast(large), keys)
-    cold = rows.join(F.broadcast(large), keys, "left_anti").join(groups.filter(F.col(size) <= max(total // SHARE, HOT)).hint("merge"), keys)
+    cold = rows.join(F.broadcast(large), keys, "left_anti").join(groups.filter(F.col(size) <= max(total // SHARE, HOT)).hint("merge"), keys, how)
     return hot.unionByName(cold)
 
 
@@ -44,26 +45,32 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return out
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u: then each component is a star around its smallest node."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+    seen = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.filter((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("least") == 0))).isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` has u and v. Returns node, root for each node with an edge to another; root is the smallest node.
 
-    Each round is written to the shared folder, so lineage stays short. It stops when a round changes nothing; the
-    number of rounds grows with the logarithm of the longest chain.
+    Each round is written to the shared folder, so lineage stays short. It stops when only stars around their smallest
+    node are left, which one aggregate over the edges tells; the number of rounds grows with the logarithm of the
+    longest chain.
     """
     at = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    mark = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    if not mark[0]:
+    total = at.count()
+    if not total:
         return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
-        moved = _star(at, True, mark[0])
-        after = _star(moved, False, mark[0])
-        new = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        moved = _star(at, True, total)
+        after = _star(moved, False, total)
         drop_materialized(at)
         drop_materialized(moved)
         at = after
-        if new == mark:
+        if _settled(at):
             break
-        mark = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
