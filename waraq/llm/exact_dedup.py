@@ -146,14 +146,17 @@ def _chunks(docs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def colliding_fingerprints(docs: DataFrame, prints: DataFrame, total: int) -> DataFrame:
+def _copies(prints: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, keep (uid and doc_id of the row that stays) of each group of more than one row. Written."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    return materialize(prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keep")).filter("n > 1"), "groups")
+
+
+def colliding_fingerprints(docs: DataFrame, prints: DataFrame, copies: DataFrame, total: int) -> DataFrame:
     """Fingerprints that hold different texts, found by comparing each row's chunks with those of the row that stays. A large group is dealt over parts of a bounded number of rows, each
     of which gets the chunks of the row that stays.
     """
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    groups = prints.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keep")).filter("n > 1")
-    keep = materialize(groups.select(*PRINT, "n", F.col("keep.uid").alias("keep_uid")), "groups")
-    found = join_groups(prints, keep, PRINT, "n", total)
+    found = join_groups(prints, copies.select(*PRINT, "n", F.col("keep.uid").alias("keep_uid")), PRINT, "n", total)
     members = materialize(found.groupBy("doc_id", "raw_hash", *PRINT, "n").agg(F.max(F.col("uid") == F.col("keep_uid")).alias("first")), "members")
     rows_per_part = min(16_384, max(64, total // 1000))
     parts = F.ceil(F.col("n") / rows_per_part).cast("int")
@@ -169,15 +172,21 @@ def group_rows(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, raw_hash, keep_id, group_size, kept, text_sha256, for every row of ``docs``."""
     prints = fingerprint_table(docs, chunk)
     total = prints.count()
-    clash = materialize(colliding_fingerprints(docs, prints, total), "collisions")
-    mark = clash.withColumn("clash", F.lit(True))
-    key = F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit(""))
-    told = prints.join(mark, PRINT, "left").withColumn("told", key) if not clash.isEmpty() else prints.withColumn("told", F.lit(""))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    groups = told.groupBy(*PRINT, "told").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    groups = materialize(groups, "told-groups")
-    return join_groups(told, groups, [*PRINT, "told"], "group_size", total).select(
-        "doc_id", "raw_hash", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256"
+    copies, keys = _copies(prints, PRINT), PRINT
+    clash = colliding_fingerprints(docs, prints, copies, total)
+    if not clash.isEmpty():
+        mark = materialize(clash, "collisions").withColumn("clash", F.lit(True))
+        told = F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit(""))
+        prints, keys = prints.join(mark, PRINT, "left").withColumn("told", told), [*PRINT, "told"]
+        copies = _copies(prints, keys)
+    alone = F.col("n").isNull()
+    return join_groups(prints, copies, keys, "n", total, "left").select(
+        "doc_id",
+        "raw_hash",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.when(alone, F.lit(1).cast("long")).otherwise(F.col("n")).alias("group_size"),
+        (alone | (F.col("uid") == F.col("keep.uid"))).alias("kept"),
+        "text_sha256",
     )
 
 
