@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Rows of a file of small rows, where their number is known before they are written.
+FILE_ROWS = 200_000
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -39,13 +42,16 @@ def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(BATCH_BYTES, str(size))
 
 
-def materialize(df: DataFrame, tag: str = "table", codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "table", codec: str = "snappy", rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage: later actions neither recompute ``df`` nor depend on any executor's local disk, so a lost
-    executor costs only the tasks it was running.
+    executor costs only the tasks it was running. ``rows``: a bound of its rows, where known; a table of few rows then
+    becomes one file for each ``FILE_ROWS`` of them, however many partitions it was dealt over.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/waraq/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
