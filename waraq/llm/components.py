@@ -34,13 +34,13 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     both = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
     around = both.unionByName(both.select(F.col("m").alias("n"), F.col("n").alias("m"))) if large else both.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m"))
     low = around.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"), F.count(F.lit(1)).alias("size"))
-    low = materialize(low, "lows")
+    low = materialize(low, "lows", rows=2 * total)
     joined = join_groups(around, low, ["n"], "size", total)
     if large:
         moved = joined.filter("m > n").select(F.col("m").alias("u"), F.col("low").alias("v"))
     else:
         moved = joined.select(F.col("m").alias("u"), F.col("low").alias("v")).unionByName(low.select(F.col("n").alias("u"), F.col("low").alias("v")))
-    out = materialize(moved.filter("u <> v").distinct(), "edges")
+    out = materialize(moved.filter("u <> v").distinct(), "edges", rows=2 * total)
     drop_materialized(low)
     return out
 

@@ -26,6 +26,8 @@ from waraq.runtime import bound_batches, materialize
 WINDOW, END_ID, MEMO_WORDS = 2048, 1, 200_000
 ENCODE_BYTES = 2 << 20
 _WHITE = re.compile(r"\s")
+#: Runs of Unicode white space that are cut out before the pattern sees them: its look-ahead would run out of stack over very long ones.
+_LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 class PieceEncoder:
@@ -43,20 +45,40 @@ class PieceEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         if max([*ranks.values(), *(i for _, i in added)]) >= 1 << 16:
             raise ValueError(f"ids are kept in 16 bits, and {vocabulary} has larger ones")
+        self.ranks = ranks
         self.encoding = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+        self.added = tuple(text for text, _ in added)
         self.opens = {c: np.zeros(1 << 16, bool) for c in " \n"}  # ids that begin with the character
         for token, i in ranks.items():
             if token[:1] in (b" ", b"\n"):
                 self.opens[token[:1].decode()][i] = True
         self.memo: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id of the vocabulary, in order; ids that it leaves out have none."""
+        out = [b""] * self.encoding.n_vocab
+        for token, i in self.ranks.items():
+            out[i] = token
+        return out
+
+    def ids_of(self, text: str) -> np.ndarray:
+        """The ids of a text. The pattern makes one piece of a run of white space, less its last character where a word
+        follows; long runs become that piece here, and what is around them is encoded on its own."""
+        parts, at = [], 0
+        for run in _LONG_WHITE.finditer(text):
+            alone = run.end() == len(text) or text.startswith(self.added, run.end())
+            end = run.end() - (not alone)
+            parts += [self._plain(text[at : run.start()]), np.array(self.encoding._encode_single_piece(text[run.start() : end]), "<u2")]
+            at = end
+        return np.concatenate([*parts, self._plain(text[at:])]) if parts else self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u2")
 
     def _learn(self, words: list[str], before: str) -> None:
         """Remember words, each encoded with ``before`` in front; a word's ids end where the next id opens with it."""
         if words:
-            ids = self._ids(before + before.join(words))
+            ids = self.ids_of(before + before.join(words))
             cuts = np.flatnonzero(self.opens[before][ids]) * 2
             whole = ids.tobytes()
             keys = words if before == " " else [before + w for w in words]
@@ -77,7 +99,7 @@ class PieceEncoder:
             try:
                 out.append(b"".join(map(word, row))[2:] if t else b"")  # without the newline put before the text
             except KeyError:
-                out.append(self._ids(t).tobytes())
+                out.append(self.ids_of(t).tobytes())
         return out
 
     def encode(self, text: str) -> bytes:

@@ -33,8 +33,10 @@ from waraq.runtime import bound_batches, free_name, materialize
 
 SEED = 42
 TILE = 2048
-#: Most large blocks whose pivots are broadcast (one row each); more of them are joined by an exchange.
-PIVOTS = 20_000
+#: Blocks of more than this share of all rows meet their sizes by broadcast.
+HOT_SHARE = 10_000
+#: Rows of a large block that meet its pivot in one part.
+PART = 4096
 #: Rows of a part when shingle sets are compared.
 SET_TILE = 512
 
@@ -214,44 +216,72 @@ def _sets_apart(sets: list[str]) -> Column:
     return 1 - common / (F.size(a) + F.size(b) - common)
 
 
+def _dealt(groups: DataFrame) -> DataFrame:
+    """One row of ``groups`` (block, n) for each part of its block."""
+    return groups.withColumn("part", F.explode(F.sequence(F.lit(0), _parts_of("n") - 1)))
+
+
+def _parts_of(size: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(size) / PART)).cast("int")
+
+
 def _split_large(large: DataFrame, prints: list[str], radius: float, tile: int, rounds: int, distance=_bits_apart) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Blocks of more than ``tile`` rows: (edges, smaller blocks) that hold all their links.
+    """Blocks of more than ``tile`` rows: (edges, smaller blocks) that hold all their links. ``large``: block, n (rows of
+    the block), node and the fingerprint.
 
     Each round takes one row of a block as its pivot. Rows within the radius of it are linked to it, so pairs among them
     need no comparison. By the triangle inequality only rows within twice the radius can be linked to those; they are
     compared in tiles. All rows beyond the radius go on to the next round. So a block of near copies costs one distance
     a row; what is left after all rounds is compared pair of parts by pair of parts.
+
+    A block's rows meet its pivot in parts of about ``PART`` rows, each with a copy of the pivot, so no key is hot and
+    nothing is broadcast, however long a pivot is.
     """
     edges, blocks = [], []
-    rest = materialize(large.select("block", "node", *prints), "large-blocks")
+    rest = materialize(large.select("block", "n", "node", *prints), "large-blocks")
     for k in range(rounds):
-        pivot = F.min(F.struct("node", *prints)).alias("p")
-        pivots = rest.groupBy("block").agg(pivot)
-        pivots = F.broadcast(pivots) if pivots.count() <= PIVOTS else pivots
-        apart = distance(prints)
-        near = materialize(rest.join(pivots, "block").select("block", "node", *prints, F.col("p.node").alias("pivot"), apart.alias("apart")), "pivots")
+        pivots = _dealt(rest.groupBy("block").agg(F.min(F.struct("node", *prints)).alias("p"), F.max("n").alias("n"))).drop("n")
+        dealt = rest.withColumn("part", F.pmod(F.xxhash64("node"), _parts_of("n")).cast("int"))
+        near = dealt.join(pivots, ["block", "part"]).select("block", "part", "n", "node", *prints, F.col("p.node").alias("pivot"), distance(prints).alias("apart"))
+        near = materialize(near, "pivots")
         edges.append(near.filter((F.col("apart") <= radius) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("node").alias("v")))
-        counts = near.groupBy("block").agg(F.count_if(F.col("apart") <= radius).alias("n_left"), F.count_if((F.col("apart") > radius) & (F.col("apart") <= 2 * radius)).alias("n_right"), F.count_if(F.col("apart") > radius).alias("n"))
-        counts = materialize(counts.filter("n > 0"), "pivot-counts")
+        on_border = (F.col("apart") > radius) & (F.col("apart") <= 2 * radius)
+        counts = near.groupBy("block").agg(F.count_if(F.col("apart") <= radius).alias("n_left"), F.count_if(on_border).alias("n_right"), F.count_if(F.col("apart") > radius).alias("left"), F.max("n").alias("n"))
+        counts = materialize(counts.filter("left > 0"), "pivot-counts")
         if counts.isEmpty():
             return edges, blocks
-        known = near.join(F.broadcast(counts) if counts.count() <= PIVOTS else counts, "block")
+        known = near.drop("n").join(_dealt(counts).drop("n"), ["block", "part"])
         border = known.filter("n_right > 0")
-        blocks.append(_tiles(border.filter(F.col("apart") <= radius), border.filter((F.col("apart") > radius) & (F.col("apart") <= 2 * radius)), prints, tile, k))
+        blocks.append(_tiles(border.filter(F.col("apart") <= radius), border.filter(on_border), prints, tile, k))
         beyond = known.filter(F.col("apart") > radius)
-        blocks.append(beyond.filter(F.col("n") <= tile).select(F.xxhash64(F.lit(-1 - k), "block").alias("block"), F.lit(0).cast("long").alias("side"), "node", *prints))
-        rest = materialize(beyond.filter(F.col("n") > tile).select("block", "node", *prints), "large-blocks")
+        blocks.append(beyond.filter(F.col("left") <= tile).select(F.xxhash64(F.lit(-1 - k), "block").alias("block"), F.lit(0).cast("long").alias("side"), "node", *prints))
+        rest = materialize(beyond.filter(F.col("left") > tile).select("block", F.col("left").alias("n"), "node", *prints), "large-blocks")
         if rest.isEmpty():
             return edges, blocks
-    n = rest.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / tile).cast("int")
-    split = rest.join(n, "block").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    split = rest.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(low == high, F.lit(0)).when(F.col("own") == low, F.lit(1)).otherwise(F.lit(2)).cast("long")
     blocks.append(split.select(F.xxhash64("block", low, high).alias("block"), side.alias("side"), "node", *prints))
     return edges, blocks
 
 
+def _by_size(rows: DataFrame, tile: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of blocks of 2 to ``tile`` rows, rows of larger ones or None where there is none), each with n, the block's rows.
+
+    Blocks of more than a ``HOT_SHARE``-th of all rows are fewer than that by arithmetic; they are broadcast, so that
+    their rows are exchanged with nothing. All others are exchanged by block, and none of them is hot.
+    """
+    sizes = materialize(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
+    most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (most or 0) <= tile:
+        return rows.join(sizes, "block"), None
+    hot_at = max(tile, total // HOT_SHARE)
+    hot = F.broadcast(sizes.filter(F.col("n") > hot_at))
+    others = rows.join(hot, "block", "left_anti").join(sizes.filter(F.col("n") <= hot_at), "block")
+    return others.filter(F.col("n") <= tile), rows.join(hot, "block").unionByName(others.filter(F.col("n") > tile))
+
+
 def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE, rounds: int = 4) -> DataFrame:
     """``rows``: block long, node long, f0.. long, at most one row per block and node. Returns edges u, v, which join
     the same nodes as all links within the blocks do.
@@ -260,17 +290,10 @@ def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE,
     task holds or compares more than two parts at once and a group of near copies of any size costs work in proportion.
     """
     prints = [f"f{k}" for k in range(lanes)]
-    sizes = materialize(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
-    sized = rows.join(sizes, "block")
-    edges, blocks = [], [sized.filter(F.col("n") <= tile).select("block", F.lit(0).cast("long").alias("side"), "node", *prints)]
-    large = sizes.filter(F.col("n") > tile)
-    n_large = large.count()
-    if n_large:
-        own = rows.join(F.broadcast(large) if n_large <= PIVOTS else large, "block")
-        more_edges, more_blocks = _split_large(own, prints, radius, tile, rounds)
-        edges, blocks = edges + more_edges, blocks + more_blocks
-    every = blocks[0]
-    for more in blocks[1:]:
+    small, large = _by_size(rows, tile)
+    edges, blocks = _split_large(large, prints, radius, tile, rounds) if large is not None else ([], [])
+    every = small.select("block", F.lit(0).cast("long").alias("side"), "node", *prints)
+    for more in blocks:
         every = every.unionByName(more)
     found = every.repartition("block").sortWithinPartitions("block").mapInArrow(_compare_sorted(lanes, radius), "u long, v long")
     for more in edges:
@@ -430,16 +453,11 @@ def _compare_sets(similarity: float):
 
 def links_of_sets(rows: DataFrame, similarity: float, tile: int = SET_TILE, rounds: int = 4) -> DataFrame:
     """``rows``: block long, node long, shingles array<long>. As :func:`links_in_blocks`, by the share of their union that two sets have in common."""
-    sizes = materialize(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "set-sizes")
-    large = sizes.filter(F.col("n") > tile)
-    n_large = large.count()
-    edges = []
-    every = rows.join(sizes.filter(F.col("n") <= tile), "block").select("block", F.lit(0).cast("long").alias("side"), "node", "shingles")
-    if n_large:
-        own = rows.join(F.broadcast(large) if n_large <= PIVOTS else large, "block")
-        edges, blocks = _split_large(own, ["shingles"], 1 - similarity + 1e-12, tile, rounds, _sets_apart)
-        for more in blocks:
-            every = every.unionByName(more)
+    small, large = _by_size(rows, tile)
+    edges, blocks = _split_large(large, ["shingles"], 1 - similarity + 1e-12, tile, rounds, _sets_apart) if large is not None else ([], [])
+    every = small.select("block", F.lit(0).cast("long").alias("side"), "node", "shingles")
+    for more in blocks:
+        every = every.unionByName(more)
     found = every.repartition("block").sortWithinPartitions("block").mapInArrow(_compare_sets(similarity), "u long, v long")
     for more in edges:
         found = found.unionByName(more)
