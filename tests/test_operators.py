@@ -2,12 +2,14 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from waraq import schemas
-from waraq.operators import catalog, index, ingest, search
+from waraq.functions import distance
+from waraq.operators import catalog, fuzzy, index, ingest, postings, search, suggestions
 from waraq.sources import tables
 from waraq.streaming import ingest as stream
 
@@ -162,15 +164,38 @@ def test_correct_query(spark, vocab):
 
 def test_suggest(spark, vocab):
     prefixes = spark.createDataFrame([("كت",), ("ك",), ("الق",), ("ال",)], "prefix string")
-    got = sorted((r.prefix, r.rank, r.suggestion) for r in search.suggest(prefixes, vocab).collect())
+    table = suggestions.suggestion_table(vocab)
+    got = sorted((r.prefix, r.rank, r.suggestion) for r in suggestions.suggest(prefixes, table, vocab).collect())
     assert got == [("ال", 1, "القانون"), ("الق", 1, "القانون"), ("كت", 1, "كتابه"), ("كت", 2, "كتاب")]
-    assert search.suggest(prefixes, vocab, 1).count() == 3
+    assert suggestions.suggest(prefixes, table, vocab, 1).count() == 3
 
 
-def test_search(spark, idx, docs, vocab):
+def test_suggestions_of_parts_merge(spark):
+    """Tables of parts of a vocabulary, put together, are that of the whole; prefixes longer than are kept are found too."""
+    long_ = "ب" * 40
+    rows = [(w, 2 + k % 5, w, (k, 1, 0)) for k, w in enumerate(["كت", "كتاب", "كتابه", "كاتب", "باب", long_, long_ + "ا", "ك" * 24, "ك" * 25])] + [("نادر", 1, "نادر", (99, 1, 0))]
+    vocab = spark.createDataFrame(rows, "norm string, n long, best_form string, first_seq struct<seq:long,page:int,pos:int>")
+    whole = suggestions.suggestion_table(vocab, 2)
+    parts = [suggestions.suggestion_table(vocab.filter(F.pmod(F.xxhash64("norm"), F.lit(3)) == k), 2) for k in range(3)]
+    assert sorted(map(str, suggestions.merge_suggestions(*parts, kept=2).collect())) == sorted(map(str, whole.collect()))
+    asked_ = ["كت", "كتابه", "نا", long_, long_[:30], "ك" * 24, "ك" * 25, "ًً", None]
+    got = {(r.prefix, r.rank): r.suggestion for r in suggestions.suggest(spark.createDataFrame([(p,) for p in asked_], "prefix string"), suggestions.suggestion_table(vocab), vocab).collect()}
+    order = lambda p: [r[0] for r in sorted((r for r in rows if r[1] > 1 and r[0].startswith(p)), key=lambda r: (-r[1], r[3]))][:8]
+    want = {(p, k + 1): w for p in asked_ if p for k, w in enumerate(order("" if p == "ًً" else p))}
+    assert got == want
+
+
+@pytest.fixture(scope="module")
+def store(spark, idx, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("store"))
+    postings.write_postings(idx, folder)
+    return postings.Postings(spark, folder)
+
+
+def test_search(spark, store, docs, vocab):
     corrections = tables.corrections_table(spark, [("zz", "yy")])
     queries = asked(spark, "القانون", "كتابة القانون", " ", "كتابه", "القانو")
-    heads, found = search.search(queries, idx, docs, vocab, corrections)
+    heads, found = search.search(queries, store, docs, vocab, corrections)
     by_id = {r.query_id: r for r in heads.collect()}
     assert {k: r.total for k, r in by_id.items()} == {1: 2, 2: 1, 3: 0, 4: 2, 5: 2}
     assert by_id[5].correction == by_id[5].query_eff == "القانون" and by_id[5].query_orig == "القانو"
@@ -183,30 +208,60 @@ def test_search(spark, idx, docs, vocab):
     assert one == {"doc_id": "d1", "filename": "a.pdf", "nb_pages": 3, "matches": [{"page": 2, "line": "كتابة القانون"}]}
 
 
-def test_empty_normal_form_matches_every_page(spark, idx):
+def test_empty_normal_form_matches_every_page(spark, idx, store):
     queries = spark.createDataFrame([(1, "ً")], "query_id long, effective string")
-    assert search.matches(queries, idx).count() == idx.count()
+    assert search.matches(queries, store).count() == idx.count()
 
 
-def test_trigram_search_finds_what_a_scan_finds(spark, idx):
-    phrases = ["القانون", "ب ا", "اب", "ا", "كتابه القانون", "ون\nسط", "zzz", " ", "ً", "القانون "]
+@pytest.mark.parametrize("hot_share", [1000, 10_000_000])
+def test_postings_find_what_a_scan_finds(spark, tmp_path, hot_share):
+    """Phrases of every length, against each page in turn; with the large share nearly every gram is dealt over parts."""
+    texts = ["القانون والكتاب", "كتابه القانون\nسطر", "اب", "ا", "", "اااااااا", "x😀y😀z", "بببب ا بببب", "كتابه القانون\nسطر"]
+    pages = [(f"d{k % 4}", k % 4, k, t, t) for k, t in enumerate(texts * 6)] + [("d9", 9, 1, None, None)]
+    frame = spark.createDataFrame(pages, "doc_id string, seq long, page int, text string, norm_text string").withColumn("Bucket", F.lit("clash"))
+    postings.write_postings(frame, str(tmp_path), hot_share)
+    phrases = ["القانون", "ب ا", "اب", "ا", "كتابه القانون", "ون\nسط", "zzz", " ", "ً", "القانون ", "😀", "y😀", "😀y😀", "ااا", "الق zzz", None, ""]
     queries = spark.createDataFrame(list(enumerate(phrases)), "query_id long, effective string")
-    rows = lambda df: sorted(map(str, df.collect()))
-    want = search.matches(queries, idx)
-    assert rows(search.matches_by_trigrams(queries, idx, search.trigram_postings(idx)).select(want.columns)) == rows(want)
-    assert want.count() > 8
-
-
-def test_theta_join_in_blocks(spark):
-    large, small = spark.range(50).toDF("a"), spark.range(40).toDF("b")
-    got = search.theta_join(large, small, F.col("a") == F.col("b") * 2, block_rows=7)
-    assert sorted(r.a for r in got.collect()) == list(range(0, 50, 2))
+    got = sorted((r.query_id, r.doc_id, r.page) for r in postings.matches(queries, postings.Postings(spark, str(tmp_path))).collect())
+    folded = lambda p: "" if p == "ً" else p.replace("ه", "ه")
+    want = sorted((q, d, n) for q, p in enumerate(phrases) if p and p.strip() for d, _, n, _, t in pages if t is not None and folded(p) in t)
+    assert got == want and len(want) > 100
+
+
+def test_search_reads_only_buckets_it_needs(spark, tmp_path):
+    pages = [(f"d{k}", k, 1, f"نص رقم {k} كلمة", f"نص رقم {k} كلمه") for k in range(500)]
+    postings.write_postings(spark.createDataFrame(pages, "doc_id string, seq long, page int, text string, norm_text string"), str(tmp_path))
+    found = postings.matches(spark.createDataFrame([(1, "رقم 321")], "query_id long, effective string"), postings.Postings(spark, str(tmp_path)))
+    assert [r.doc_id for r in found.collect()] == ["d321"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("dynamicpruningexpression") >= 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_fuzzy_index_loses_no_pair(spark):
+    """Against all pairs: words of every length, within two folded edits or not."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("ابتثجحخسش") for _ in range(rng.randint(2, 14))) for _ in range(150)}
+    for w in list(words):
+        for _ in range(3):
+            x = list(w)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "ا", "ز"])
+            words.add("".join(x))
+    words = sorted(w for w in words if len(w) >= 2)
+    asked_, known = words[::2], words[1::2]
+    vocab = spark.createDataFrame([(w, w, k) for k, w in enumerate(known)], "norm string, best_form string, first_seq long")
+    nw = spark.createDataFrame([(w,) for w in [*asked_, None, "", "ا"]], "nw string")
+    got = {(r.nw, r.norm) for r in fuzzy.candidates(nw, fuzzy.fuzzy_index(vocab)).collect()}
+    near = nw.crossJoin(vocab).filter((F.abs(F.length("nw") - F.length("norm")) <= 2) & (F.levenshtein(distance.letter_classes(F.col("nw")), distance.letter_classes(F.col("norm"))) <= 2))
+    want = {(r.nw, r.norm) for r in near.collect()}
+    assert got == want and len(want) > 300
 
 
 def test_badges(spark):
     names = spark.createDataFrame([("قرار ظهير.pdf",), ("مرسوم",), ("قرار",), ("x",)], "f string")
     assert [r.b for r in names.select(catalog.badge(F.col("f")).alias("b")).collect()] == ["ظهير شريف", "مرسوم بقانون", "قرار وزاري", "وثيقة"]
-    assert catalog.health(spark).first().asDict() == {"status": "ok", "version": "1.0.0"}
+    assert catalog.health(names).first().asDict() == {"status": "ok", "version": "1.0.0", "documents": 4}
 
 
 def test_files_in_and_out(spark, tmp_path, idx):

@@ -1,12 +1,15 @@
 """Text functions on hand-derived cases."""
 
+import random
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from waraq.functions import correction, distance, text
-from waraq.functions.rules import MARK_CLOSE, MARK_OPEN, SAMPLE_CORRECTIONS, SIMILAR_LETTERS
+from waraq.functions.rules import CORRECTIONS, KEPT_AFTER_AAL, KEPT_AFTER_MAL, MARK_CLOSE, MARK_OPEN, SIMILAR_LETTERS
 
 
 def one(spark, column, **values):
@@ -146,6 +149,44 @@ def test_dictionary_in_order(spark):
     assert one(spark, correction.dictionary(F.col("x"), ()), x="محكمـة") == "محكمـة"
     text_ = "رمق هاذا مالحظات"
     want = text_
-    for wrong, right in SAMPLE_CORRECTIONS:
+    for wrong, right in CORRECTIONS:
         want = want.replace(wrong, right)
     assert one(spark, correction.dictionary(F.col("x")), x=text_) == want
+
+
+def test_dictionary_fires_what_a_plain_fold_fires(spark):
+    """Texts put together from pieces of entries, so that entries bring about, hide and overlap each other."""
+    rng = random.Random(9)
+    pieces = [x for pair in CORRECTIONS for x in pair]
+    texts = []
+    for _ in range(4000):
+        parts = [rng.choice([x, x[: rng.randint(1, len(x))], x[-rng.randint(1, len(x)) :]]) for x in rng.choices(pieces, k=rng.randint(1, 5))]
+        texts.append(rng.choice(["", " "]).join(parts))
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", "plain", None]], "x string").repartition(8)
+    for r in rows.select("x", correction.dictionary(F.col("x")).alias("t"), correction.applied(F.col("x")).alias("done")).collect():
+        want, done = r.x, []
+        for wrong, right in CORRECTIONS if r.x is not None else ():
+            if wrong in want:
+                want, done = want.replace(wrong, right), [*done, f"{wrong}→{right}"]
+        assert (r.t, r.done or []) == (want, done), r.x
+
+
+@pytest.mark.parametrize("step, pattern, kept", [(17, "(م)ال([ء-غف-ي])", KEPT_AFTER_MAL), (18, "([إا]ع)ال([ء-غف-ي])", KEPT_AFTER_AAL)])
+def test_steps_with_exempt_letters_on_any_text(spark, step, pattern, kept):
+    """Private-use characters are text like any other; hits that overlap are taken from left to right."""
+    rng = random.Random(step)
+    texts = ["".join(rng.choice(["مال", "عال", "اعال", "م", "ا", "ل", "ع", "إ", "ب", "ي", "ك", "\ue000", "\ue002", " "]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", correction.STEPS[step](F.col("x")).alias("t")).collect()
+    for r in got:
+        assert r.t == re.sub(pattern, lambda m: m[0] if m[2] in kept else f"{m[1]}لا{m[2]}", r.x), r.x
+
+
+def test_guards_change_nothing(spark):
+    rng = random.Random(2)
+    pieces = [*correction.NEEDED[3], "احل", "امل", "ال ", "اال", "الاأ", "أل", "قغض", "يهة ", "*", "مال", "عال", "لا ", "واإل", " ", "\n", "ب", "كتاب", "ـ"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 8))) for _ in range(2000)]
+    plain = correction.dictionary(F.col("x"))
+    for k in sorted(correction.STEPS):
+        plain = correction.STEPS[k](plain)
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").repartition(8)
+    assert rows.select("x", plain.alias("a"), correction.correct_text(F.col("x")).alias("b")).filter("not (a <=> b)").collect() == []

@@ -49,24 +49,50 @@ MARK_CLOSE = "</mark>"
 VISION_MODELS, DEFAULT_MODEL = ("qwen2.5vl:3b", "qwen2.5vl:7b", "qwen3-vl:4b", "qwen2.5:1.5b"), "qwen2.5vl:3b"
 VERSION = "1.0.0"
 
-#: A small correction dictionary, wrong form -> right form, in order. The full one is a table that the user supplies
-#: (see :func:`waraq.sources.tables.read_corrections`); order matters, as each entry rewrites what the ones before left.
-SAMPLE_CORRECTIONS = (
-    ("ال سيما", "لا سيما"),
-    ("مالحظات", "ملاحظات"),
-    ("إعالن", "إعلان"),
-    ("الاستقلا", "الاستقلال"),
-    ("استقلا", "استقلال"),
-    ("اال", "الا"),
-    ("االتصال", "الاتصال"),
-    ("ألحكام", "الأحكام"),
-    ("حاالت", "حالات"),
-    ("اليجوز", "لا يجوز"),
-    ("القاعضي", "القاضي"),
-    ("احملكمة", "المحكمة"),
-    ("الفقره", "الفقرة"),
-    ("رمق", "رقم"),
-    ("بناءأ", "بناءً"),
-    ("هاذا", "هذا"),
-    ("محكمـة", "محكمة"),
-)
+#: The correction dictionary, wrong form and right form, in order: each entry rewrites what the ones before left. Another
+#: one can be passed wherever it is used (see :func:`waraq.sources.tables.read_corrections`).
+CORRECTIONS = (
+    ("ال سيما", "لا سيما"), ("والسيما", "ولا سيما"), ("مالحظات", "ملاحظات"), ("المالحظات", "الملاحظات"), ("مالحظة", "ملاحظة"),
+    ("المالحظة", "الملاحظة"), ("بالمالحظات", "بالملاحظات"), ("مالحق", "ملاحق"), ("المالحق", "الملاحق"), ("مالبسات", "ملابسات"),
+    ("المالبسات", "الملابسات"), ("مالءمة", "ملاءمة"), ("مالئمة", "ملائمة"), ("المالءمة", "الملاءمة"), ("مالحقة", "ملاحقة"),
+    ("المالحقة", "الملاحقة"), ("إعالنات", "إعلانات"), ("الإعالنات", "الإعلانات"), ("إعالن", "إعلان"), ("الإعالن", "الإعلان"),
+    ("اعالم", "اعلام"), ("الاعالم", "الاعلام"), ("إعالم", "إعلام"), ("الإعالم", "الإعلام"), ("معالومات", "معلومات"),
+    ("المعالومات", "المعلومات"), ("الإرسلا", "الإرسال"), ("إرسلا", "إرسال"), ("الإيصلا", "الإيصال"), ("إيصلا", "إيصال"),
+    ("الاستقبلا", "الاستقبال"), ("استقبلا", "استقبال"), ("الانتقلا", "الانتقال"), ("انتقلا", "انتقال"), ("الاتصلا", "الاتصال"),
+    ("اتصلا", "اتصال"), ("الاستقلا", "الاستقلال"), ("استقلا", "استقلال"), ("الانفصلا", "الانفصال"), ("انفصلا", "انفصال"),
+    ("الإدخلا", "الإدخال"), ("إدخلا", "إدخال"), ("الإكملا", "الإكمال"), ("إكملا", "إكمال"), ("ﺍﷲ", "الله"),
+    ("اال", "الا"), ("االشتراك", "الاشتراك"), ("االتزام", "الالتزام"), ("االعتراض", "الاعتراض"), ("االستئناف", "الاستئناف"),
+    ("االتصال", "الاتصال"), ("االقتصادي", "الاقتصادي"), ("ألحكام", "الأحكام"), ("ألشخاص", "الأشخاص"), ("ألطراف", "الأطراف"),
+    ("ألعمال", "الأعمال"), ("ألمر", "الأمر"), ("ألموال", "الأموال"), ("ألنظمة", "الأنظمة"), ("ألساس", "الأساس"),
+    ("ألفراد", "الأفراد"), ("ألوضاع", "الأوضاع"), ("ألصول", "الأصول"), ("ألجهزة", "الأجهزة"), ("ألقسام", "الأقسام"),
+    ("ألسباب", "الأسباب"), ("ألهداف", "الأهداف"), ("ألول", "الأول"), ("ألولى", "الأولى"), ("ألخير", "الأخير"),
+    ("ألخيرة", "الأخيرة"), ("ألدلة", "الأدلة"), ("ألرقام", "الأرقام"), ("ألحداث", "الأحداث"), ("ألعضاء", "الأعضاء"),
+    ("ألمانة", "الأمانة"), ("ألمين", "الأمين"), ("ألجانب", "الأجانب"), ("ألحوال", "الأحوال"), ("ألوقاف", "الأوقاف"),
+    ("ألصناف", "الأصناف"), ("ألدوار", "الأدوار"), ("ألمانات", "الأمانات"), ("العالدة", "العادلة"), ("العالد", "العادل"),
+    ("بالعالدة", "بالعادلة"), ("للعالدة", "للعادلة"), ("عالدة", "عادلة"), ("عالد", "عادل"), ("باستقالل", "باستقلال"),
+    ("استقالل", "استقلال"), ("الاستقالل", "الاستقلال"), ("استقاللية", "استقلالية"), ("الاستقاللية", "الاستقلالية"), ("حاالت", "حالات"),
+    ("الحاالت", "الحالات"), ("الصيما", "لا سيما"), ("اليزال", "لا يزال"), ("اليجوز", "لا يجوز"), ("اليمكن", "لا يمكن"),
+    ("القاعضي", "القاضي"), ("قاعضي", "قاضي"), ("للقاعضي", "للقاضي"), ("بالقاعضي", "بالقاضي"), ("التقاعضي", "التقاضي"),
+    ("تقاعضي", "تقاضي"), ("مقتغضى", "مقتضى"), ("بمقتغضى", "بمقتضى"), ("مقتغضيات", "مقتضيات"), ("يقغضي", "يقضي"),
+    ("القغضاء", "القضاء"), ("قغضائي", "قضائي"), ("القغضائي", "القضائي"), ("القغضايا", "القضايا"), ("الآشيء", "الشيء"),
+    ("الآشياء", "الأشياء"), ("شخظصي", "شخصي"), ("شخظصية", "شخصية"), ("الشخظصي", "الشخصي"), ("شخظص", "شخص"),
+    ("أشخظاص", "أشخاص"), ("الأشخظاص", "الأشخاص"), ("اراعضي", "أراضي"), ("أراعضي", "أراضي"), ("الوطصي", "الوصي"),
+    ("الوطصاية", "الوصاية"), ("الرئيؠسي", "الرئيسي"), ("الرئيؠس", "الرئيس"), ("املدة", "المادة"), ("الماذة", "المادة"),
+    ("المادو", "المادة"), ("الماد ة", "المادة"), ("الادة", "المادة"), ("احملكمة", "المحكمة"), ("امحلكمة", "المحكمة"),
+    ("احمكمة", "المحكمة"), ("امحكمة", "المحكمة"), ("احملاكم", "المحاكم"), ("ادلعي", "المدعي"), ("ادلعوى", "الدعوى"),
+    ("ادلفاع", "الدفاع"), ("الطاعم", "الطاعن"), ("الطاعب", "الطاعن"), ("الطعب", "الطعن"), ("الطعم", "الطعن"),
+    ("احلكم", "الحكم"), ("امللف", "الملف"), ("اجللسة", "الجلسة"), ("احلضور", "الحضور"), ("الغباب", "الغياب"),
+    ("الفقره", "الفقرة"), ("الفصح", "الفصل"), ("القضاع", "القضاء"), ("التبلبغ", "التبليغ"), ("النيابه", "النيابة"),
+    ("الهيئه", "الهيئة"), ("الدائره", "الدائرة"), ("الإجراءأت", "الإجراءات"), ("المساطره", "المساطر"), ("الدعاوة", "الدعاوى"),
+    ("الوثيقه", "الوثيقة"), ("الشهاذة", "الشهادة"), ("الشهاده", "الشهادة"), ("القراز", "القرار"), ("القرات", "القرار"),
+    ("حمضر", "محضر"), ("المحضز", "المحضر"), ("السندأت", "السندات"), ("المستندأت", "المستندات"), ("الوثائكق", "الوثائق"),
+    ("رمق", "رقم"), ("رقك", "رقم"), ("تاريج", "تاريخ"), ("تاريح", "تاريخ"), ("فرباير", "فبراير"),
+    ("مارض", "مارس"), ("بناءأ", "بناءً"), ("وفقاأ", "وفقاً"), ("نظراأ", "نظراً"), ("طبقاأ", "طبقاً"),
+    ("هاذا", "هذا"), ("هاذه", "هذه"), ("اذلي", "الذي"), ("واألطراف", "والأطراف"), ("واإلجراءات", "والإجراءات"),
+    ("باألطراف", "بالأطراف"), ("باإلجراءات", "بالإجراءات"), ("لألطراف", "للأطراف"), ("لإلجراءات", "للإجراءات"), ("أماـم", "أمام"),
+    ("خـالل", "خلال"), ("محكمـة", "محكمة"), ("ملرفق", "المرفق"), ("ملرافق", "المرافق"), ("صادرق", "صادر"),
+    ("صادرك", "صادر"), ("ظبير شريف", "ظهير شريف"), ("ظبير", "ظهير"), ("رمضبان", "رمضان"), ("شعببان", "شعبان"),
+    ("التشريبعية", "التشريعية"), ("التشريبع", "التشريع"),
+)
+#: Letters before which steps 17 and 18 leave a hit as it is.
+KEPT_AFTER_MAL, KEPT_AFTER_AAL = "يكول", "مجياقو"

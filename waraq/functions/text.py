@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from waraq.functions.rules import ARABIC_RUN, MARK_CLOSE, MARK_OPEN, TASHKEEL, U
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")

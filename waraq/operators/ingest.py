@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waraq.functions.correction import Corrections, correct_text
-from waraq.functions.rules import DEFAULT_MODEL, PAGE_HEADING, SAMPLE_CORRECTIONS, VISION_MODELS
+from waraq.functions.rules import DEFAULT_MODEL, PAGE_HEADING, CORRECTIONS, VISION_MODELS
 from waraq.functions.text import is_native, strip
 
 
@@ -36,7 +36,7 @@ def latest(rows: DataFrame, *keys: str) -> DataFrame:
     return last.select(*keys, "_last.*").select(*rows.columns)
 
 
-def classify(pages: DataFrame, corrections: Corrections = SAMPLE_CORRECTIONS) -> DataFrame:
+def classify(pages: DataFrame, corrections: Corrections = CORRECTIONS) -> DataFrame:
     """``pages`` with type (native or scan, by the raw text) and text (stripped, then corrected)."""
     kind = F.when(is_native(F.col("raw_text")), "native").otherwise("scan")
     return pages.withColumns({"type": kind, "text": correct_text(strip(F.col("raw_text")), corrections)})
@@ -78,7 +78,7 @@ def is_error(text: Column) -> Column:
     return F.startswith(text, F.lit("[ERR"))
 
 
-def choose_ocr(first: Column, second: Column, corrections: Corrections = SAMPLE_CORRECTIONS) -> Column:
+def choose_ocr(first: Column, second: Column, corrections: Corrections = CORRECTIONS) -> Column:
     """The first recogniser's text, unless it is missing or an error; then the second's. Good text is corrected once more.
 
     An empty text is a success. What is missing altogether becomes empty; an error text is kept.
@@ -87,7 +87,7 @@ def choose_ocr(first: Column, second: Column, corrections: Corrections = SAMPLE_
     return F.coalesce(F.when((taken != "") & ~is_error(taken), correct_text(taken, corrections)).otherwise(taken), F.lit(""))
 
 
-def recognise(pages: DataFrame, first, second, corrections: Corrections = SAMPLE_CORRECTIONS) -> DataFrame:
+def recognise(pages: DataFrame, first, second, corrections: Corrections = CORRECTIONS) -> DataFrame:
     """Fill the text of scan pages from their images. ``first`` and ``second`` take a pandas Series of image bytes and
     return one of texts; None or a text that starts with [ERR is a failure. The second sees only the first's failures.
 

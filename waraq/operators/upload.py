@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.functions.correction import Corrections
-from waraq.functions.rules import SAMPLE_CORRECTIONS
+from waraq.functions.rules import CORRECTIONS
 from waraq.operators import ingest
 from waraq.operators.index import index_pages
 from waraq.runtime import materialize
 from waraq.sources.tables import append_cache
 
 
-def upload(uploads: DataFrame, cache: DataFrame | None, explode: Callable[[DataFrame], DataFrame], first, second, cache_path: str, corrections: Corrections = SAMPLE_CORRECTIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def upload(uploads: DataFrame, cache: DataFrame | None, explode: Callable[[DataFrame], DataFrame], first, second, cache_path: str, corrections: Corrections = CORRECTIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Take ``uploads`` (seq, doc_id, filename, content) in: (pages, page index, responses).
 
     ``explode`` turns uploads into pages (doc_id, seq, page, raw_text, image, preview). Documents that the cache has take its

@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from waraq.functions import correction
 from waraq.functions.distance import weighted_distance
-from waraq.functions.rules import SAMPLE_CORRECTIONS
+from waraq.functions.rules import CORRECTIONS
 from waraq.functions.text import highlight, is_native, normalize, strip, tokens
-from waraq.operators import catalog, index, ingest, search
+from waraq.operators import catalog, index, ingest, search, upload
+from waraq.operators.fuzzy import closest_words, fuzzy_index
+from waraq.operators.postings import Postings, write_postings
+from waraq.operators.ranking import rank_all
+from waraq.operators.store import IndexStore
+from waraq.operators.suggestions import suggest, suggestion_table
 from waraq.plans import oracle
-from waraq.runtime import materialize, shared_dir, table
+from waraq.runtime import materialize, shared_dir, spread, table
 from waraq.sources import surrogate
 from waraq.sources.tables import corrections_table
 from waraq.streaming import ingest as stream
+from waraq.streaming import uploads
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -55,6 +61,22 @@ def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.vocabulary(_forms(spark, sf_dir))
 
 
+_stores: dict[tuple[str, str], tuple[str, DataFrame, DataFrame, DataFrame]] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[Postings, DataFrame, DataFrame, DataFrame]:
+    """(postings, vocabulary, fuzzy index, suggestions) of a folder of tables, stored when they are first asked for, as an
+    engine keeps them beside its index; later searches of the session read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        folder = f"{shared_dir(spark)}/waraq/search-{uuid.uuid4().hex}"
+        write_postings(_index(spark, sf_dir), folder)
+        vocab = materialize(_vocab(spark, sf_dir), "vocab")
+        _stores[key] = folder, vocab, materialize(fuzzy_index(vocab), "fuzzy"), materialize(suggestion_table(vocab), "suggestions")
+    folder, *tables = _stores[key]
+    return Postings(spark, folder), *tables
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``documents`` as one upload of its own."""
     rows = surrogate.uploads(spark, sf_dir).withColumn("doc_id", F.col("seq").cast("string"))
@@ -62,7 +84,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corrections(spark: SparkSession) -> DataFrame:
-    return corrections_table(spark, SAMPLE_CORRECTIONS)
+    return corrections_table(spark, CORRECTIONS)
 
 
 def _misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +184,7 @@ def ocr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("raw_text")
     first = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, "[ERR engine: no image]").when(k == 2, "").otherwise(text)
     second = F.when(F.col("page") % 4 == 0, "[ERR model: timeout]").when(F.col("page") % 4 == 1, F.lit(None).cast("string")).otherwise(F.reverse(text))
-    chosen = ingest.choose_ocr(first, second, ())
+    chosen = ingest.choose_ocr(first, second)
     rows = surrogate.turn_pages(spark, sf_dir).select("doc_id", "page", chosen.alias("text"))
     return rows.select("doc_id", "page", "text", ingest.is_error(F.col("text")).alias("is_error"))
 
@@ -221,14 +243,16 @@ def best_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.VOCABULARY_VIEW)
 def vocabulary_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of every word's map of written forms, with the word's total."""
     nested = index.vocabulary_view(_forms(spark, sf_dir))
-    return nested.select("norm", F.size("entry.f").cast("long").alias("n_forms"), F.col("entry.n").alias("n"), F.array_max(F.map_values("entry.f")).alias("most"))
+    return nested.select("norm", F.col("entry.n").alias("n"), F.explode("entry.f").alias("surface", "cnt"))
 
 
 @query(oracle.PAGE_MAPS)
 def page_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of every document's two maps."""
     maps = index.page_maps(_index(spark, sf_dir))
-    return maps.select("doc_id", F.size("p").cast("long").alias("n_pages"), F.col("p")["1"].alias("first_text"), F.col("pn")["2"].alias("second_norm"))
+    return maps.select("doc_id", "pn", F.explode("p").alias("page", "text")).select("doc_id", "page", "text", F.col("pn")[F.col("page")].alias("norm_text"))
 
 
 @query(oracle.STATS)
@@ -257,7 +281,7 @@ def badge_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle.PAGE_LABELS)
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pages(spark, sf_dir)
-    return rows.groupBy(catalog.page_label(F.col("type")).alias("label")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length(catalog.page_html(F.col("text")))).alias("chars"))
+    return rows.select("doc_id", "page", catalog.page_label(F.col("type")).alias("label"), catalog.page_html(F.col("text")).alias("html"))
 
 
 @query(oracle.DELETE_ANTIJOIN)
@@ -277,9 +301,93 @@ def delete_readd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.groupBy("doc_id").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("uploads"))
 
 
+def _uploaded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id (by content), seq, page, text of each upload."""
+    rows = spread(surrogate.uploads(spark, sf_dir))
+    lines = F.posexplode(F.split(surrogate.surrogate(F.col("content").cast("string")), "\n", -1)).alias("page", "raw_text")
+    return rows.select("doc_id", "seq", lines).select("doc_id", "seq", (F.col("page") + 1).alias("page"), strip(F.col("raw_text")).alias("text"))
+
+
+_grown: dict[tuple[str, str], str] = {}
+
+
+def _grown_store(spark: SparkSession, sf_dir: str) -> IndexStore:
+    """The index of the documents' uploads by four batches, each tenth deleted just after it, with a compaction after the second; batches
+    that come again, before it and after it, change nothing. Built when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _grown:
+        store = IndexStore(spark, f"{shared_dir(spark)}/waraq/index-{uuid.uuid4().hex}")
+        for batch in (0, 1, 1, 2, 0, 3, 3):
+            part = F.col("seq") % 4 == batch
+            deletions = surrogate.uploads(spark, sf_dir).filter(part & (F.col("seq") % 10 == 0)).select("doc_id", "seq")
+            store.append(batch, _uploaded_pages(spark, sf_dir).filter(part), deletions)
+            if batch == 1 and store.generation() == 0 and len(store.batches()) == 2:
+                store.compact()
+        _grown[key] = store.folder
+    return IndexStore(spark, _grown[key])
+
+
+@query(oracle.GROWN_PAGES)
+def grown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of current documents, after batches, deletions and a compaction."""
+    return _grown_store(spark, sf_dir).pages().select("doc_id", "seq", "page", "text", "norm_text")
+
+
+@query(oracle.GROWN_VOCABULARY)
+def grown_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of the same: that of all uploads, as if counted at once."""
+    return index.vocabulary(_grown_store(spark, sf_dir).forms()).select("norm", "n", "best_form")
+
+
+@query(oracle.DOCUMENT_STREAM)
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every document by a stream of uploads, each tenth followed by its deletion."""
+    folder = f"{shared_dir(spark)}/waraq/stream-{uuid.uuid4().hex}"
+    files = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/documents.parquet*")
+    one = lambda seq, deleted: F.struct(seq.alias("seq"), deleted.alias("deleted"))
+    seq = F.col("doc_id") * 2
+    both = F.when(F.col("doc_id") % 10 == 0, F.array(one(seq, F.lit(False)), one(seq + 1, F.lit(True)))).otherwise(F.array(one(seq, F.lit(False))))
+    events = files.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("doc_id"), F.concat("source", F.lit(".PDF")).alias("filename"), F.explode(both).alias("e")).select("doc_id", "filename", "e.seq", "e.deleted")
+    uploads.follow(events, folder, f"{folder}/checkpoint").awaitTermination()
+    return uploads.documents(spark, folder)
+
+
+#: Divides the pages of a made file.
+_PAGE_END = "\x1e"
+
+
+def _first_engine(images):
+    """Fails on images of some sizes, in two ways."""
+    return [[None, "[ERR first]", bytes(i).decode()][len(i) % 3] for i in images]
+
+
+def _second_engine(images):
+    return [None if len(i) % 2 else "ب " + bytes(i).decode() for i in images]
+
+
+@query(oracle.UPLOAD_PIPELINE)
+def upload_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files, a page a turn, from upload to answer: each fourth is in the cache, in part; the scans of all
+    others go through two engines that fail now and then. Every page of the answers, read back."""
+    turns = surrogate.turn_pages(spark, sf_dir).withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("page", "raw_text"))), lambda p: p["raw_text"])
+    files = turns.groupBy("doc_id", "seq").agg(F.array_join(listed, _PAGE_END).cast("binary").alias("content")).withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
+
+    def explode(rows: DataFrame) -> DataFrame:
+        pages = rows.select("doc_id", "seq", F.posexplode(F.split(F.col("content").cast("string"), _PAGE_END, -1)).alias("at", "raw_text"))
+        return pages.select("doc_id", "seq", (F.col("at") + 1).alias("page"), "raw_text", F.col("raw_text").cast("binary").alias("image"), F.lit(None).cast("binary").alias("preview"))
+
+    cache = turns.filter("seq % 4 = 0 and page % 2 = 1").select("doc_id", "page", F.lit("scan").alias("type"), F.concat(F.lit("cached "), F.col("page").cast("string")).alias("text"))
+    _, _, answers = upload.upload(files, cache, explode, _first_engine, _second_engine, f"{shared_dir(spark)}/waraq/cache-{uuid.uuid4().hex}")
+    kind = "doc_id string, filename string, nb_pages long, n_scan long, doc_type string, from_cache boolean, pages array<struct<num:int,type:string,text:string>>"
+    rows = answers.select(F.from_json("response", kind).alias("r")).select("r.*").withColumn("p", F.explode("pages"))
+    return rows.select("doc_id", "filename", "nb_pages", "n_scan", "doc_type", "from_cache", "p.num", "p.type", "p.text")
+
+
 @query(oracle.HEALTH)
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.health(spark)
+    """Status and version, told by what answers for the documents."""
+    return catalog.health(table(spark, sf_dir, "documents"))
 
 
 # Search
@@ -287,14 +395,14 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = surrogate.query_log(spark, sf_dir).select("query_id", strip(F.col("query")).alias("effective"))
-    return search.matches(asked, _index(spark, sf_dir))
+    return search.matches(asked, _store(spark, sf_dir)[0])
 
 
 @query(oracle.PHRASE_SEARCH)
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frequent phrase over all pages: matching pages per document, with the excerpt of the first."""
     asked = spark.createDataFrame([(1, "لح موا")], "query_id long, effective string")
-    found = search.results(search.matches(asked, _index(spark, sf_dir)), _docs(spark, sf_dir))
+    found = search.results(search.matches(asked, _store(spark, sf_dir)[0]), _docs(spark, sf_dir))
     return found.select("doc_id", "filename", "nb_pages", "n_matches", F.col("matches")[0]["page"].alias("first_page"), F.col("matches")[0]["line"].alias("first_line"))
 
 
@@ -306,33 +414,44 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.BATCH_SEARCH)
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through the trigram postings."""
+    """The same over postings in which every gram of more than a tenth of all counts as common and is dealt over parts."""
     asked = surrogate.query_log(spark, sf_dir).select("query_id", strip(F.col("query")).alias("effective"))
-    pages = materialize(_index(spark, sf_dir), "page-index")
-    return search.matches_by_trigrams(asked, pages, search.trigram_postings(pages)).select("query_id", "doc_id", "page", "line")
+    folder = f"{shared_dir(spark)}/waraq/search-{uuid.uuid4().hex}"
+    write_postings(_index(spark, sf_dir), folder, hot_share=100_000)
+    return search.matches(asked, Postings(spark, folder)).select("query_id", "doc_id", "page", "line")
 
 
 @query(oracle.EXCERPT_WINDOW)
 def excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries over whole documents as single pages that span a line end, so the excerpt is a window around the hit."""
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("seq"), F.lit(1).alias("page"), surrogate.surrogate(F.col("text")).alias("text"))
+    pages = _texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("seq"), F.lit(1).alias("page"), surrogate.surrogate(F.col("text")).alias("text"))
     asked = spark.createDataFrame([(1, ".\nوا"), (2, "م\nم")], "query_id long, effective string")
-    return search.matches(asked, index.index_pages(pages)).select("query_id", "doc_id", "line")
+    folder = f"{shared_dir(spark)}/waraq/search-{uuid.uuid4().hex}"
+    write_postings(index.index_pages(pages), folder)
+    return search.matches(asked, Postings(spark, folder)).select("query_id", "doc_id", "line")
 
 
 @query(oracle.RANKED_DOCS)
 def ranked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents of three frequent phrases."""
     asked = spark.createDataFrame([(1, "لح موا"), (2, "انع"), (3, "ةا")], "query_id long, effective string")
-    found = search.results(search.matches(asked, _index(spark, sf_dir)), _docs(spark, sf_dir))
+    found = search.results(search.matches(asked, _store(spark, sf_dir)[0]), _docs(spark, sf_dir))
     return search.top_results(found, 20).select("query_id", "rank", "doc_id", "n_matches")
 
 
+@query(oracle.RANKED_ALL)
+def ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result of three frequent phrases with its place in the answer."""
+    asked = spark.createDataFrame([(1, "لح موا"), (2, "انع"), (3, "ةا")], "query_id long, effective string")
+    found = search.results(search.matches(asked, _store(spark, sf_dir)[0]), _docs(spark, sf_dir)).drop("matches")
+    return rank_all(found).select("query_id", "rank", "doc_id", "filename", "n_matches")
+
+
 @query(oracle.SEARCH_CARDS)
 def search_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first six lines of each result, with the query's words marked."""
     asked = surrogate.query_log(spark, sf_dir).select("query_id", strip(F.col("query")).alias("effective"))
-    found = search.results(search.matches(asked, _index(spark, sf_dir)), _docs(spark, sf_dir))
+    found = search.results(search.matches(asked, _store(spark, sf_dir)[0]), _docs(spark, sf_dir))
     return search.cards(found, asked)
 
 
@@ -345,53 +464,54 @@ def vocab_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.DICT_LOOKUP)
 def dict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.first_corrections(_corrections(spark))
+    """What the dictionary makes of each word of the vocabulary and of the misspelt queries; null where it has none."""
+    words = _store(spark, sf_dir)[1].select(F.col("norm").alias("nw")).unionByName(search.query_words(_misspelt(spark, sf_dir)).select("nw")).distinct()
+    return words.join(F.broadcast(search.first_corrections(_corrections(spark))), "nw", "left")
 
 
 @query(oracle.FUZZY_CLOSEST)
 def fuzzy_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary's nearest word to each misspelt word that it does not have."""
     asked = search.query_words(_misspelt(spark, sf_dir)).filter("arabic").select("nw").distinct()
-    vocab = materialize(_vocab(spark, sf_dir), "vocab")
-    unknown = asked.join(vocab.select(F.col("norm").alias("nw")), "nw", "left_anti")
-    return search.closest_words(unknown, vocab)
+    _, vocab, near, _ = _store(spark, sf_dir)
+    return closest_words(asked.join(vocab.select(F.col("norm").alias("nw")), "nw", "left_anti"), near)
 
 
 @query(oracle.CORRECT_QUERY)
 def correct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = materialize(_vocab(spark, sf_dir), "vocab")
-    return search.correct_queries(_misspelt(spark, sf_dir), vocab, _corrections(spark))
+    _, vocab, near, _ = _store(spark, sf_dir)
+    return search.correct_queries(_misspelt(spark, sf_dir), vocab, _corrections(spark), near)
 
 
 @query(oracle.SUGGEST_PREFIX)
 def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = search.query_words(surrogate.query_log(spark, sf_dir)).filter("arabic").select(F.substring("word", 1, 3).alias("prefix"))
-    return search.suggest(prefixes, _vocab(spark, sf_dir))
+    _, vocab, _, best = _store(spark, sf_dir)
+    return suggest(prefixes, best, vocab)
 
 
 @query(oracle.LIVE_SUGGEST)
 def live_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions while the first four letters of a query are typed; six are shown."""
     typed = surrogate.query_log(spark, sf_dir).select("query_id", F.substring("query", 1, 4).alias("query")).filter(F.length("query") >= 2)
-    rows = search.query_suggestions(typed, _vocab(spark, sf_dir))
+    _, vocab, _, best = _store(spark, sf_dir)
+    rows = search.query_suggestions(typed, vocab, best)
     return rows.select("query_id", F.array_join(F.slice("suggestions", 1, 6), "|").alias("shown"))
 
 
 @query(oracle.SEARCH_ENVELOPE)
 def search_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search for each misspelt query: correction, suggestions and the number of results."""
-    vocab = materialize(_vocab(spark, sf_dir), "vocab")
-    index = materialize(_index(spark, sf_dir), "page-index")
-    heads, _ = search.search(_misspelt(spark, sf_dir), index, _docs(spark, sf_dir), vocab, _corrections(spark))
+    store, vocab, near, best = _store(spark, sf_dir)
+    heads, _ = search.search(_misspelt(spark, sf_dir), store, _docs(spark, sf_dir), vocab, _corrections(spark), near, best)
     return heads.select("query_id", "query_orig", "query_eff", "correction", F.array_join("suggestions", "|").alias("suggestions"), "total")
 
 
 @query(oracle.SEARCH_ANSWER)
 def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole answer to each misspelt query as one JSON object, but for the time it took."""
-    vocab = materialize(_vocab(spark, sf_dir), "vocab")
-    index = materialize(_index(spark, sf_dir), "page-index")
-    return search.answers(*search.search(_misspelt(spark, sf_dir), index, _docs(spark, sf_dir), vocab, _corrections(spark)))
+    store, vocab, near, best = _store(spark, sf_dir)
+    return search.answers(*search.search(_misspelt(spark, sf_dir), store, _docs(spark, sf_dir), vocab, _corrections(spark), near, best))
 
 
 @query(oracle.RESULT_JSON)
@@ -406,9 +526,13 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Correction cascade
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _corrected(step: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", correction.STEPS[step](surrogate.surrogate(F.col("text"))).alias("text"))
+        return _texts(spark, sf_dir).select("doc_id", correction.STEPS[step](surrogate.surrogate(F.col("text"))).alias("text"))
 
     run.__name__ = f"correct_step_{step}"
     return run
@@ -416,8 +540,8 @@ def _corrected(step: int):
 
 @query(oracle.CORRECT_DICT)
 def correct_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = surrogate.surrogate(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", correction.dictionary(text).alias("text"), F.array_join(correction.applied(text), "|").alias("applied"))
+    rows = _texts(spark, sf_dir).select("doc_id", correction.corrected_with(surrogate.surrogate(F.col("text"))).alias("c"))
+    return rows.select("doc_id", "c.text", F.array_join("c.applied", "|").alias("applied"))
 
 
 for _step in correction.STEPS:
@@ -426,7 +550,7 @@ for _step in correction.STEPS:
 
 @query(oracle.CORRECT_TEXT)
 def correct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", correction.correct_text(strip(surrogate.surrogate(F.col("text")))).alias("text"))
+    return _texts(spark, sf_dir).select("doc_id", correction.correct_text(strip(surrogate.surrogate(F.col("text")))).alias("text"))
 
 
 # Streaming

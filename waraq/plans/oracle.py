@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from waraq.functions.distance import PAIRS
-from waraq.functions.rules import ALLOWED_VERBS, ARABIC_RUN, BADGES, CONJUNCTION_HIGH, CONJUNCTION_LOW, DEFAULT_MODEL, LIGATURES, MARK_CLOSE, MARK_OPEN, OTHER_BADGE, SAMPLE_CORRECTIONS, TASHKEEL, UNIFIED_FROM, UNIFIED_TO, VERSION, VISION_MODELS
+from waraq.functions.rules import ALLOWED_VERBS, ARABIC_RUN, BADGES, CONJUNCTION_HIGH, CONJUNCTION_LOW, CORRECTIONS, DEFAULT_MODEL, KEPT_AFTER_AAL, KEPT_AFTER_MAL, LIGATURES, MARK_CLOSE, MARK_OPEN, OTHER_BADGE, TASHKEEL, UNIFIED_FROM, UNIFIED_TO, VERSION, VISION_MODELS
 from waraq.sources.surrogate import ARABIC, LATIN
 
 _SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -48,7 +48,7 @@ _UPLOADS = "uploads AS (SELECT doc_id AS seq, md5(coalesce(text, '')) AS doc_id,
 _DOCS = "docs AS (SELECT CAST(u.seq AS VARCHAR) AS doc_id, u.filename, s.nb_pages, u.seq AS first_seq FROM uploads u JOIN summary s ON s.doc_id = CAST(u.seq AS VARCHAR))"
 _LOG = f"qlog AS (SELECT item_id AS query_id, {_sur('''array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 2, 5), ' ')''')} AS query FROM benchmark)"
 _MISSPELT = "misspelt AS (SELECT query_id, substr(query, 1, 1) || substr(query, 3) AS query FROM qlog UNION ALL SELECT -1, 'القاعضي abc' UNION ALL SELECT -2, ' رمق  مالحظات ')"
-_CORRECTIONS = "corrections AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}', '{r}')" for i, (w, r) in enumerate(SAMPLE_CORRECTIONS)) + ') AS t(ord, wrong, "right"))'
+_CORRECTIONS = "corrections AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}', '{r}')" for i, (w, r) in enumerate(CORRECTIONS)) + ') AS t(ord, wrong, "right"))'
 _DICT = f"""dict AS (SELECT {_norm("wrong")} AS nw, arg_min("right", ord) AS "right" FROM corrections GROUP BY 1)"""
 
 
@@ -152,8 +152,8 @@ INDEX_PAGES = _with(*_TO_INDEX, "SELECT doc_id, page, text, norm_text FROM idx")
 SURFACE_COUNTS = _with(*_TO_FORMS, "SELECT norm, surface, cnt FROM forms")
 VOCAB_TOTALS = _with(*_TO_FORMS, "SELECT norm, CAST(sum(cnt) AS BIGINT) AS n, min(first_seq)[1] AS first_doc, min(first_seq)[2] AS first_page, min(first_seq)[3] AS first_pos FROM forms GROUP BY norm")
 BEST_FORM = _with(*_TO_VOCAB, "SELECT norm, best_form FROM vocab")
-VOCABULARY_VIEW = _with(*_TO_FORMS, "SELECT norm, count(*) AS n_forms, CAST(sum(cnt) AS BIGINT) AS n, max(cnt) AS most FROM forms GROUP BY norm")
-PAGE_MAPS = _with(*_TO_INDEX, "SELECT doc_id, count(*) AS n_pages, max(text) FILTER (page = 1) AS first_text, max(norm_text) FILTER (page = 2) AS second_norm FROM idx GROUP BY doc_id")
+VOCABULARY_VIEW = _with(*_TO_FORMS, "SELECT norm, CAST(sum(cnt) OVER (PARTITION BY norm) AS BIGINT) AS n, surface, cnt FROM forms")
+PAGE_MAPS = _with(*_TO_INDEX, "SELECT doc_id, CAST(page AS VARCHAR) AS page, text, norm_text FROM idx")
 STATS = _with(*_TO_VOCAB, _SUMMARY, _UPLOADS, _DOCS, "SELECT (SELECT count(*) FROM docs) AS docs, (SELECT count(*) FROM vocab) AS words, (SELECT CAST(coalesce(sum(nb_pages), 0) AS BIGINT) FROM docs) AS pages")
 LIST_DOCUMENTS = _with(
     _UPLOADS,
@@ -165,10 +165,18 @@ BADGE_CASE = (
     + " ".join(f"WHEN contains(lower(filename), '{w}') THEN '{label}'" for w, label in BADGES)
     + f" ELSE '{OTHER_BADGE}' END AS badge FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ظهير ' WHEN 1 THEN 'قرار مرسوم ' WHEN 2 THEN 'قرار ' ELSE '' END || c_name || '.PDF' AS filename FROM customer)"
 )
-PAGE_LABELS = _with(_LINES, _RAW, _PAGES, "SELECT CASE WHEN type = 'native' THEN 'أصلي' ELSE 'OCR' END AS label, count(*) AS pages, CAST(sum(length(replace(text, chr(10), '<br>'))) AS BIGINT) AS chars FROM pages_ GROUP BY 1")
+PAGE_LABELS = _with(_LINES, _RAW, _PAGES, "SELECT doc_id, page, CASE WHEN type = 'native' THEN 'أصلي' ELSE 'OCR' END AS label, replace(text, chr(10), '<br>') AS html FROM pages_")
 DELETE_ANTIJOIN = _with(*_TO_INDEX, "SELECT doc_id, count(*) AS pages FROM idx WHERE doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0) GROUP BY doc_id")
 DELETE_READD = _with(_UPLOADS, "gone AS (SELECT doc_id, max(seq) AS gone FROM uploads WHERE seq % 10 = 0 GROUP BY doc_id)", "SELECT doc_id, min(seq) AS first_seq, count(*) AS uploads FROM uploads LEFT JOIN gone USING (doc_id) WHERE gone IS NULL OR seq > gone GROUP BY doc_id")
-HEALTH = f"SELECT 'ok' AS status, '{VERSION}' AS version"
+HEALTH = f"SELECT 'ok' AS status, '{VERSION}' AS version, count(*) AS documents FROM documents"
+_LIVE = "gone AS (SELECT doc_id, max(seq) AS gone FROM uploads WHERE seq % 10 = 0 GROUP BY doc_id), current AS (SELECT doc_id, max(seq) AS seq FROM uploads LEFT JOIN gone USING (doc_id) WHERE gone IS NULL OR seq > gone GROUP BY doc_id)"
+GROWN_PAGES = _with(*_TO_INDEX, _UPLOADS, _LIVE, "SELECT c.doc_id, c.seq, i.page, i.text, i.norm_text FROM current c JOIN idx i USING (seq)")
+GROWN_VOCABULARY = _with(*_TO_VOCAB, "SELECT norm, n, best_form FROM vocab")
+DOCUMENT_STREAM = _with(
+    _UPLOADS,
+    "state AS (SELECT doc_id, max(seq) AS seq, arg_max(filename, seq) AS filename, count(*) AS uploads, max(seq) FILTER (seq % 10 = 0) AS gone FROM uploads GROUP BY doc_id)",
+    "SELECT doc_id, seq * 2 AS seq, filename, uploads, gone IS NULL OR seq > gone AS live FROM state",
+)
 
 EDIT_DISTANCE_PAIRS = _with(_LOG, _asked("asked", "qlog"), "w AS (SELECT DISTINCT nw FROM asked)", f"SELECT x.nw AS a, y.nw AS b, CAST({_distance('x.nw', 'y.nw')} AS DOUBLE) AS dist FROM w x JOIN w y ON substr(x.nw, 1, 1) = substr(y.nw, 1, 1)")
 
@@ -199,6 +207,13 @@ RANKED_DOCS = _with(
     _RESULTS,
     "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, n_matches FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_matches DESC, first_seq) AS rank FROM results) WHERE rank <= 20",
 )
+RANKED_ALL = _with(
+    *_TO_DOCS,
+    "eff AS (SELECT * FROM (VALUES (1, 'لح موا'), (2, 'انع'), (3, 'ةا')) AS t(query_id, effective))",
+    _hits("eff"),
+    _RESULTS,
+    "SELECT CAST(query_id AS BIGINT) AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY n_matches DESC, first_seq, doc_id) AS rank, doc_id, filename, n_matches FROM results",
+)
 SEARCH_CARDS = _with(
     *_TO_DOCS,
     _LOG,
@@ -210,7 +225,7 @@ SEARCH_CARDS = _with(
 RESULT_JSON = _with(*_TO_DOCS, _LOG, _LOG_EFFECTIVE, _hits("eff"), "SELECT h.query_id, h.doc_id, d.filename, d.nb_pages, h.page, h.line FROM hits h JOIN docs d USING (doc_id)")
 
 VOCAB_MEMBERSHIP = _with(*_TO_VOCAB, _LOG, _MISSPELT, _ASKED, "SELECT a.query_id, a.pos, a.word, a.arabic, v.norm IS NOT NULL AS known FROM asked a LEFT JOIN vocab v ON a.nw = v.norm")
-DICT_LOOKUP = _with(_CORRECTIONS, _DICT, 'SELECT nw, "right" FROM dict')
+DICT_LOOKUP = _with(*_TO_VOCAB, _LOG, _MISSPELT, _ASKED, _CORRECTIONS, _DICT, 'SELECT nw, "right" FROM (SELECT norm AS nw FROM vocab UNION SELECT nw FROM asked) LEFT JOIN dict USING (nw)')
 FUZZY_CLOSEST = _with(*_TO_VOCAB, _LOG, _MISSPELT, _ASKED, _NEAR, _CLOSEST, "SELECT nw, closest, dist FROM closest")
 _TO_CORRECTED = (*_TO_VOCAB, _LOG, _MISSPELT, _ASKED, _NEAR, _CLOSEST, _CORRECTIONS, _DICT, _FIXES, _CORRECTED)
 CORRECT_QUERY = _with(*_TO_CORRECTED, "SELECT query_id, query, correction, effective FROM corrected")
@@ -288,14 +303,20 @@ def _hamza_article(x: str) -> str:
     return f"replace({done}, '\ue002', 'أل')"
 
 
-def _exempt(x: str, pattern: str, head: str, old: str, new: str, letters: str) -> str:
-    marked = _re(x, pattern, head)
-    back = _re(marked, f"\ue000([{letters}])", rf"{old}\1")
-    return f"replace({back}, '\ue000', '{new}')"
+def _after(x: str, old: str, new: str, kept: str, heads: str | None) -> str:
+    """The text is cut at ``old`` and put together again, part by part: ``new`` where a letter follows that is not ``kept``
+    (and one of ``heads`` comes before). A hit takes the letter after it and the one before it, so these begin or end no other."""
+    before = f"right(p[1], 1) IN ({', '.join(repr(h) for h in heads)}) AND NOT (s[2] = 'taken' AND length(p[1]) = 1)" if heads else "NOT (s[2] = 'taken' AND p[1] = '')"
+    hit = f"({before} AND regexp_matches(p[3], '^[{_F}]'))"
+    parts = f"string_split({x}, '{old}')"
+    # of each cut: the part before it, the part after it, and the first letter after it, which may be that of the next cut
+    cuts = f"list_transform(generate_series(2, len({parts})), lambda k: [{parts}[k - 1], {parts}[k], CASE WHEN {parts}[k] <> '' THEN left({parts}[k], 1) WHEN k < len({parts}) THEN '{old[0]}' ELSE '' END])"
+    fold = f"lambda s, p: [s[1] || CASE WHEN {hit} AND p[3] NOT IN ({', '.join(repr(c) for c in kept)}) THEN '{new}' ELSE '{old}' END || p[2], CASE WHEN {hit} THEN 'taken' ELSE '' END]"
+    return f"list_reduce({cuts}, {fold}, [{parts}[1], ''])[1]"
 
 
 def _correct_dict(x: str) -> str:
-    return _swaps(x, SAMPLE_CORRECTIONS)
+    return _swaps(x, CORRECTIONS)
 
 
 _STEP_SQL = {
@@ -314,31 +335,44 @@ _STEP_SQL = {
     14: _hamza_article,
     15: lambda x: _re(x, f"قغض({_A}?)", r"قض\1"),
     16: lambda x: _re(x, rf"(?m)(^|[{_SPACE}])ال ({_A})", r"\1لا \2"),
-    17: lambda x: _exempt(x, f"مال([{_F}])", "\ue000\\1", "مال", "ملا", "يكول"),
-    18: lambda x: _exempt(x, f"([إا])عال([{_F}])", "\\1\ue000\\2", "عال", "علا", "مجياقو"),
+    17: lambda x: _after(x, "مال", "ملا", KEPT_AFTER_MAL, None),
+    18: lambda x: _after(x, "عال", "علا", KEPT_AFTER_AAL, "إا"),
 }
 
 CORRECT_STEPS = {k: f"SELECT doc_id, {step(_sur('text'))} AS text FROM documents" for k, step in _STEP_SQL.items()}
 
 
-def _stepwise(source: str, first: str, keep: str) -> tuple[list[str], str]:
+def _stepwise(source: str, first: str, keep: str, name: str = "c") -> tuple[list[str], str]:
     """The whole cascade as a chain of tables, one a step."""
-    parts, at = [f"c1 AS (SELECT {keep}, {first} AS t FROM {source})"], "c1"
+    parts, at = [f"{name}1 AS MATERIALIZED (SELECT {keep}, {first} AS t FROM {source})"], f"{name}1"
     for k in sorted(_STEP_SQL):
-        parts.append(f"c{k} AS MATERIALIZED (SELECT {keep}, {_STEP_SQL[k]('t')} AS t FROM {at})")
-        at = f"c{k}"
+        parts.append(f"{name}{k} AS MATERIALIZED (SELECT {keep}, {_STEP_SQL[k]('t')} AS t FROM {at})")
+        at = f"{name}{k}"
     return parts, at
 
 
 _CHAIN, _LAST = _stepwise("documents", _correct_dict(_strip(_sur("text"))), "doc_id")
 CORRECT_TEXT = _with(*_CHAIN, f"SELECT doc_id, t AS text FROM {_LAST}")
-_OCR_CHAIN, _OCR_LAST = _stepwise("(SELECT doc_id, page, coalesce(t, '') AS t FROM taken WHERE t <> '' AND NOT starts_with(t, '[ERR'))", "t", "doc_id, page")
+_OCR_CHAIN, _OCR_LAST = _stepwise("(SELECT doc_id, page, coalesce(t, '') AS t FROM taken WHERE t <> '' AND NOT starts_with(t, '[ERR'))", _correct_dict("t"), "doc_id, page")
 OCR_FALLBACK = OCR_FALLBACK.replace(
     "\n__CASCADE__",
     ",\n" + ",\n".join(_OCR_CHAIN) + f",\ndone AS (SELECT doc_id, page, t FROM {_OCR_LAST} UNION ALL SELECT doc_id, page, coalesce(t, '') FROM taken WHERE t IS NULL OR t = '' OR starts_with(t, '[ERR'))\n"
     "SELECT doc_id, page, t AS text, starts_with(t, '[ERR') AS is_error FROM done",
 )
+# Native pages are corrected once, recognised ones when they are read and when they are chosen.
+_ONCE, _ONCE_LAST = _stepwise("(SELECT * FROM pages_ WHERE t IS NOT NULL AND NOT starts_with(t, '[ERR'))", _correct_dict(_strip("t")), "doc_id, page, twice", "o")
+_TWICE, _TWICE_LAST = _stepwise(f"(SELECT * FROM {_ONCE_LAST} WHERE twice AND t <> '' AND NOT starts_with(t, '[ERR'))", _correct_dict("t"), "doc_id, page", "w")
+UPLOAD_PIPELINE = _with(
+    f"turns AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, conv_id AS seq, CAST(turn + 1 AS INTEGER) AS page, coalesce({_sur('text')}, '') AS raw_text FROM conversations)",
+    f"typed AS (SELECT *, {_kind('raw_text')} AS type, seq % 4 = 0 AS known, strlen(raw_text) AS n FROM turns)",
+    "pages_ AS (SELECT doc_id, page, NOT known AND type = 'scan' AS twice, CASE WHEN known OR type = 'native' OR n % 3 = 2 THEN raw_text WHEN n % 2 = 1 THEN NULL ELSE 'ب ' || raw_text END AS t FROM typed)",
+    *_ONCE,
+    *_TWICE,
+    "s AS (SELECT doc_id, count(*) AS nb_pages, count(*) FILTER (type = 'native') AS n_native, count(*) FILTER (type <> 'native') AS n_scan FROM typed GROUP BY doc_id)",
+    f"SELECT doc_id, doc_id || '.pdf' AS filename, nb_pages, n_scan, {_DOC_TYPE} AS doc_type, bool_and(known AND page % 2 = 1) OVER (PARTITION BY doc_id) AS from_cache, page AS num, type,"
+    f" CASE WHEN known AND page % 2 = 1 THEN 'cached ' || page ELSE coalesce(w.t, o.t, '') END AS text FROM typed JOIN s USING (doc_id) LEFT JOIN {_ONCE_LAST} o USING (doc_id, page) LEFT JOIN {_TWICE_LAST} w USING (doc_id, page)",
+)
 _APPLIED = []
-for _i, (_w, _r) in enumerate(SAMPLE_CORRECTIONS):
-    _APPLIED.append(f"d{_i + 1} AS (SELECT doc_id, replace(t, '{_w}', '{_r}') AS t, CASE WHEN contains(t, '{_w}') THEN list_append(done, '{_w}→{_r}') ELSE done END AS done FROM d{_i})")
-CORRECT_DICT = _with(f"d0 AS (SELECT doc_id, {_sur('text')} AS t, CAST([] AS VARCHAR[]) AS done FROM documents)", *_APPLIED, f"SELECT doc_id, t AS text, array_to_string(done, '|') AS applied FROM d{len(SAMPLE_CORRECTIONS)}")
+for _i, (_w, _r) in enumerate(CORRECTIONS):
+    _APPLIED.append(f"d{_i + 1} AS {'MATERIALIZED ' if _i % 20 == 19 else ''}(SELECT doc_id, replace(t, '{_w}', '{_r}') AS t, CASE WHEN contains(t, '{_w}') THEN list_append(done, '{_w}→{_r}') ELSE done END AS done FROM d{_i})")
+CORRECT_DICT = _with(f"d0 AS (SELECT doc_id, {_sur('text')} AS t, CAST([] AS VARCHAR[]) AS done FROM documents)", *_APPLIED, f"SELECT doc_id, t AS text, array_to_string(done, '|') AS applied FROM d{len(CORRECTIONS)}")
