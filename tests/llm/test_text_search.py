@@ -69,6 +69,20 @@ def test_every_place_of_a_candidate_in_a_word(spark, forest):
     assert got == [(1, 4, a), (1, 28, b), (1, 49, b), (3, 74, b + "="), (3, 95, b)]
 
 
+@pytest.mark.parametrize("between", [" ", ",", "\n\n"])
+def test_many_candidates_in_one_text_cost_in_proportion(spark, forest, between):
+    """Candidates in words of their own and in a single word: four times as many take about four times as long."""
+    seconds = []
+    for n in (5000, 20_000):
+        keys = [f"k{i:06d}AbCdEfGh{i % 977:05d}" for i in range(n)]
+        docs = spark.createDataFrame([(1, "start " + between.join(keys))], "doc_id long, text string")
+        began = time.time()
+        got = sorted((r.start, r.candidate) for r in secrets.candidates(docs).collect())
+        seconds.append(time.time() - began)
+        assert got == [(6 + i * (20 + len(between)), k) for i, k in enumerate(keys)]
+    assert seconds[1] < 8 * max(seconds[0], 1.5)
+
+
 def test_planted_secrets_are_told(spark, sf):
     """Of assigned tokens in the documents, and of commit-like and card-like numbers: precision and recall."""
     docs = docs_of(spark, sf)
@@ -234,6 +248,40 @@ def test_deep_and_long_pages_are_read_in_linear_time(spark):
     assert {r.text for r in html_extract.extract(pages).collect()} == {"deep text"}
 
 
+@pytest.mark.parametrize("piece", ["<svg>", "<iframe>", "<textarea>", "<script/>", "<select>", "<svg><noscript>", "<iframe><svg>", "<title>", "<button>x"])
+def test_odd_pages_are_read_in_linear_time(piece):
+    """Many elements that have no end tag, or one for all of them."""
+    for tail in ("", f"</{piece[1:].split('>')[0].rstrip('/')}>"):
+        seconds = []
+        for n in (4000, 16_000):
+            began = time.time()
+            html_extract.Page("<article><p>text</p>" + piece * n + tail + "</article>")
+            seconds.append(time.time() - began)
+        assert seconds[1] < 8 * max(seconds[0], 0.05), (piece, tail)
+
+
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ('<p class="legal">By law.</p>', True),
+        ('<p class="share-price">Up.</p>', True),
+        ('<section class="related-work"><p>Others.</p></section>', True),
+        ('<div class="comment-on-law"><p>It says.</p></div>', True),
+        ('<p><a href="/x">A paragraph that is a link</a></p>', True),
+        ('<div class="ad-slot"><p>Buy.</p></div>', False),
+        ('<div class="comments"><p>First!</p></div>', False),
+        ('<ul class="social-share"><li>Send</li></ul>', False),
+        ('<aside><p>Beside.</p></aside>', False),
+        ('<form><label>Name</label></form>', False),
+    ],
+)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>"])
+def test_names_inside_an_article(inside, kept, around):
+    body = around.format(f"<h1>Head</h1><p>{'Some prose here. ' * 8}</p>{inside}<p>{'More prose. ' * 8}</p>")
+    lines = html_extract.main_text(page(body)).split("\n")
+    assert len(lines) == 3 + kept, lines
+
+
 def test_templates_joined_by_host_and_part(spark):
     rows = [(i, f"http://plain/{i}", html) for i, (html, _) in enumerate(div_paragraphs())]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -59,10 +60,12 @@ SIDE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent notice notification gdpr popup modal overlay comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup login form search widget toolbar pagination pager masthead topbar copyright legal".split()
 )
 HEAD_WORDS = frozenset(["header", "masthead"])
+#: Inside an article a name makes an element aside only if all its words are those above or tell a shape, and never one of text.
+SHAPE_WORDS = frozenset("area bar block box button buttons container content inner item items links list outer row section slot thread unit wrap wrapper".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<!/>).*?</(?P=raw)\s*>"
-    r"|<(?:script|style)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<!/>).*"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -77,8 +80,8 @@ HEADINGS = frozenset(["h1"])
 #: What part of an element's prose a nested element must hold for the way to go on to it, and how much prose under
 #: article or main counts.
 MOST, MAIN_WEIGHT = 0.6, 4
-#: Pages of a host from which on a text that is on all of them is the template's; two are enough for a page's heading
-#: outside the article.
+#: Pages of a host from which on a text inside the article that is on all of them is the template's: of fewer pages it may as
+#: well be one article that stands there more than once. Two are enough for a heading outside the article.
 FIXED_PAGES = 5
 
 
@@ -111,25 +114,30 @@ class Block:
     links: int
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """An element's name in paths (with the words of its classes and id, without digits), whether it is aside, and whether a page's head."""
+def _label(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """An element's name in paths (with the words of its classes and id, without digits), whether it is aside, whether so
+    inside an article too, and whether a page's head."""
     if not attrs or attrs.isspace():
         return _plain_label(tag)
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
     if not names:
         return _plain_label(tag)
-    words = [w for w in _PARTS.split(_CAMEL.sub(" ", names).lower()) if w]
+    parts = [[w for w in _PARTS.split(_CAMEL.sub(" ", name).lower()) if w] for name in names.split()]
+    words = [w for part in parts for w in part]
     label = ".".join([tag, *dict.fromkeys(words)])
     if tag in WHOLE:
-        return label, False, False
-    return label, tag in SIDE_ELEMENTS or bool(SIDE_WORDS.intersection(words)), bool(HEAD_WORDS.intersection(words)) or tag == "header"
+        return label, False, False, False
+    wholly = tag not in TEXTUAL and any(SIDE_WORDS.intersection(part) and SIDE_WORDS.union(SHAPE_WORDS).issuperset(part) for part in parts)
+    return label, tag in SIDE_ELEMENTS or bool(SIDE_WORDS.intersection(words)), tag in SIDE_ELEMENTS or wholly, bool(HEAD_WORDS.intersection(words)) or tag == "header"
 
 
-def _plain_label(tag: str) -> tuple[str, bool, bool]:
-    return tag, tag not in WHOLE and tag in SIDE_ELEMENTS, tag == "header"
+def _plain_label(tag: str) -> tuple[str, bool, bool, bool]:
+    side = tag not in WHOLE and tag in SIDE_ELEMENTS
+    return tag, side, side, tag == "header"
 
 
 _EDGES = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in HIDDEN}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
 def _hash(*parts: object) -> int:
@@ -170,7 +178,9 @@ class Page:
         self.hidden = 0
         self.held: list[str] = []
         self.links = 0
-        self.unclosed: set[str] = set()  # elements with no end tag in the rest of the page
+        # places of tags, found once for each name that needs them
+        self.edges: dict[str, tuple[list[int], list[bool], int]] = {}
+        self.raw_ends: dict[str, tuple[list[int], list[int]]] = {}
         self._read()
 
     def _flush(self) -> None:
@@ -211,20 +221,29 @@ class Page:
                 return
 
     def _has_end(self, tag: str, start: int) -> bool:
-        if tag in self.unclosed:
-            return False
-        for edge in _EDGES[tag].finditer(self.page, start):
-            if edge[1]:
-                return True
-            if tag in UNNESTED:
-                return False
-        self.unclosed.add(tag)
-        return False
+        """Whether a hidden element that starts before ``start`` has an end tag: one that cannot nest, before it starts again."""
+        if tag not in self.edges:
+            found = [(m.start(), bool(m[1])) for m in _EDGES[tag].finditer(self.page)]
+            self.edges[tag] = [x for x, _ in found], [end for _, end in found], max((x for x, end in found if end), default=-1)
+        places, ends, last = self.edges[tag]
+        if tag not in UNNESTED:
+            return last >= start
+        at = bisect_left(places, start)
+        return at < len(places) and ends[at]
+
+    def _raw_end(self, tag: str, start: int) -> int:
+        """The place behind the end tag of a raw element whose content begins at ``start``; -1 where it has none."""
+        if tag not in self.raw_ends:
+            found = [m.span() for m in _RAW_ENDS[tag].finditer(self.page)]
+            self.raw_ends[tag] = [a for a, _ in found], [b for _, b in found]
+        starts, stops = self.raw_ends[tag]
+        at = bisect_left(starts, start)
+        return stops[at] if at < len(starts) else -1
 
     def _open(self, tag: str, attrs: str, is_block: bool) -> None:
-        label, side, head = _label(tag, attrs)
+        label, side, side_in_main, head = _label(tag, attrs)
         _, at, aside, main = self.stack[-1] if self.stack else ("", 0, False, False)
-        aside = aside or side or tag in HIDDEN or (head and not main)
+        aside = aside or (side_in_main if main else side) or tag in HIDDEN or (head and not main)
         main = main or tag in MAIN
         if is_block:
             above = self.elements[at]
@@ -242,14 +261,18 @@ class Page:
 
     def _read(self) -> None:
         at = 0
-        for m in _TOKEN.finditer(self.page):
+        while m := _TOKEN.search(self.page, at):
             self._text(self.page[at : m.start()])
             at = m.end()
             tag = (m["tag"] or "").lower()
             if not tag:
-                if not m[0].startswith(("<!", "<?")):
-                    self.held.append(" ")
                 continue
+            if tag in RAW and not m["end"] and not m["attrs"].endswith("/"):
+                end = self._raw_end(tag, at)
+                if end >= 0 or tag in ("script", "style"):  # without an end tag these two take the rest of the page
+                    self.held.append(" ")
+                    at = end if end >= 0 else len(self.page)
+                    continue
             if tag in HIDDEN and not m["end"] and (m["attrs"].endswith("/") or not self._has_end(tag, at)):
                 self.held.append(" ")
                 continue
@@ -296,7 +319,7 @@ class Rules:
     heads: frozenset[int] = frozenset()
 
 
-def template_of(tokens: list[tuple]) -> Rules:
+def template_of(tokens: list[tuple], fixed_pages: int = FIXED_PAGES) -> Rules:
     """The rules of a host from its tokens on at least half of its pages.
 
     A token is (token, group, parent, is_text, container, main, pages, vector, uniform, prose, chars, links). uniform
@@ -328,7 +351,7 @@ def template_of(tokens: list[tuple]) -> Rules:
         way.append(at[0])
     links = frozenset(t[0] for t in valid if not t[5] and t[10] and t[11] * 2 > t[10])
     texts = {t[0]: t for t in tokens if t[3] and t[7] in vectors and t[6] == host_pages and host_pages >= 2}
-    return Rules(at[0], frozenset(way), links, frozenset(texts) if host_pages >= FIXED_PAGES else frozenset(), frozenset(texts))
+    return Rules(at[0], frozenset(way), links, frozenset(texts) if host_pages >= fixed_pages else frozenset(), frozenset(texts))
 
 
 def page_tokens(page: Page) -> list[tuple]:
@@ -373,7 +396,7 @@ def _article(page: Page, rules: Rules) -> str:
             keep = b.heading and b.links * 2 <= len(b.text) and name not in rules.heads and bool(beside[e.parent])
         if keep:
             kept.append(b)
-    prose = [b for b in kept if b.main or b.links * 2 <= len(b.text)] or kept
+    prose = [b for b in kept if b.main or b.links * 2 <= len(b.text) or page.elements[b.at].tag == "p"] or kept
     return "\n".join(b.text for b in prose)
 
 
@@ -396,11 +419,14 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RULES = "host string, article long, way array<long>, links array<long>, fixed array<long>, heads array<long>"
 
 
-def _rule_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [template_of([tuple(t.values()) for t in tokens]) for tokens in batch.column(1).to_pylist()]
-        sets = [[sorted(getattr(r, name)) for r in made] for name in ("way", "links", "fixed", "heads")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.article for r in made], pa.int64()), *(pa.array(s, pa.list_(pa.int64())) for s in sets)], ["host", "article", "way", "links", "fixed", "heads"])
+def _rule_rows(fixed_pages: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [template_of([tuple(t.values()) for t in tokens], fixed_pages) for tokens in batch.column(1).to_pylist()]
+            sets = [[sorted(getattr(r, name)) for r in made] for name in ("way", "links", "fixed", "heads")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.article for r in made], pa.int64()), *(pa.array(s, pa.list_(pa.int64())) for s in sets)], ["host", "article", "way", "links", "fixed", "heads"])
+
+    return run
 
 
 def host_tokens(hosted: DataFrame, salt: int = 16) -> DataFrame:
@@ -425,11 +451,11 @@ def host_tokens(hosted: DataFrame, salt: int = 16) -> DataFrame:
     )
 
 
-def template_rules(hosted: DataFrame) -> DataFrame:
+def template_rules(hosted: DataFrame, fixed_pages: int = FIXED_PAGES) -> DataFrame:
     """One row of :data:`RULES` per host of two pages or more."""
     columns = ["token", "group", "parent", "is_text", "container", "main", "pages", "vector", "uniform", "prose", "chars", "links"]
     tokens = host_tokens(hosted).groupBy("host").agg(F.collect_list(F.struct(*columns)).alias("tokens"))
-    return tokens.mapInArrow(_rule_rows, RULES)
+    return tokens.mapInArrow(_rule_rows(fixed_pages), RULES)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,12 +468,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, broadcast_bytes: int = 64 << 20, salt: int = 64) -> DataFrame:
+def extract(pages: DataFrame, broadcast_bytes: int = 64 << 20, salt: int = 64, fixed_pages: int = FIXED_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``, from the whole html.
 
     Blocks are joined in page order by one newline; white space inside a block, decoded, becomes one space. Null html:
     empty text. Null url: the pages without a host share one template. Repeated rows: repeated in the result (copies
-    of a page count as one more page of the template each). Pages alone on their host are their own template. Ties between nested elements:
+    of a page count as one more page of the template each). A text inside the article that is on every page of its host is
+    the template's from ``fixed_pages`` pages of the host on. Pages alone on their host are their own template. Ties between nested elements:
     the one with the smaller hash. Very long and deeply nested pages: read whole, in time linear in them. Empty
     table: no rows. Other columns are not read. Templates are broadcast only if their bytes are at most
     ``broadcast_bytes``; otherwise they are joined by host and one of ``salt`` parts, so that no host is one task's.
@@ -455,7 +482,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = 64 << 20, salt: int = 64) -
     bound_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
-    rules = materialize(template_rules(hosted), "templates")
+    rules = materialize(template_rules(hosted, fixed_pages), "templates")
     size = sum((F.size(c) for c in ("way", "links", "fixed", "heads")), F.lit(8)) * 8 + F.length("host")
     if (rules.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes:
         joined = hosted.join(F.broadcast(rules), "host", "left")

@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_byte
     table = rows.mapInArrow(_features_rows, "y double, n long, x binary").toPandas()
     if not len(table):
         return None
-    table = table.drop_duplicates("x").sort_values(["n", "x"]).reset_index(drop=True)  # copies teach nothing; the order is fixed
+    table = table.groupby("x", as_index=False).agg({"y": "mean", "n": "first"}).sort_values(["n", "x"]).reset_index(drop=True)  # copies teach once, by their mean label; the order is fixed
     x = np.frombuffer(b"".join(table["x"]), np.float16).reshape(-1, FEATURES)
     return AttentionModel().fit(x, np.r_[0, table["n"].to_numpy().cumsum()], table["y"].to_numpy())
 

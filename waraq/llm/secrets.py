@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CANDIDATE = "[A-Za-z0-9+/_~-]{16,}={0,2}"
 #: A cheap test that a text or word holds a candidate: a run of 16 key characters with a digit among them or before them.
 HOLDS = "(?=[A-Za-z+/_~-]{0,64}[0-9])[A-Za-z0-9+/_~-]{16}"
+#: Characters of a neighbouring word that are looked at.
+AROUND = 64
 WHITE = "[\\x20\\x09-\\x0D]"
 
 #: Words that real keys do not hold, but identifiers, paths and placeholders do.
@@ -32,45 +34,36 @@ FEATURES = ["length", "digits", "uppers", "lowers", "signs", "transitions", "dis
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, word_no, start, word, ahead, candidate and the words around, for every candidate of every text.
+    """doc_id, path, word_no, start, slashes, ahead, candidate, w3, w2, w1, x1, for every candidate of every text.
 
-    Words are cut at single white-space characters. One fold over a text's words keeps the running length, and one over
-    a word's matches the place behind the last, so start (in characters from 0) is exact, repeats included, and the
-    work grows with the text alone.
+    ahead is the word's part before the candidate, from the candidate before it on; w3 to x1 are the words around, of
+    which ``AROUND`` characters on the candidate's side count; slashes are those (and dots) of the word.
+
+    Words are cut at single white-space characters. A word that holds a candidate gets the characters from the last such
+    word to it, and a candidate those from the last one of its word; sums of these along the text give exact places (in
+    characters from 0), repeats included. All steps look at each word once and carry no list along, so the work grows
+    with the text alone. Only candidates are exchanged, never texts.
     """
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
     rows = docs.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), "text").filter(F.col("text").rlike(HOLDS))
-    words = rows.select("doc_id", "path", F.split("text", WHITE, -1).alias("words"))
-    spot = "struct<i:int,at:int,w:string,w3:string,w2:string,w1:string,x1:string>"
-    found = f"""
-        aggregate(words, named_struct('i', 0, 'at', 0, 'out', cast(array() as array<{spot}>)), (s, w) -> named_struct(
-            'i', s.i + 1,
-            'at', s.at + length(w) + 1,
-            'out', if(w rlike '{HOLDS}', array_append(s.out, named_struct('i', s.i, 'at', s.at, 'w', w,
-                'w3', coalesce(get(words, s.i - 3), ''), 'w2', coalesce(get(words, s.i - 2), ''),
-                'w1', coalesce(get(words, s.i - 1), ''), 'x1', coalesce(get(words, s.i + 1), ''))), s.out)),
-            s -> s.out)"""
-    spots = words.select("doc_id", "path", F.explode(F.expr(found)).alias("x")).select("doc_id", "path", "x.*")
-    # no shorter run of key characters holds a match, so the next one is the first place behind the last
-    places = f"""
-        aggregate(regexp_extract_all(w, '({CANDIDATE})', 1), named_struct('at', 1, 'out', cast(array() as array<struct<m:string,p:int>>)), (s, m) -> named_struct(
-            'at', locate(m, w, s.at) + length(m),
-            'out', array_append(s.out, named_struct('m', m, 'p', locate(m, w, s.at)))),
-            s -> s.out)"""
-    every = spots.withColumn("c", F.explode(F.expr(places))).filter("c.m rlike '[0-9]'")
-    return every.select(
-        "doc_id",
-        "path",
-        F.col("i").cast("long").alias("word_no"),
-        (F.col("at") + F.col("c.p") - 1).cast("long").alias("start"),
-        F.col("w").alias("word"),
-        F.expr("substring(w, 1, c.p - 1)").alias("ahead"),
-        F.col("c.m").alias("candidate"),
-        "w3",
-        "w2",
-        "w1",
-        "x1",
-    )
+    words = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.split("text", WHITE, -1).alias("words"))
+    near = lambda k: f"'w{k}', coalesce(right(get(words, i - {k}), {AROUND}), '')"
+    spots = f"""filter(transform(words, (w, i) -> named_struct('i', i, 'w', w, {near(3)}, {near(2)}, {near(1)},
+        'x1', coalesce(left(get(words, i + 1), {AROUND}), ''))), x -> x.w rlike '{HOLDS}')"""
+    gaps = "transform(spots, (x, k) -> aggregate(slice(words, coalesce(get(spots, k - 1).i, 0) + 1, x.i - coalesce(get(spots, k - 1).i, 0)), 0L, (n, w) -> n + length(w) + 1))"
+    found = words.withColumn("spots", F.expr(spots)).withColumn("gaps", F.expr(gaps))
+    found = found.select("row", "doc_id", "path", F.posexplode(F.arrays_zip("spots", "gaps")).alias("k", "z")).select("row", "doc_id", "path", "k", "z.spots.*", "z.gaps")
+    along = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("at", F.sum("gaps").over(along))
+    # no shorter run of key characters holds a match, so what split leaves are the pieces between the matches
+    matches = found.withColumns({"ms": F.expr(f"regexp_extract_all(w, '({CANDIDATE})', 1)"), "pieces": F.expr(f"split(w, '{CANDIDATE}', -1)")})
+    matches = matches.withColumn("slashes", (F.length("w") - F.length(F.regexp_replace("w", "[/.]", ""))).cast("double")).drop("w")
+    each = "transform(ms, (m, j) -> named_struct('m', m, 'ahead', concat(coalesce(get(ms, j - 1), ''), pieces[j])))"
+    kept = ["row", "doc_id", "path", "k", "i", "at", "slashes", "w3", "w2", "w1", "x1"]
+    found = matches.select(*kept, F.posexplode(F.expr(each)).alias("j", "z")).select(*kept, "j", "z.m", "z.ahead")
+    inside = Window.partitionBy("row", "k").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("p", F.sum(F.length("ahead")).over(inside)).filter("m rlike '[0-9]'")
+    return found.select("doc_id", "path", F.col("i").cast("long").alias("word_no"), (F.col("at") + F.col("p")).alias("start"), "slashes", "ahead", F.col("m").alias("candidate"), "w3", "w2", "w1", "x1")
 
 
 def _share(of: Column, kept: str) -> Column:
@@ -78,7 +71,7 @@ def _share(of: Column, kept: str) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """``found``: path, word, ahead (the word's part before the candidate), candidate, w3, w2, w1, x1. Adds the columns of FEATURES."""
+    """``found``: path, slashes, ahead, candidate, w3, w2, w1, x1, as :func:`candidates` gives them. Adds the columns of FEATURES."""
     c = F.col("candidate")
     n = F.greatest(F.length(c), F.lit(1))
     kinds = F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
@@ -100,7 +93,6 @@ def with_features(found: DataFrame) -> DataFrame:
             "uuid_like": flag(c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
             "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), "")) / n,
             "known_prefix": flag(c.rlike(KNOWN_PREFIX)),
-            "slashes": (F.length("word") - F.length(F.regexp_replace("word", "[/.]", ""))).cast("double"),
             "test_path": flag(F.lower("path").rlike(TEST_PATHS)),
             "assigned": flag(ahead.rlike("[=:][\"']?$") | F.col("w1").rlike("^(=|:|=>|:=|==)$|[=:]$")),
             "secret_near": flag(near.rlike(SECRET_WORDS)),
@@ -177,6 +169,7 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 17)
     """A forest from labelled findings: path, w3, w2, w1, word, x1, label (1.0 a secret, 0.0 not)."""
     found = labelled.withColumn("candidate", F.regexp_extract("word", f"({CANDIDATE})", 1)).filter("candidate <> '' and label is not null")
     found = found.withColumn("ahead", F.expr("substring(word, 1, locate(candidate, word) - 1)"))  # of a finding's word the first candidate is labelled
+    found = found.withColumn("slashes", (F.length("word") - F.length(F.regexp_replace("word", "[/.]", ""))).cast("double"))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found)).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, featureSubsetStrategy="sqrt").fit(rows)
 
