@@ -146,10 +146,10 @@ def _chunks(docs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def _copies(prints: DataFrame, keys: list[str]) -> DataFrame:
+def _copies(prints: DataFrame, keys: list[str], total: int) -> DataFrame:
     """keys, n, keep (uid and doc_id of the row that stays) of each group of more than one row. Written."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    return materialize(prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keep")).filter("n > 1"), "groups")
+    return materialize(prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keep")).filter("n > 1"), "groups", rows=total // 2)
 
 
 def colliding_fingerprints(docs: DataFrame, prints: DataFrame, copies: DataFrame, total: int) -> DataFrame:
@@ -157,7 +157,7 @@ def colliding_fingerprints(docs: DataFrame, prints: DataFrame, copies: DataFrame
     of which gets the chunks of the row that stays.
     """
     found = join_groups(prints, copies.select(*PRINT, "n", F.col("keep.uid").alias("keep_uid")), PRINT, "n", total)
-    members = materialize(found.groupBy("doc_id", "raw_hash", *PRINT, "n").agg(F.max(F.col("uid") == F.col("keep_uid")).alias("first")), "members")
+    members = materialize(found.groupBy("doc_id", "raw_hash", *PRINT, "n").agg(F.max(F.col("uid") == F.col("keep_uid")).alias("first")), "members", rows=total)
     rows_per_part = min(16_384, max(64, total // 1000))
     parts = F.ceil(F.col("n") / rows_per_part).cast("int")
     chunks = _chunks(docs, members)
@@ -172,13 +172,13 @@ def group_rows(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, raw_hash, keep_id, group_size, kept, text_sha256, for every row of ``docs``."""
     prints = fingerprint_table(docs, chunk)
     total = prints.count()
-    copies, keys = _copies(prints, PRINT), PRINT
+    copies, keys = _copies(prints, PRINT, total), PRINT
     clash = colliding_fingerprints(docs, prints, copies, total)
     if not clash.isEmpty():
         mark = materialize(clash, "collisions").withColumn("clash", F.lit(True))
         told = F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit(""))
         prints, keys = prints.join(mark, PRINT, "left").withColumn("told", told), [*PRINT, "told"]
-        copies = _copies(prints, keys)
+        copies = _copies(prints, keys, total)
     alone = F.col("n").isNull()
     return join_groups(prints, copies, keys, "n", total, "left").select(
         "doc_id",

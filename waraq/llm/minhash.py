@@ -167,21 +167,22 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     firsts = [F.first(c).alias(c) for c in (*_PRINTS, *_BAND_COLUMNS)]
     nodes = sketch.filter("n_shingles > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), one, *firsts)
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    size = nodes.count()
     blocks = nodes.select(F.explode(F.array(*_BAND_COLUMNS)).alias("block"), "node", *_PRINTS)
-    candidates = connected_components(links_in_blocks(blocks, LANES, CANDIDATE_BITS)).select("node", F.col("root").alias("block")).distinct()
+    candidates = connected_components(links_in_blocks(blocks, LANES, CANDIDATE_BITS, bound=BANDS * size)).select("node", F.col("root").alias("block")).distinct()
     chosen = nodes.join(candidates, "node").select(F.col("one.doc_id").alias("c_id"), F.col("one.text_hash").alias("c_hash"), "node", "block")
-    chosen = materialize(chosen, "candidates")
+    chosen = materialize(chosen, "candidates", rows=size)
     likely = passing(source, "text_hash", chosen, "c_hash")
     texts = likely.join(chosen, (likely["text_hash"] == chosen["c_hash"]) & likely["doc_id"].eqNullSafe(chosen["c_id"])).select("block", "node", "text")
     sets = materialize(texts.mapInArrow(_set_rows(words), "block long, node long, shingles array<long>"), "shingle-sets")
     if sets.count() != chosen.count():  # rows that repeat an id and a text
         sets = materialize(sets.dropDuplicates(["node"]), "shingle-sets")
-    roots = connected_components(links_of_sets(sets, percent / 100))
+    roots = connected_components(links_of_sets(sets, percent / 100, bound=size))
     rooted = nodes.join(roots, "node", "left").select(*keys, "rows", F.col("one.doc_id").alias("low_id"), F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    lows = materialize(rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "lows")
+    rooted = materialize(rooted, "rooted", rows=size)
+    lows = materialize(rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "lows", rows=size)
     total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
-    named = materialize(join_groups(rooted, lows, ["root"], "nodes", total[0]).select(*keys, "component_id", "rows"), "named")
+    named = materialize(join_groups(rooted, lows, ["root"], "nodes", total[0]).select(*keys, "component_id", "rows"), "named", rows=size)
     linked = join_groups(sketch.select("doc_id", *keys).filter("n_shingles > 0"), named, keys, "rows", total[1] or 0).select("doc_id", "n_shingles", "component_id")
     alone = sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

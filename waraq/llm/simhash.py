@@ -247,7 +247,7 @@ def _split_large(large: DataFrame, prints: list[str], radius: float, tile: int,
         edges.append(near.filter((F.col("apart") <= radius) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("node").alias("v")))
         on_border = (F.col("apart") > radius) & (F.col("apart") <= 2 * radius)
         counts = near.groupBy("block").agg(F.count_if(F.col("apart") <= radius).alias("n_left"), F.count_if(on_border).alias("n_right"), F.count_if(F.col("apart") > radius).alias("left"), F.max("n").alias("n"))
-        counts = materialize(counts.filter("left > 0"), "pivot-counts")
+        counts = materialize(counts.filter("left > 0"), "pivot-counts", rows=HOT_SHARE * PART)
         if counts.isEmpty():
             return edges, blocks
         known = near.drop("n").join(_dealt(counts).drop("n"), ["block", "part"])
@@ -266,13 +266,15 @@ def _split_large(large: DataFrame, prints: list[str], radius: float, tile: int,
     return edges, blocks
 
 
-def _by_size(rows: DataFrame, tile: int) -> tuple[DataFrame, DataFrame | None]:
+def _by_size(rows: DataFrame, tile: int, bound: int | None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of blocks of 2 to ``tile`` rows, rows of larger ones or None where there is none), each with n, the block's rows.
 
     Blocks of more than a ``HOT_SHARE``-th of all rows are fewer than that by arithmetic; they are broadcast, so that
-    their rows are exchanged with nothing. All others are exchanged by block, and none of them is hot.
+    their rows are exchanged with nothing. All others are exchanged by block, and none of them is hot. ``bound``: at
+    least the number of rows, where known.
     """
-    sizes = materialize(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "block-sizes")
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = materialize(sizes, "block-sizes", rows=bound and bound // 2)
     most, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if (most or 0) <= tile:
         return rows.join(sizes, "block"), None
@@ -282,7 +284,7 @@ def _by_size(rows: DataFrame, tile: int) -> tuple[DataFrame, DataFrame | None]:
     return others.filter(F.col("n") <= tile), rows.join(hot, "block").unionByName(others.filter(F.col("n") > tile))
 
 
-def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE, rounds: int = 4) -> DataFrame:
+def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE, rounds: int = 4, bound: int | None = None) -> DataFrame:
     """``rows``: block long, node long, f0.. long, at most one row per block and node. Returns edges u, v, which join
     the same nodes as all links within the blocks do.
 
@@ -290,7 +292,7 @@ def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE,
     task holds or compares more than two parts at once and a group of near copies of any size costs work in proportion.
     """
     prints = [f"f{k}" for k in range(lanes)]
-    small, large = _by_size(rows, tile)
+    small, large = _by_size(rows, tile, bound)
     edges, blocks = _split_large(large, prints, radius, tile, rounds) if large is not None else ([], [])
     every = small.select("block", F.lit(0).cast("long").alias("side"), "node", *prints)
     for more in blocks:
@@ -334,14 +336,15 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text").mapInArrow(_print_rows(words), f"doc_id {kind}, f0 long"), "simhash")
     nodes = materialize(rows.groupBy("f0").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("rows")), "prints")
-    edges = links_in_blocks(exact_blocks(nodes.select("f0"), radius), 1, radius)
+    size = nodes.count()
+    edges = links_in_blocks(exact_blocks(nodes.select("f0"), radius), 1, radius, bound=(radius + 2) * (radius + 1) // 2 * size)
     roots = connected_components(edges)
     rooted = nodes.join(roots, nodes["f0"] == roots["node"], "left").select("f0", "low_id", "rows", F.coalesce("root", "f0").alias("root"))
-    rooted = materialize(rooted, "rooted")
+    rooted = materialize(rooted, "rooted", rows=size)
     lows = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
-    lows = materialize(lows, "lows")
+    lows = materialize(lows, "lows", rows=size)
     total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
-    named = materialize(join_groups(rooted, lows, ["root"], "nodes", total[0]).select("f0", "component_id", "rows"), "named")
+    named = materialize(join_groups(rooted, lows, ["root"], "nodes", total[0]).select("f0", "component_id", "rows"), "named", rows=size)
     named = join_groups(rows, named, ["f0"], "rows", total[1] or 0)
     return named.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -451,9 +454,9 @@ def _compare_sets(similarity: float):
     return run
 
 
-def links_of_sets(rows: DataFrame, similarity: float, tile: int = SET_TILE, rounds: int = 4) -> DataFrame:
+def links_of_sets(rows: DataFrame, similarity: float, tile: int = SET_TILE, rounds: int = 4, bound: int | None = None) -> DataFrame:
     """``rows``: block long, node long, shingles array<long>. As :func:`links_in_blocks`, by the share of their union that two sets have in common."""
-    small, large = _by_size(rows, tile)
+    small, large = _by_size(rows, tile, bound)
     edges, blocks = _split_large(large, ["shingles"], 1 - similarity + 1e-12, tile, rounds, _sets_apart) if large is not None else ([], [])
     every = small.select("block", F.lit(0).cast("long").alias("side"), "node", "shingles")
     for more in blocks:
@@ -479,25 +482,26 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 256, similarity: fl
     prints = ", ".join(f"f{k} long" for k in range(lanes))
     source = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
     sketch = materialize(source.mapInArrow(_sketch_rows(words, lanes, bands, rows_per_band), f"doc_id {kind}, node long, {prints}, blocks array<long>"), "sketches")
+    size = sketch.count()
     nodes = sketch.select("node", *(f"f{k}" for k in range(lanes)), "blocks").dropDuplicates(["node"])
     blocks = nodes.select(F.explode("blocks").alias("block"), "node", *(f"f{k}" for k in range(lanes)))
-    candidates = connected_components(links_in_blocks(blocks, lanes, candidate_bits)).select("node", F.col("root").alias("block")).distinct()
+    candidates = connected_components(links_in_blocks(blocks, lanes, candidate_bits, bound=bands * size)).select("node", F.col("root").alias("block")).distinct()
     # of copies to the byte the text with the smallest id is compared, so no node is hot
     chosen = sketch.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("c_id")).join(candidates, "node")
-    chosen = materialize(chosen.select(F.col("node").alias("c_node"), "c_id", "block"), "candidates")
+    chosen = materialize(chosen.select(F.col("node").alias("c_node"), "c_id", "block"), "candidates", rows=size)
     source = passing(source, "node", chosen, "c_node")
     texts = source.join(chosen, (source["node"] == chosen["c_node"]) & source["doc_id"].eqNullSafe(chosen["c_id"])).select("block", "node", "text")
     sets = materialize(texts.mapInArrow(_set_rows(words), "block long, node long, shingles array<long>"), "shingle-sets")
-    roots = connected_components(links_of_sets(sets, similarity))
+    roots = connected_components(links_of_sets(sets, similarity, bound=size))
     rows = sketch.groupBy("node").agg(F.min("doc_id").alias("low_id"), F.max(F.size("blocks")).alias("n_blocks"), F.count(F.lit(1)).alias("rows"))
     root = F.when(F.col("n_blocks") == 0, F.lit(None)).otherwise(F.coalesce("root", "node"))
-    rooted = materialize(rows.join(roots, "node", "left").withColumn("root", root), "rooted")
+    rooted = materialize(rows.join(roots, "node", "left").withColumn("root", root), "rooted", rows=size)
     lows = rooted.filter("root is not null").groupBy("root").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
-    lows = materialize(lows, "lows")
+    lows = materialize(lows, "lows", rows=size)
     total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
     named = join_groups(rooted.filter("root is not null"), lows, ["root"], "nodes", total[0]).select("node", "component_id", "rows")
     named = named.unionByName(rooted.filter("root is null").select("node", F.lit(None).cast(kind).alias("component_id"), "rows"))
-    return join_groups(sketch.select("doc_id", "node"), materialize(named, "named"), ["node"], "rows", total[1] or 0).select("doc_id", "node", "component_id")
+    return join_groups(sketch.select("doc_id", "node"), materialize(named, "named", rows=size), ["node"], "rows", total[1] or 0).select("doc_id", "node", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
