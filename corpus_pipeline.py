@@ -1,4 +1,8 @@
-"""Corpus preparation as five stages over ``documents``, each an operator of :mod:`waraq.llm`."""
+"""Corpus preparation as five stages over ``documents``, each an operator of :mod:`waraq.llm`.
+
+What all stages make of odd rows: null ids and null or empty texts pass like any other row, very long texts are read whole,
+columns beside doc_id and text stay as they are whatever their names, and an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +13,29 @@ from waraq.runtime import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go. Ties and repeated rows: each by its text. Without labels of both kinds nothing goes."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space the row with the smallest doc_id stays; of rows that repeat it, one. Null and
+    empty texts are equal to each other; a null id stays only where its text has no other."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 of their five-word shingles the one with the smallest doc_id stays. Texts without a word
+    are in no group and stay; rows without an id go where their group has a row with one."""
     return simhash.drop_near_copies(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go. Items without a text match nothing; repeated items count once."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens, as op9 returns them. A null or empty text is its end token alone."""
     return packing.pack(docs)
 
 
