@@ -478,3 +478,56 @@ def test_template_decides_inside_articles_too(spark):
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == story(i) == got[10 + i] for i in range(8)), got
     assert all(got[20 + i] == story(1) for i in range(4))
+
+
+def pipeline_folder(spark, folder, documents, labels, benchmark):
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long, node long, Block string, raw_hash string", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, rows in (("documents", documents), ("labels", labels), ("benchmark", benchmark)):
+        spark.createDataFrame(rows, kinds[name]).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and clashing names through all stages."""
+    item = " ".join(f"item{k}" for k in range(40))
+    long_ = " ".join(f"w{k}" for k in range(60_000))
+    near = [f"n{k}" for k in range(200)]
+    texts = [
+        (1, "a clean text of a few words"),
+        (1, "a clean text of a few words"),  # a repeated row
+        (2, "a clean  text\tof a few words"),  # equal but for white space
+        (3, None),
+        (4, ""),
+        (5, "   "),
+        (None, "a text without an id"),
+        (None, None),
+        (6, long_),
+        (7, long_ + " and one more"),  # a near copy
+        (8, " ".join(near)),
+        (9, " ".join([*near[:100], "changed", *near[101:]])),
+        (10, f"before it {item} after it"),
+        (11, " " * 20_000 + "end"),
+    ]
+    documents = [(i, t, None, None, None, i, "x", t) for i, t in texts]
+    folder = pipeline_folder(spark, tmp_path / "odd", documents, [(1, None, 0), (None, 1, 1), (4, 0, None), (99, 1, 1)], [(0, item), (1, None), (2, ""), (None, item)])
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns, name
+        kept.append(sorted((str(r.doc_id), r.text or "") for r in docs.collect()))
+    assert kept[0] == sorted((str(i), t or "") for i, t in texts)
+    rest = lambda drop: sorted(str(i) for n, (i, _) in enumerate(texts) if n not in drop)
+    assert [i for i, _ in kept[1]] == rest({1, 2, 4, 7})  # a null text is equal to an empty one; (3, None) has the smallest id
+    assert [i for i, _ in kept[2]] == rest({1, 2, 4, 7, 9, 11})
+    assert [i for i, _ in kept[3]] == rest({1, 2, 4, 7, 9, 11, 12})
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert {str(r.doc_id) for r in pieces} == {i for i, _ in kept[3]}
+    assert sorted(r.offset for r in pieces if r.sequence_id == 0)[0] == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    folder = pipeline_folder(spark, tmp_path / "none", [], [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    folder = pipeline_folder(spark, tmp_path / "alone", [(1, "some text", None, None, None, None, None, None)], [], [])
+    assert [r.doc_id for r in corpus_pipeline.run(spark, folder).collect()] == [1]
