@@ -78,8 +78,7 @@ def _reach(corrections: tuple[tuple[str, str], ...]) -> dict[str, tuple[int, ...
 
 
 def _fold(text: Column, corrections: Corrections, start: Callable[[Column], Column], step: Callable[[Column, Column], Column], done: Callable[[Column], Column]) -> Column:
-    """``step`` over the entries that can fire in the text, in order. An entry has w and r, both as patterns see them: a
-    search by pattern skips along the text, which plain replacement does not.
+    """``step`` over the entries (i, w, r) that can fire in the text, in order.
 
     One pass of one pattern tells whether any wrong form stands in the text; texts with none are left at once. A second
     one tells which, at every place the longest, and the text goes through those and what these may bring about.
@@ -88,8 +87,7 @@ def _fold(text: Column, corrections: Corrections, start: Callable[[Column], Colu
     if any(mark in form for entry in corrections for form in entry for mark in (_ROW, _CELL)):
         raise ValueError("dictionary entries cannot hold the characters U+001E and U+001F")
     listed = lambda parts: F.split(F.lit(_ROW.join(parts)), _ROW, -1)  # noqa: E731  one literal, taken apart when the plan is made
-    wrongs = listed(re.escape(w) for w, _ in corrections)
-    rights = listed(re.sub(r"([\\$])", r"\\\1", r) for _, r in corrections)
+    wrongs, rights = (listed(side) for side in zip(*corrections))
     may_fire = F.str_to_map(F.lit(_ROW.join(f"{w}{_CELL}{','.join(map(str, at))}" for w, at in _reach(corrections).items())), F.lit(_ROW), F.lit(_CELL))
     pattern = trie_pattern([w for w, _ in corrections])
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)))
@@ -106,7 +104,7 @@ def dictionary(text: Column, corrections: Corrections = CORRECTIONS) -> Column:
     """Every entry in turn, anywhere in the text."""
     if not corrections:
         return text
-    return let(text, lambda x: _fold(x, corrections, lambda t: t, lambda t, e: F.regexp_replace(t, e["w"], e["r"]), lambda t: t))
+    return let(text, lambda x: _fold(x, corrections, lambda t: t, lambda t, e: F.replace(t, e["w"], e["r"]), lambda t: t))
 
 
 def corrected_with(text: Column, corrections: Corrections = CORRECTIONS) -> Column:
@@ -118,7 +116,7 @@ def corrected_with(text: Column, corrections: Corrections = CORRECTIONS) -> Colu
     names = F.split(F.lit(_ROW.join(f"{w}→{r}" for w, r in corrections)), _ROW, -1)
 
     def step(state: Column, e: Column) -> Column:
-        after = F.regexp_replace(state["text"], e["w"], e["r"])
+        after = F.replace(state["text"], e["w"], e["r"])
         fired = lambda t: F.struct(t.alias("text"), F.when(t != state["text"], F.array_append(state["applied"], F.get(names, e["i"]))).otherwise(state["applied"]).alias("applied"))
         return let(after, fired)  # an entry that fires always changes the text
 
