@@ -269,7 +269,16 @@ def test_files_in_and_out(spark, tmp_path, idx):
     (tmp_path / "in/a.PDF").write_bytes(b"one\ftwo")
     (tmp_path / "in/b.txt").write_bytes(b"no")
     uploads = tables.read_uploads(spark, f"file://{tmp_path}/in").withColumn("seq", F.lit(1).cast("long"))
-    pages = tables.explode_pages(uploads, lambda body: ((i + 1, t, None, b"p") for i, t in enumerate(body.decode().split("\f"))))
+
+    class FormFeeds:
+        def count(self, file):
+            return file.read().count(b"\f") + 1
+
+        def read(self, file, first, last):
+            for k, t in enumerate(file.read().decode().split("\f")[first - 1 : last], first):
+                yield k, t, lambda: None, b"p"
+
+    pages = tables.explode_pages(uploads, FormFeeds())
     assert sorted((r.page, r.raw_text, r.image) for r in pages.collect()) == [(1, "one", None), (2, "two", None)]
     assert uploads.first().filename == "a.PDF"
 
@@ -323,13 +332,18 @@ def test_upload_pipeline(spark, tmp_path):
     found = {r.filename: (r.found, r.content and bytes(r.content)) for r in tables.file_content(log, spark.createDataFrame([("known.pdf",), ("gone.pdf",)], "filename string")).collect()}
     assert found == {"known.pdf": (True, b"short"), "gone.pdf": (False, None)}
 
-    def opener(content):
-        return [(k + 1, t, t.encode(), b"") for k, t in enumerate(content.decode().split("|"))]
+    class Parts:
+        def count(self, file):
+            return file.read().count(b"|") + 1
+
+        def read(self, file, first, last):
+            for k, t in enumerate(file.read().decode().split("|")[first - 1 : last], first):
+                yield k, t, t.encode, b""
 
     cache = spark.createDataFrame([(ids["known.pdf"], 1, "scan", "text from the cache")], "doc_id string, page int, type string, text string")
     first = lambda images: [None if not bytes(i) else "read " + bytes(i).decode() for i in images]
     second = lambda images: ["second engine"] * len(images)
-    pages, index, answers = uploading.upload(log, cache, lambda u: tables.explode_pages(u, opener), first, second, f"{tmp_path}/cache", ())
+    pages, index, answers = uploading.upload(log, cache, lambda u: tables.explode_pages(u, Parts(), 1), first, second, f"{tmp_path}/cache", ())
     texts = {(r.doc_id, r.seq, r.page): (r.type, r.text, r.from_cache) for r in pages.collect()}
     assert texts[ids["one.PDF"], 1, 1] == ("native", native, False)
     assert texts[ids["known.pdf"], 5, 1] == ("scan", "text from the cache", True)
@@ -342,6 +356,46 @@ def test_upload_pipeline(spark, tmp_path):
     assert {r.doc_id for r in cached} == {ids["one.PDF"], ids["two.pdf"]} and len(cached) == 3
 
 
+def test_engines_have_an_outcome_for_every_image(monkeypatch):
+    """Not installed, failing on one image, and working; what a vision model is asked."""
+    import pickle
+    import sys
+    import types
+
+    from waraq.operators import engines
+
+    monkeypatch.setitem(sys.modules, "pytesseract", None)
+    assert engines.LocalOcr()([b"a", None]) == [None, None]
+
+    def read(image, lang, config):
+        assert (lang, config) == ("ara+fra", "--psm 6 --oem 3")
+        if image == b"bad":
+            raise OSError("no image")
+        return " text of " + image.decode()
+
+    fake = types.SimpleNamespace(image_to_string=read, pytesseract=types.SimpleNamespace(tesseract_cmd=""))
+    monkeypatch.setitem(sys.modules, "pytesseract", fake)
+    monkeypatch.setitem(sys.modules, "PIL", types.SimpleNamespace(Image=types.SimpleNamespace(open=lambda file: file.read())))
+    assert engines.LocalOcr(command="/bin/ocr")([b"one", b"bad", b""]) == [" text of one", "[ERR Tesseract: no image]", " text of "]
+    assert fake.pytesseract.tesseract_cmd == "/bin/ocr"
+    asked_, opened = [], []
+
+    class Client:
+        def generate(self, **call):
+            asked_.append(call)
+            if call["images"] == ["Yg=="]:
+                raise TimeoutError("too slow")
+            return {"response": None if call["images"] == [""] else "seen"}
+
+    model = engines.VisionModel(lambda: opened.append(1) or Client(), "m")
+    assert model([b"a", b"b", None]) == ["seen", "[ERR Vision: too slow]", ""] and opened == [1]
+    assert asked_[0]["images"] == ["YQ=="] and asked_[0]["model"] == "m" and asked_[0]["stream"] is False and "النص" in asked_[0]["prompt"]
+    assert asked_[0]["options"].items() >= {"num_ctx": 512, "num_predict": 800, "temperature": 0}.items() and asked_[0]["options"]["num_thread"] >= 2
+    assert pickle.loads(pickle.dumps(engines.VisionModel(dict, "m")))._client is None
+    lost = engines.VisionModel(lambda: 1 / 0)
+    assert lost([b"a"])[0].startswith("[ERR Vision: ")
+
+
 def test_upload_rate(spark):
     from waraq.streaming.ingest import upload_rate
 

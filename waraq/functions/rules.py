@@ -48,6 +48,10 @@ MARK_CLOSE = "</mark>"
 #: Vision models in order of preference, and what is taken where none is there.
 VISION_MODELS, DEFAULT_MODEL = ("qwen2.5vl:3b", "qwen2.5vl:7b", "qwen3-vl:4b", "qwen2.5:1.5b"), "qwen2.5vl:3b"
 VERSION = "1.0.0"
+#: Languages and settings of local OCR; prompt and settings of a vision model.
+LOCAL_OCR = ("ara+fra", "--psm 6 --oem 3")
+VISION_PROMPT = "انسخ كل النص في هذه الصورة سطراً بسطر."
+VISION_OPTIONS = {"num_ctx": 512, "num_predict": 800, "temperature": 0}
 
 #: The correction dictionary, wrong form and right form, in order: each entry rewrites what the ones before left. Another
 #: one can be passed wherever it is used (see :func:`waraq.sources.tables.read_corrections`).

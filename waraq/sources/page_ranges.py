@@ -7,6 +7,7 @@ images pass through an exchange, and a task holds a few pages at a time.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from typing import IO, Protocol
 from urllib.parse import unquote
@@ -85,26 +86,28 @@ def _counts(opener: Opener):
     return run
 
 
+PAGE_COLUMNS = ["doc_id", "seq", "page", "raw_text", "image", "preview"]
+
+
+def page_rows(doc_id: str, seq: int, pages: Iterator[tuple[int, str, Callable[[], bytes | None], bytes | None]]) -> Iterator[tuple]:
+    """Rows of ``PAGE_COLUMNS`` of what an opener reads; the image is made only for scans."""
+    for number, raw, image, preview in pages:
+        scan = len("".join(raw.split())) <= LEAST_SOLID
+        yield doc_id, seq, number, raw, image() if scan else None, preview
+
+
 def _pages(opener: Opener):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                held: list[tuple] = []
                 with open_path(row.path) as file:
-                    for number, raw, image, preview in opener.read(file, int(row.first), int(row.last)):
-                        scan = len("".join(raw.split())) <= LEAST_SOLID
-                        held.append((row.doc_id, row.seq, number, raw, image() if scan else None, preview))
-                        if len(held) == PAGES_PER_BATCH:
-                            yield pd.DataFrame(held, columns=_PAGE_COLUMNS)
-                            held = []
-                yield pd.DataFrame(held, columns=_PAGE_COLUMNS)
+                    rows = page_rows(row.doc_id, row.seq, opener.read(file, int(row.first), int(row.last)))
+                    while held := list(itertools.islice(rows, PAGES_PER_BATCH)):
+                        yield pd.DataFrame(held, columns=PAGE_COLUMNS)
 
     return run
 
 
-_PAGE_COLUMNS = ["doc_id", "seq", "page", "raw_text", "image", "preview"]
-
-
 def uploaded_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, path, filename, uploaded_at of the PDF files under a folder: contents are hashed where they are read. Empty
     files are not listed."""
