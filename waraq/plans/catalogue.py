@@ -61,20 +61,28 @@ def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.vocabulary(_forms(spark, sf_dir))
 
 
-_stores: dict[tuple[str, str], tuple[str, DataFrame, DataFrame, DataFrame]] = {}
+_postings_of: dict[tuple[str, str], str] = {}
+_lookups_of: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
 
 
-def _store(spark: SparkSession, sf_dir: str) -> tuple[Postings, DataFrame, DataFrame, DataFrame]:
-    """(postings, vocabulary, fuzzy index, suggestions) of a folder of tables, stored when they are first asked for, as an
-    engine keeps them beside its index; later searches of the session read them."""
+def _postings(spark: SparkSession, sf_dir: str) -> Postings:
+    """The stored pages and postings of a folder of tables. They are written when they are first asked for, as an engine keeps
+    them beside its index; later searches of the session read them."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stores:
+    if key not in _postings_of:
         folder = f"{shared_dir(spark)}/waraq/search-{uuid.uuid4().hex}"
         write_postings(_index(spark, sf_dir), folder)
+        _postings_of[key] = folder
+    return Postings(spark, _postings_of[key])
+
+
+def _lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocabulary, fuzzy index, suggestions), stored alike."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _lookups_of:
         vocab = materialize(_vocab(spark, sf_dir), "vocab")
-        _stores[key] = folder, vocab, materialize(fuzzy_index(vocab), "fuzzy"), materialize(suggestion_table(vocab), "suggestions")
-    folder, *tables = _stores[key]
-    return Postings(spark, folder), *tables
+        _lookups_of[key] = vocab, materialize(fuzzy_index(vocab), "fuzzy"), materialize(suggestion_table(vocab), "suggestions")
+    return _lookups_of[key]
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,14 +403,14 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = surrogate.query_log(spark, sf_dir).select("query_id", strip(F.col("query")).alias("effective"))
-    return search.matches(asked, _store(spark, sf_dir)[0])
+    return search.matches(asked, _postings(spark, sf_dir))
 
 
 @query(oracle.PHRASE_SEARCH)
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frequent phrase over all pages: matching pages per document, with the excerpt of the first."""
     asked = spark.createDataFrame([(1, "لح موا")], "query_id long, effective string")
-    found = search.results(search.matches(asked, _store(spark, sf_dir)[0]), _docs(spark, sf_dir))
+    found = search.results(search.matches(asked, _postings(spark, sf_dir)), _docs(spark, sf_dir))
     return found.select("doc_id", "filename", "nb_pages", "n_matches", F.col("matches")[0]["page"].alias("first_page"), F.col("matches")[0]["line"].alias("first_line"))
 
 
@@ -435,7 +443,7 @@ def excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents of three frequent phrases."""
     asked = spark.createDataFrame([(1, "لح موا"), (2, "انع"), (3, "ةا")], "query_id long, effective string")
-    found = search.results(search.matches(asked, _store(spark, sf_dir)[0]), _docs(spark, sf_dir))
+    found = search.results(search.matches(asked, _postings(spark, sf_dir)), _docs(spark, sf_dir))
     return search.top_results(found, 20).select("query_id", "rank", "doc_id", "n_matches")
 
 
@@ -443,7 +451,7 @@ def ranked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every result of three frequent phrases with its place in the answer."""
     asked = spark.createDataFrame([(1, "لح موا"), (2, "انع"), (3, "ةا")], "query_id long, effective string")
-    found = search.results(search.matches(asked, _store(spark, sf_dir)[0]), _docs(spark, sf_dir)).drop("matches")
+    found = search.results(search.matches(asked, _postings(spark, sf_dir)), _docs(spark, sf_dir)).drop("matches")
     return rank_all(found).select("query_id", "rank", "doc_id", "filename", "n_matches")
 
 
@@ -451,7 +459,7 @@ def ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first six lines of each result, with the query's words marked."""
     asked = surrogate.query_log(spark, sf_dir).select("query_id", strip(F.col("query")).alias("effective"))
-    found = search.results(search.matches(asked, _store(spark, sf_dir)[0]), _docs(spark, sf_dir))
+    found = search.results(search.matches(asked, _postings(spark, sf_dir)), _docs(spark, sf_dir))
     return search.cards(found, asked)
 
 
@@ -465,7 +473,7 @@ def vocab_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle.DICT_LOOKUP)
 def dict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the dictionary makes of each word of the vocabulary and of the misspelt queries; null where it has none."""
-    words = _store(spark, sf_dir)[1].select(F.col("norm").alias("nw")).unionByName(search.query_words(_misspelt(spark, sf_dir)).select("nw")).distinct()
+    words = _lookups(spark, sf_dir)[0].select(F.col("norm").alias("nw")).unionByName(search.query_words(_misspelt(spark, sf_dir)).select("nw")).distinct()
     return words.join(F.broadcast(search.first_corrections(_corrections(spark))), "nw", "left")
 
 
@@ -473,20 +481,20 @@ def dict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary's nearest word to each misspelt word that it does not have."""
     asked = search.query_words(_misspelt(spark, sf_dir)).filter("arabic").select("nw").distinct()
-    _, vocab, near, _ = _store(spark, sf_dir)
+    vocab, near, _ = _lookups(spark, sf_dir)
     return closest_words(asked.join(vocab.select(F.col("norm").alias("nw")), "nw", "left_anti"), near)
 
 
 @query(oracle.CORRECT_QUERY)
 def correct_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vocab, near, _ = _store(spark, sf_dir)
+    vocab, near, _ = _lookups(spark, sf_dir)
     return search.correct_queries(_misspelt(spark, sf_dir), vocab, _corrections(spark), near)
 
 
 @query(oracle.SUGGEST_PREFIX)
 def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = search.query_words(surrogate.query_log(spark, sf_dir)).filter("arabic").select(F.substring("word", 1, 3).alias("prefix"))
-    _, vocab, _, best = _store(spark, sf_dir)
+    vocab, _, best = _lookups(spark, sf_dir)
     return suggest(prefixes, best, vocab)
 
 
@@ -494,7 +502,7 @@ def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions while the first four letters of a query are typed; six are shown."""
     typed = surrogate.query_log(spark, sf_dir).select("query_id", F.substring("query", 1, 4).alias("query")).filter(F.length("query") >= 2)
-    _, vocab, _, best = _store(spark, sf_dir)
+    vocab, _, best = _lookups(spark, sf_dir)
     rows = search.query_suggestions(typed, vocab, best)
     return rows.select("query_id", F.array_join(F.slice("suggestions", 1, 6), "|").alias("shown"))
 
@@ -502,7 +510,7 @@ def live_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle.SEARCH_ENVELOPE)
 def search_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search for each misspelt query: correction, suggestions and the number of results."""
-    store, vocab, near, best = _store(spark, sf_dir)
+    store, (vocab, near, best) = _postings(spark, sf_dir), _lookups(spark, sf_dir)
     heads, _ = search.search(_misspelt(spark, sf_dir), store, _docs(spark, sf_dir), vocab, _corrections(spark), near, best)
     return heads.select("query_id", "query_orig", "query_eff", "correction", F.array_join("suggestions", "|").alias("suggestions"), "total")
 
@@ -510,7 +518,7 @@ def search_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle.SEARCH_ANSWER)
 def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole answer to each misspelt query as one JSON object, but for the time it took."""
-    store, vocab, near, best = _store(spark, sf_dir)
+    store, (vocab, near, best) = _postings(spark, sf_dir), _lookups(spark, sf_dir)
     return search.answers(*search.search(_misspelt(spark, sf_dir), store, _docs(spark, sf_dir), vocab, _corrections(spark), near, best))
 
 
