@@ -270,6 +270,21 @@ def test_memo_encoder_equals_plain_encoding():
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == encoder.encoding.encode_ordinary(text), repr(text)
 
 
+def test_very_long_runs_of_white_space(spark):
+    """A megabyte of one kind of white space, alone, inside a text, before an added token and at the end."""
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 1_000_000
+    texts = [" " * n, "\n" * n, "a" + "\t" * n + "b c", "x" + " " * n + "<|endoftext|> y" + "\n" * 3000, " \n" * 3000 + "\u3000" * 2000 + " z", "é" + "\x85\xa0" * 4000 + "1", "q" + " " * 999 + "r" + " " * 1000 + "s" + " " * 1001 + "t"]
+    encoder = packing.PieceEncoder(*packing.default_vocabulary(), packing.default_added())
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_batch(texts)]
+    assert got == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces} == {i: len(x) + 1 for i, x in enumerate(got)}
+
+
 def test_added_tokens_are_those_of_the_json(spark):
     from tokenizers import Tokenizer
 
