@@ -34,3 +34,9 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["fuzzy_closest", "correct_query", "phrase_search", "batch_search", "indexed_search", "excerpt_window", "suggest_prefix", "live_suggest", "search_envelope", "search_answer"])
+def test_no_search_compares_all_with_all(spark, sf_small, name):
+    plan = catalogue.QUERIES[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
