@@ -234,6 +234,14 @@ def test_keep_languages(spark):
     assert language_id.keep_languages(odd_docs(spark, []), ["en"]).count() == 0
 
 
+def test_a_dirty_language_column_is_bounded(spark):
+    rows = [(i, f"the quick brown fox number {i} jumps", "en") for i in range(60)] + [(100 + i, f"der schnelle braune fuchs {i}", "de") for i in range(40)] + [(200 + i, f"noise {i}", f"x{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, _, _ = language_id.learn(docs, max_langs=2)
+    assert names == ["de", "en"]
+    assert {r.lang_pred for r in language_id.identify(docs, max_langs=2).collect()} <= {"de", "en"}
+
+
 def test_rare_languages_are_learned_alike(spark):
     rows = [(i, f"the and that thing is number{i} ", "en") for i in range(3000)] + [(9000 + i, f"zun quelo prati moxe {i} ", "xx") for i in range(30)]
     names, tables, _ = language_id.learn(odd_docs(spark, rows), train_docs=60)

@@ -72,17 +72,18 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, train_docs: int = 8000, max_grams: int = 60_000, min_count: int = 4, ratio: float = 0.3) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+def learn(docs: DataFrame, train_docs: int = 8000, max_grams: int = 60_000, min_count: int = 4, ratio: float = 0.3, max_langs: int = 256) -> tuple[list[str], list[np.ndarray], np.ndarray]:
     """Language names, filter tables and false-positive rates, from about ``train_docs`` documents with a language.
 
     Every language gets an equal part of the sample, all its documents if they are fewer, so rare languages are learned
     alike at every size of the corpus. A language's filter takes its ``max_grams`` most frequent n-grams that occur ``min_count`` times, at a share of at
-    least ``ratio`` times the largest share in any language. Rows with crc32(doc_id) mod 4 = 2 are never learned from.
+    least ``ratio`` times the largest share in any language. Of more than ``max_langs`` values of lang the most frequent are
+    learned, so a dirty column neither reaches the driver nor thins out the sample. Rows with crc32(doc_id) mod 4 = 2 are never learned from.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(fold_of(F.col("doc_id"), 4) != 2)
     rows = rows.withColumn("lang", F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not sizes:
         return [], [], np.zeros(0)
     each = max(1, train_docs // len(sizes))

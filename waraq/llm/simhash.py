@@ -475,6 +475,10 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 256, similarity: fl
     bits differ. They meet in bands of minimum shingle hashes, in some one with probability 1 - (1 - 0.8**3)**12 =
     0.9998. All pairs of a group of candidates are held to the similarity. component_id is the smallest doc_id of the group;
     null and empty texts are in no group. Texts equal to the byte share a node, so exact copies are in one group.
+
+    Null ids: grouped by their text like any other; component_id is null only where no linked row has an id. Ties and
+    repeated rows: a row each, with the component_id of their group. Very long texts are compared whole. Empty table: no
+    rows. Other columns are not read.
     """
     bound_batches(docs.sparkSession)
     lanes = bits // 64
