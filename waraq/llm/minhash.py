@@ -169,7 +169,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     size = nodes.count()
     blocks = nodes.select(F.explode(F.array(*_BAND_COLUMNS)).alias("block"), "node", *_PRINTS)
-    candidates = connected_components(links_in_blocks(blocks, LANES, CANDIDATE_BITS, bound=BANDS * size)).select("node", F.col("root").alias("block")).distinct()
+    candidates = connected_components(links_in_blocks(blocks, LANES, CANDIDATE_BITS, bound=BANDS * size, screen=True)).select("node", F.col("root").alias("block")).distinct()
     chosen = nodes.join(candidates, "node").select(F.col("one.doc_id").alias("c_id"), F.col("one.text_hash").alias("c_hash"), "node", "block")
     chosen = materialize(chosen, "candidates", rows=size)
     likely = passing(source, "text_hash", chosen, "c_hash")

@@ -266,15 +266,17 @@ def _split_large(large: DataFrame, prints: list[str], radius: float, tile: int,
     return edges, blocks
 
 
-def _by_size(rows: DataFrame, tile: int, bound: int | None) -> tuple[DataFrame, DataFrame | None]:
+def _by_size(rows: DataFrame, tile: int, bound: int | None, screen: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(rows of blocks of 2 to ``tile`` rows, rows of larger ones or None where there is none), each with n, the block's rows.
 
     Blocks of more than a ``HOT_SHARE``-th of all rows are fewer than that by arithmetic; they are broadcast, so that
     their rows are exchanged with nothing. All others are exchanged by block, and none of them is hot. ``bound``: at
-    least the number of rows, where known.
+    least the number of rows, where known. ``screen``: most rows are alone in their block, and a filter of fixed size leaves
+    them out before the exchange.
     """
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = materialize(sizes, "block-sizes", rows=bound and bound // 2)
+    rows = passing(rows, "block", sizes, "block") if screen else rows
     most, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if (most or 0) <= tile:
         return rows.join(sizes, "block"), None
@@ -284,7 +286,7 @@ def _by_size(rows: DataFrame, tile: int, bound: int | None) -> tuple[DataFrame,
     return others.filter(F.col("n") <= tile), rows.join(hot, "block").unionByName(others.filter(F.col("n") > tile))
 
 
-def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE, rounds: int = 4, bound: int | None = None) -> DataFrame:
+def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE, rounds: int = 4, bound: int | None = None, screen: bool = False) -> DataFrame:
     """``rows``: block long, node long, f0.. long, at most one row per block and node. Returns edges u, v, which join
     the same nodes as all links within the blocks do.
 
@@ -292,7 +294,7 @@ def links_in_blocks(rows: DataFrame, lanes: int, radius: int, tile: int = TILE,
     task holds or compares more than two parts at once and a group of near copies of any size costs work in proportion.
     """
     prints = [f"f{k}" for k in range(lanes)]
-    small, large = _by_size(rows, tile, bound)
+    small, large = _by_size(rows, tile, bound, screen)
     edges, blocks = _split_large(large, prints, radius, tile, rounds) if large is not None else ([], [])
     every = small.select("block", F.lit(0).cast("long").alias("side"), "node", *prints)
     for more in blocks:
