@@ -1,5 +1,6 @@
 """Secrets, HTML extraction, decontamination and the pipeline: brute-force checks and odd rows."""
 
+import random
 import re
 import time
 from collections import defaultdict
@@ -93,6 +94,66 @@ def test_planted_secrets_are_told(spark, sf):
     assert not harmless or np.mean([got.get(p, False) for p in harmless]) < 0.05
 
 
+def judged(spark, scanner, labelled):
+    """is_secret and the other columns of labelled findings, each told as if it stood in a text of its own."""
+    rows = labelled.collect()
+    texts = [(i, " ".join([r.w3, r.w2, r.w1, r.word, r.x1]), r.path) for i, r in enumerate(rows)]
+    found = secrets.candidates(spark.createDataFrame(texts, "doc_id long, text string, source string"))
+    got = {r.doc_id: r.is_secret for r in secrets.judge(found, scanner).collect()}
+    return [(r, got[i]) for i, r in enumerate(rows) if i in got]
+
+
+def test_every_kind_of_finding_is_told(spark, forest):
+    """Findings that nothing was learned from: recall of each kind of key, and precision over all."""
+    kinds = defaultdict(list)
+    for r, told in judged(spark, secrets.train(forest), secrets.labelled_findings(spark, 2000, first=1_000_000)):
+        kinds[r.kind, int(r.label)].append(told)
+    assert len(kinds) >= 18
+    assert all(np.mean(v) > 0.9 for (_, y), v in kinds.items() if y), {k: np.mean(v) for k, v in kinds.items()}
+    told = [(y, t) for (_, y), v in kinds.items() for t in v]
+    assert np.mean([y for y, t in told if t]) > 0.95
+
+
+def test_surroundings_and_transitions_are_learned(spark):
+    """Labels that only the words around a candidate, its path or its transitions tell, none of them known to the library."""
+
+    def findings(kind, first, n=400):
+        rng = random.Random(first)
+        rows = []
+        for i in range(n):
+            y = rng.random() < 0.5
+            key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) + "1"
+            if kind == "pairs" and y:
+                key = "".join(rng.choice(["zq", "q7", "7x", "xz"]) for _ in range(15)) + "1"
+            elif kind == "pairs":
+                key = "".join(rng.choice(["z7", "qx", "7q", "xq"]) for _ in range(15)) + "1"
+            word = rng.choice(["zorgsleutel", "clé"]) if y else rng.choice(["tarwe", "blé"])
+            rows.append((("vault/" if y else "barn/") if kind == "path" else "p", "een", word if kind == "words" else "twee", "is", key, "einde", float(y), 0))
+        return spark.createDataFrame(rows, "path string, w3 string, w2 string, w1 string, word string, x1 string, label double, kind long")
+
+    for kind in ("words", "path", "pairs"):
+        told = judged(spark, secrets.train(findings(kind, 1)), findings(kind, 2))
+        assert np.mean([t == bool(r.label) for r, t in told]) > 0.95, kind
+
+
+def test_dictionary_cover_against_loops(spark):
+    words = ("user", "users", "serial", "name", "alphabet")
+    rng = random.Random(5)
+    texts = ["", "userserial1", "XUsersNames", "alphabetuser" * 50, *("".join(rng.choice(["user", "s", "Serial", "na", "me", "0", "=", "alphabe", "t"]) for _ in range(12)) for _ in range(60))]
+    got = spark.createDataFrame([(t,) for t in texts], "c string").select("c", secrets._covered("c", words).alias("n")).collect()
+    for r in got:
+        low, held = r.c.lower(), set()
+        for i in range(len(low)):
+            held.update(range(i, i + max([len(w) for w in words if low.startswith(w, i)], default=0)))
+        assert r.n == len(held), r.c
+
+
+def test_dictionary_is_the_frequent_words_of_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "Tree tree, x1 tree1 " + "filler " * 3), (2, "lawn lawn été foo_lawn overlylongwords"), (3, None), (4, "")], "doc_id long, text string")
+    assert secrets.frequent_words(docs) == ("filler", "lawn", "tree") and secrets.frequent_words(docs, 1) == ("filler",)
+    assert secrets.frequent_words(docs.limit(0)) == ()
+
+
 def test_secrets_plan_has_no_python(spark, sf_small):
     plan = QUERIES["op4_secrets"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
