@@ -35,6 +35,8 @@ CODE_WORDS = (
 ).split()
 #: Letters of a dictionary word, and how many words of the texts the dictionary takes.
 SHORTEST, LONGEST, DICTIONARY_WORDS = 4, 12, 4096
+#: Share of all words that a dictionary word has at least.
+COMMON = 1e-5
 #: Places that neighbouring words, paths and first characters share by their hash, and the share of findings below which one says little.
 PLACES, RARE = 4096, 0.005
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_~-="
@@ -95,11 +97,17 @@ def _share(of: Column, kept: str) -> Column:
 
 
 def frequent_words(docs: DataFrame, n: int = DICTIONARY_WORDS) -> tuple[str, ...]:
-    """The ``n`` most frequent words (4 to 12 letters of a to z) of all whole texts; ties by the word. Null texts hold none."""
+    """The ``n`` most frequent words (4 to 12 letters of a to z) of all whole texts, of those that are at least COMMON of all
+    such words; ties by the word. No more than 1 / COMMON words can be so frequent, so what reaches the driver is bounded.
+    Null and empty texts hold none.
+    """
     word = f"(?<![\\p{{L}}\\p{{N}}_])([A-Za-z]{{{SHORTEST},{LONGEST}}})(?![\\p{{L}}\\p{{N}}_])"
     found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(word), F.lit(1))).alias("word"))
-    counts = found.groupBy(F.lower("word").alias("word")).count()
-    return tuple(sorted(r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(n).collect()))
+    counts = materialize(found.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")), "words")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * COMMON
+    common = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(n).collect()
+    drop_materialized(counts)
+    return tuple(sorted(r["word"] for r in common))
 
 
 def _hints() -> dict[str, Column]:
